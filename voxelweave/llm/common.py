@@ -29,7 +29,7 @@ def crc32_of(ids: bytes) -> int:
     return zlib.crc32(ids) & 0xFFFFFFFF
 
 
-def batches(source: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def batches(source: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most `rows` rows, so that Python never holds more texts than that."""
     for batch in source:
         for at in range(0, batch.num_rows, rows):

@@ -1,9 +1,9 @@
 """Token ids of whole texts by the tokenizers library, with a bounded memo of pieces.
 
 Both tokenizers cut a text before they merge bytes, so the ids of a text are those of its pieces one after
-another. Cutting at places where the tokenizer always cuts and looking pieces up in a memo avoids merging the
-same word again; pieces not met yet go to the library in one batch. A text with a character outside the
-range for which this holds goes to the library whole.
+another. Here a text of plain characters is cut where the tokenizer always cuts, and the library's model merges
+each piece once, as long as the memo holds it. A text with any other character, or with white space for which
+the cuts are less simple, goes to the library whole; the tests hold both ways against each other.
 """
 
 from __future__ import annotations
@@ -14,26 +14,77 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Characters for which cutting here and in the library agree: white space, printable ASCII, Latin letters, common punctuation.
-_PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-©«-±´¶-¸»¿-ɏ‐-‧€]")
+_ODD = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-©«-±´¶¸»¿-įı-ɏ‐-‧€]")
 #: White space that the space-delimited cut of byte-level BPE can't handle: runs, ends, and other than space and newline.
 _RUNS = ("  ", "\n ", " \n", "\t", "\r")
+#: What the two tokenizers cut a text into, for plain characters.
+_BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_WORD_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself where it is printable, the others in order from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+class _Memo(dict):
+    """Piece -> ids. Two generations: beyond `most` pieces the older one is dropped, so that frequent pieces stay."""
+
+    def __init__(self, model, words: bool, most: int):
+        super().__init__()
+        self.merge, self.cut, self.words, self.most = model.tokenize, (_WORD_LEVEL if words else _BYTE_LEVEL).findall, words, most
+        self.old: dict[str, bytes] = {}
+        self[""] = b""
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self._ids(piece)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
+        self[piece] = ids
+        return ids
+
+    def _ids(self, piece: str) -> bytes:
+        bare = piece[1:] if piece[0] == " " else piece
+        if not bare.isalpha():
+            if piece[-1] in ".,":  # a word with a mark behind it, most often
+                word = piece[:-1]
+                if (word[1:] if word[:1] == " " else word).isalpha():
+                    return self[word] + self[piece[-1]]
+            parts = self.cut(piece.lower() if self.words else piece)
+            if len(parts) != 1 or parts[0] != piece:
+                return b"".join([self[p] if self.words or p != piece else self._merged(p) for p in parts])
+        elif self.words:
+            return self._merged(piece.lower())
+        return self._merged(piece)
+
+    def _merged(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.merge(piece.encode().decode("latin-1").translate(_LETTERS))], "<u4").tobytes()
 
 
 class Encoder:
     """ids(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
 
     Empty texts have no ids. `words` says that white space never enters a token (word-level BPE); otherwise a
-    single space belongs to the word behind it (byte-level BPE). The memo is emptied beyond `memo` pieces.
+    single space belongs to the word behind it (byte-level BPE).
     """
 
-    def __init__(self, tokenizer_json: str, words: bool, memo: int = 800_000):
+    def __init__(self, tokenizer_json: str, words: bool, memo: int = 450_000):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.words, self.memo, self.known = words, memo, {}
+        self.words, self.memo = words, _Memo(self.tokenizer.model, words, memo)
 
     def _cut(self, text: str) -> list[str] | None:
         """Pieces whose ids follow each other, or None where only the library may cut."""
-        if not (text.replace("\n", " ").isprintable() if text.isascii() else not _PLAIN.search(text)):
+        if not (text.replace("\n", " ").isprintable() if text.isascii() else not _ODD.search(text)):
             return None
         if self.words:
             return text.split()
@@ -41,25 +92,20 @@ class Encoder:
             return None
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > self.memo:
-            self.known.clear()
-        new = list(pieces)
-        for piece, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(e.ids, "<u4").tobytes()
-
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
-        need = set().union(*[c for c in cut if c])
-        new = need.difference(self.known)
-        if new:
-            if len(self.known) + len(new) > self.memo:
-                new = need
-            self._learn(new)
-        whole = [t for t, c in zip(texts, cut, strict=True) if c is None]
-        rest = iter(self.tokenizer.encode_batch(whole, add_special_tokens=False) if whole else ())
-        get = self.known.__getitem__
-        return [np.array(next(rest).ids, "<u4").tobytes() if c is None else b"".join(map(get, c)) for c in cut]
+        get, out, whole = self.memo.__getitem__, [], []
+        for k, text in enumerate(texts):
+            pieces = self._cut(text)
+            if pieces is None:
+                whole.append(k)
+                out.append(b"")
+            else:
+                out.append(b"".join(map(get, pieces)))
+        for k in range(0, len(whole), 64):
+            some = whole[k : k + 64]
+            for at, e in zip(some, self.tokenizer.encode_batch([texts[i] for i in some], add_special_tokens=False), strict=True):
+                out[at] = np.array(e.ids, "<u4").tobytes()
+        return out
 
 
 def read_tokenizer(path: str) -> str:
