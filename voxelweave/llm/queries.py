@@ -6,10 +6,11 @@ from voxelweave.llm.packing import op3_packing
 from voxelweave.llm.quality_rules import op7_quality_rules
 from voxelweave.llm.sharding import op8_sharding
 from voxelweave.llm.token_files import op5_token_files
+from voxelweave.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict:
-    return {"op3_packing": op3_packing, "op5_token_files": op5_token_files, "op7_quality_rules": op7_quality_rules, "op8_sharding": op8_sharding}
+    return {"op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op7_quality_rules": op7_quality_rules, "op8_sharding": op8_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
