@@ -87,7 +87,7 @@ class Encoder:
         if not (text.replace("\n", " ").isprintable() if text.isascii() else not _ODD.search(text)):
             return None
         if self.words:
-            return text.split()
+            return text.lower().split()
         if any(run in text for run in _RUNS) or text[:1] == " " or text[-1:] == " ":
             return None
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
