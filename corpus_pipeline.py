@@ -1,22 +1,40 @@
-"""Documents to packed training sequences in stages, each written and reread as the next one's input."""
+"""Documents to packed training sequences in stages, each written and reread as the next one's input.
+
+Every stage but the last returns rows of `documents` with all columns. Stages judge whole texts; equal ids and
+repeated rows are judged row by row; empty inputs give empty outputs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxelweave.llm import near_dedup, packing, quality_rules, toxicity
 from voxelweave.session import materialize
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 4: best-fit packing of what is left into sequences of 2048 ids."""
-    import public_tokenizers
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 1: documents that the base rules or the perplexity bands reject go."""
+    return quality_rules.filter_quality(docs)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 2: documents predicted toxic go; the model learns from what stage 1 kept and its labels."""
+    return toxicity.filter_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
-    from voxelweave.llm.packing import pack
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 3: one document of each class of near-duplicates stays."""
+    return near_dedup.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 4: what is left is packed into sequences of 2048 ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES = [("quality rules", quality), ("toxicity", toxic), ("MinHash near-dedup", near), ("best-fit packing", pack)]
 
 #: Perplexity, a trained classifier and signatures are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
@@ -25,5 +43,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
     return docs
