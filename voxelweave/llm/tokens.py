@@ -33,22 +33,18 @@ _LETTERS = _byte_letters()
 
 
 class _Memo(dict):
-    """Piece -> ids. Two generations: beyond `most` pieces the older one is dropped, so that frequent pieces stay."""
+    """Piece -> ids. Pieces that the generation before knows are taken over from it."""
 
-    def __init__(self, model, words: bool, most: int):
+    def __init__(self, model, words: bool, old: dict[str, bytes]):
         super().__init__()
-        self.merge, self.cut, self.words, self.most = model.tokenize, (_WORD_LEVEL if words else _BYTE_LEVEL).findall, words, most
-        self.old: dict[str, bytes] = {}
+        self.merge, self.cut, self.words = model.tokenize, (_WORD_LEVEL if words else _BYTE_LEVEL).findall, words
+        self.old = old
         self[""] = b""
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             ids = self._ids(piece)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-            self[""] = b""
         self[piece] = ids
         return ids
 
@@ -74,13 +70,14 @@ class Encoder:
     """ids(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
 
     Empty texts have no ids. `words` says that white space never enters a token (word-level BPE); otherwise a
-    single space belongs to the word behind it (byte-level BPE).
+    single space belongs to the word behind it (byte-level BPE). With `most` pieces the memo becomes the older
+    generation, and the one before it is dropped.
     """
 
-    def __init__(self, tokenizer_json: str, words: bool, memo: int = 450_000):
+    def __init__(self, tokenizer_json: str, words: bool, most: int = 350_000):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.words, self.memo = words, _Memo(self.tokenizer.model, words, memo)
+        self.words, self.most, self.memo = words, most, _Memo(self.tokenizer.model, words, {})
 
     def _cut(self, text: str) -> list[str] | None:
         """Pieces whose ids follow each other, or None where only the library may cut."""
@@ -95,6 +92,10 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         get, out, whole = self.memo.__getitem__, [], []
         for k, text in enumerate(texts):
+            if len(self.memo) >= self.most:
+                self.memo.old = {}
+                self.memo = _Memo(self.tokenizer.model, self.words, self.memo)
+                get = self.memo.__getitem__
             pieces = self._cut(text)
             if pieces is None:
                 whole.append(k)
