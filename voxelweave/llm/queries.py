@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from voxelweave.llm.ann import op2_ann
+from voxelweave.llm.chat import op9_chat
 from voxelweave.llm.near_dedup import op10_near_dedup
 from voxelweave.llm.packing import op3_packing
 from voxelweave.llm.quality_rules import op7_quality_rules
@@ -11,7 +13,7 @@ from voxelweave.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict:
-    return {"op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op7_quality_rules": op7_quality_rules, "op8_sharding": op8_sharding, "op10_near_dedup": op10_near_dedup}
+    return {"op2_ann": op2_ann, "op3_packing": op3_packing, "op4_toxicity": op4_toxicity, "op5_token_files": op5_token_files, "op7_quality_rules": op7_quality_rules, "op8_sharding": op8_sharding, "op9_chat": op9_chat, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
