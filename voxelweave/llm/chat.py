@@ -68,16 +68,23 @@ def best_paths(nodes: DataFrame) -> DataFrame:
     # up: the node `steps` above, null once the path has reached its root; total: scores from the node to below `up`
     state = base.select("node", F.col("parent").alias("up"), F.coalesce("parent", "node").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("score").alias("total"))
     jumps: list[DataFrame] = []
+    done: list[DataFrame] = []
     while True:
         state = materialize(state, "paths")
-        jump = state.where("up is not null").select("node", "up")
-        if jump.isEmpty():
+        done.append(state.where("up is null"))
+        going = state.where("up is not null")
+        if going.isEmpty():
             break
-        jumps.append(jump)
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        state = state.join(above, "up", "left").select(
-            "node", F.col("up2").alias("up"), F.coalesce("root2", "root").alias("root"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")
-        )
+        jumps.append(going.select("node", "up"))
+        above = going
+        for part in done:
+            above = above.unionByName(part)
+        above = above.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        # only nodes whose root is not known yet go into the next round
+        state = going.join(above, "up").select("node", F.col("up2").alias("up"), F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total"))
+    state = done[0]
+    for part in done[1:]:
+        state = state.unionByName(part)
     leaves = state.join(base.select(F.col("parent").alias("node")).where("node is not null").distinct(), "node", "left_anti")
     # the smallest of (-mean score, -depth, node): max over a struct is a partial aggregate, no tree is gathered
     ranked = leaves.groupBy("root").agg(F.max(F.struct((F.col("total") / (F.col("depth") + 1)).alias("mean"), "depth", (-F.col("node")).alias("turned"))).alias("best"))
