@@ -7,7 +7,8 @@ minimises the non-negative risk
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
 
-by Adam in numpy; where the second term falls below zero its gradient is turned round. The prior is the share of
+by Adam in numpy. The logistic loss l is capped, so that a prior a little off can't outweigh all else; where the
+second term falls below zero, its gradient is turned round. The prior is the share of
 toxic rows among the rows that labels may be learned from. A model is fitted on at most `positives` and
 `unlabelled` documents (the lowest by hash of id), never on held-out rows; every document is scored over its
 whole text, and nothing but the text enters a score.
@@ -35,7 +36,8 @@ from pyspark.sql import types as T
 from voxelweave.llm.common import batches, held_out, table, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
-SURE = 30.0  # likelihood ratio statistic of a kept feature; chance passes it once in a million features
+SURE = 12.0  # likelihood ratio statistic of a kept feature: chance passes it about once in two thousand
+CAP = 14.0  # losses grow no further beyond this log-odds
 LONGEST = 40  # of longer words only the whole word is a feature
 
 
@@ -58,12 +60,12 @@ class PULogistic:
     bias: float
 
     @staticmethod
-    def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, keep: int = 3000, steps: int = 400, rate: float = 0.05, decay: float = 2e-3) -> PULogistic:
+    def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, keep: int = 3000, steps: int = 600, rate: float = 0.05, decay: float = 1e-3) -> PULogistic:
         """Rows are sorted distinct feature hashes of documents."""
         none = PULogistic(np.empty(0, np.uint32), np.empty(0), -50.0)
         if not positive or not unlabelled or prior <= 0:
             return none
-        prior = min(prior, 0.99)
+        prior = given = min(prior, 0.99)
         in_p, n_p = np.unique(np.concatenate(positive), return_counts=True)
         in_u, n_u = np.unique(np.concatenate(unlabelled), return_counts=True)
         at = np.minimum(np.searchsorted(in_u, in_p), max(len(in_u) - 1, 0))
@@ -75,7 +77,7 @@ class PULogistic:
         smooth_p, smooth_r = (np.clip(x, pseudo, 1 - pseudo) for x in (p, rest))
         gain = 2 * len(positive) * (smooth_p * np.log(smooth_p / smooth_r) + (1 - smooth_p) * np.log((1 - smooth_p) / (1 - smooth_r)))
         good = np.flatnonzero((n_p >= 3) & (ratio > 1.5) & (gain > SURE))
-        good = good[np.argsort(-gain[good], kind="stable")[:keep]]
+        good = good[np.argsort(-(p * ratio)[good], kind="stable")[:keep]]
         if not len(good):
             return none
         good = good[np.argsort(in_p[good])]
@@ -93,13 +95,11 @@ class PULogistic:
         for step in range(1, steps + 1):
             gp = np.bincount(rp, (w * scale)[cp], len(positive)) + b
             gu = np.bincount(ru, (w * scale)[cu], len(unlabelled)) + b
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            dp, du = -prior * sigmoid(-gp) / len(positive), np.zeros(len(gu))  # of the positives' risk
-            sign = 1.0 if negative >= 0 else -1.0  # below zero: undo what overfits the negative part
-            if sign < 0:
-                dp = np.zeros(len(gp))
-            dp = dp - sign * prior * sigmoid(gp) / len(positive)
-            du = sign * sigmoid(gu) / len(unlabelled)
+            sp, su = sigmoid(gp), sigmoid(gu)
+            over = np.logaddexp(0, np.minimum(gu, CAP)).mean() < prior * np.logaddexp(0, np.minimum(gp, CAP)).mean()
+            sign = -1.0 if over else 1.0  # the negative part is below zero: undo what overfits it
+            dp = (-prior * (0.0 if over else 1.0) * (1 - sp) - sign * prior * sp * (gp < CAP)) / len(positive)
+            du = sign * su * (gu < CAP) / len(unlabelled)
             grad = (np.bincount(cp, dp[rp], len(w)) + np.bincount(cu, du[ru], len(w))) * scale + decay * w
             gb = dp.sum() + du.sum()
             m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
