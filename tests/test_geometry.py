@@ -1,0 +1,98 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from voxelweave.functions.geometry import RigidTransform, kabsch, rotation_angle, rotation_axis_angle, svd3
+from voxelweave.functions.timing import TimingStats, measure
+from voxelweave.operators import cloud, voxel
+
+AXIS = (0.35, -0.62, 0.70)
+SCHEMA = "point_id long, x float, y float, z float"
+
+
+def make(spark, rows):
+    return spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(rows)], SCHEMA)
+
+
+@pytest.mark.parametrize("m", [[[1.5, -0.4, 2.1], [0.3, 3.2, -1.1], [-2.0, 0.7, 0.9]], [[4, 1, 0], [-1, 2.5, 3], [0.5, -2, 1]], [[1, 2, 0], [1, 2, 0], [0, 0, 3]], np.zeros((3, 3))])
+def test_svd(m):
+    u, s, v = svd3(m)
+    assert np.allclose(u @ np.diag(s) @ v.T, m, atol=1e-9) and (s >= 0).all()
+    assert np.allclose(u.T @ u, np.eye(3), atol=1e-10) and np.allclose(v.T @ v, np.eye(3), atol=1e-10)
+
+
+def test_rotation_and_transform():
+    r = rotation_axis_angle(AXIS, 0.7)
+    assert np.allclose(r @ r.T, np.eye(3)) and np.isclose(np.linalg.det(r), 1) and np.isclose(rotation_angle(r), 0.7)
+    assert (rotation_axis_angle((0, 0, 0), 1.0) == np.eye(3)).all()
+    a, b = RigidTransform(r, np.array([1.0, 2, 3])), RigidTransform(rotation_axis_angle((0, 0, 1), 0.2), np.array([-1.0, 0, 1]))
+    p = np.arange(12.0).reshape(4, 3)
+    assert np.allclose(a.inverse().apply(a.apply(p)), p) and np.allclose(a.compose(b).apply(p), a.apply(b.apply(p)))
+
+
+def test_kabsch_exact_planar_and_short():
+    rng = np.random.default_rng(1)
+    for s in (rng.normal(size=(400, 3)), rng.normal(size=(300, 3)) * [1, 1, 0]):
+        pose = RigidTransform(rotation_axis_angle(AXIS, 0.7), np.array([1.25, -0.5, 2.0]))
+        t = pose.apply(s)
+        got = kabsch(len(s), s.sum(0), t.sum(0), s.T @ t)
+        assert np.allclose(got.rotation, pose.rotation, atol=1e-8) and np.allclose(got.translation, pose.translation, atol=1e-8)
+        assert np.isclose(np.linalg.det(got.rotation), 1)
+    assert (kabsch(2, np.ones(3), np.ones(3), np.eye(3)).rotation == np.eye(3)).all()
+
+
+def test_bounds_and_centroid(spark):
+    c = make(spark, [(-1, 0, 5), (3, 2, -5), (1, -2, 0)])
+    box = cloud.extent(cloud.bounds(c)).first()
+    assert (box["min_x"], box["max_x"], box["min_z"], box["max_z"], box["widest_axis"]) == (-1, 3, -5, 5, 2)
+    mid = cloud.centroid(c).first()
+    assert (mid["centroid_x"], mid["centroid_y"], mid["centroid_z"]) == (1, 0, 0)
+    empty = c.where("false")
+    assert cloud.extent(cloud.bounds(empty)).first()["extent_x"] == 0 and cloud.centroid(empty).first()["centroid_x"] == 0
+
+
+def test_transform_pointwise(spark):
+    rows = [(i * 0.3, i % 7 - 3, i % 5 * -0.8) for i in range(25)]
+    pose = RigidTransform(rotation_axis_angle(AXIS, 0.4), np.array([1.0, 2, 3]))
+    got = [(r["x"], r["y"], r["z"]) for r in cloud.transform(make(spark, rows), pose).orderBy("point_id").collect()]
+    assert np.allclose(got, pose.apply(np.array(rows)), atol=1e-5)
+
+
+def test_voxels(spark):
+    four = make(spark, [(0, 0, 0), (1, 0, 0), (0, 1, 0), (1, 1, 2)])
+    one = voxel.voxel_downsample(four, 100).collect()
+    assert len(one) == 1 and (one[0]["x"], one[0]["y"], one[0]["z"], one[0]["n_points"]) == (0.5, 0.5, 0.5, 4)
+    lattice = make(spark, [(x, y, 0) for x in range(6) for y in range(6)])
+    assert voxel.voxel_downsample(lattice, 0.1).count() == 36
+    assert voxel.voxel_downsample(lattice, 2.5).count() < voxel.voxel_downsample(lattice, 1.5).count()
+    assert tuple(voxel.voxel_grid_shape(make(spark, [(0, 0, 0), (9.5, 4.5, 0)]), 1).first()) == (10, 5, 1)
+    empty = four.where("false")
+    assert voxel.voxel_downsample(empty, 1).count() == 0 and tuple(voxel.voxel_grid_shape(empty, 1).first()) == (0, 0, 0)
+    assert voxel.voxel_stats(empty, 1).first()["reduction_ratio"] == 0
+    for leaf in (0, -1, 1e-7):
+        with pytest.raises(voxel.VoxelError):
+            voxel.voxel_downsample(lattice, leaf)
+
+
+def test_voxels_by_group(spark):
+    rows = make(spark, [(0, 0, 0), (0.2, 0, 0), (5, 0, 0)]).selectExpr("point_id", "x", "y", "z", "if(point_id < 2, 'a', null) AS cloud_id")
+    got = {(r["cloud_id"], r["n_points"]) for r in voxel.voxel_downsample(rows, 1, ["cloud_id"]).collect()}
+    assert got == {("a", 2), (None, 1)}
+
+
+def test_measure():
+    stats = measure(4, 1, lambda: sum(range(1000)))
+    assert stats.repetitions == 4 and stats.min_ms <= stats.median_ms <= stats.max_ms
+    assert measure(0, 1, lambda: None) == TimingStats() and TimingStats().spread_ratio() == 0
+
+
+def test_voxel_stream(spark, tmp_path):
+    from voxelweave.streaming.clouds import voxel_stream
+
+    make(spark, [(0.1, 0, 0), (0.3, 0, 0), (2, 0, 0)]).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    query = voxel_stream(stream, 1.0).writeStream.outputMode("complete").format("memory").queryName("cells").option("checkpointLocation", str(tmp_path / "at")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r["n_points"] for r in spark.table("cells").collect()) == [1, 2]

@@ -67,8 +67,8 @@ def _label_by_graph(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFr
         sent = state.withColumn("d", F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in [*both, (0, 0)]))))
         offers = sent.groupBy("image_id", (F.col("x") + F.col("d.dx")).cast("int").alias("x"), (F.col("y") + F.col("d.dy")).cast("int").alias("y")).agg(F.min("root").alias("best"))
         new = state.join(offers, ["image_id", "x", "y"]).select("image_id", "x", "y", F.least("root", "best").alias("root"), (F.col("best") < F.col("root")).alias("moved"))
-        jump = new.select("image_id", F.col("x").alias("jx"), F.col("y").alias("jy"), F.col("root").alias("far"))
-        new = new.join(jump, (new["image_id"] == jump["image_id"]) & (F.col("root.x") == F.col("jx")) & (F.col("root.y") == F.col("jy"))).select(new["image_id"], "x", "y", F.least("root", "far").alias("root"), "moved")
+        jump = new.select(F.col("image_id").alias("ji"), F.col("x").alias("jx"), F.col("y").alias("jy"), F.col("root").alias("far"))
+        new = new.join(jump, (F.col("image_id") == F.col("ji")) & (F.col("root.x") == F.col("jx")) & (F.col("root.y") == F.col("jy"))).select("image_id", "x", "y", F.least("root", "far").alias("root"), "moved")
         state = materialize(new, "labels")
         if state.where("moved").isEmpty():
             return state.select("image_id", "x", "y", F.col("root.y").alias("root_y"), F.col("root.x").alias("root_x"))
