@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 #: Characters for which cutting here and in the library agree: white space, printable ASCII, Latin letters, common punctuation.
 _ODD = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-©«-±´¶¸»¿-įı-ɏ‐-‧€]")
 #: White space that the space-delimited cut of byte-level BPE can't handle: runs, ends, and other than space and newline.
-_RUNS = ("  ", "\n ", " \n", "\t", "\r")
+_RUNS = ("  ", "\n ", " \n", "\n\n\n", "\t", "\r")
 #: What the two tokenizers cut a text into, for plain characters.
 _BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -85,7 +85,7 @@ class Encoder:
             return None
         if self.words:
             return text.lower().split()
-        if any(run in text for run in _RUNS) or text[:1] == " " or text[-1:] == " ":
+        if any(run in text for run in _RUNS) or text[:1] == " " or text[-1:] == " " or text[-2:] == "\n\n":
             return None
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
