@@ -12,6 +12,10 @@ histogram:
 4. small documents go to the fullest sequence that still holds them (best fit), longest first; what the
    configurations left over of the large ones is placed in the same way, before the small ones.
 
+Rounding costs room that only small documents can fill, so what counts as large matters: the plan is made for
+several bounds and the one with fewest sequences is taken. (With half the capacity as bound, configurations hold one
+large document each, and the rest is best fit.)
+
 The plan is a short list of (pattern, times). Its places for each length are numbered, and a document takes the
 place with its own number among the documents of that length. These numbers come from counts per partition and
 length, so no length, however common, gathers its documents in one task.
@@ -123,8 +127,15 @@ def _configurations(sizes: list[int], demand: list[int], capacity: int, rounds:
     return result
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 32, large: float = 0.125) -> list[tuple[Pattern, int]]:
-    """(pattern, times) pairs that hold exactly the lengths of the histogram; a pattern's lengths sum to capacity at most."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 32, shares: tuple[float, ...] = (0.25, 0.4, 0.5)) -> list[tuple[Pattern, int]]:
+    """(pattern, times) pairs that hold exactly the lengths of the histogram; a pattern's lengths sum to capacity at most.
+
+    Of the plans for several bounds of what counts as large (shares of the capacity) the one with fewest sequences.
+    """
+    return min((_plan(histogram, capacity, groups, large) for large in shares), key=lambda p: sum(times for _, times in p))
+
+
+def _plan(histogram: dict[int, int], capacity: int, groups: int, large: float) -> list[tuple[Pattern, int]]:
     if any(length < 1 or length > capacity for length in histogram):
         raise ValueError("lengths must be between 1 and the capacity")
     done = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
