@@ -67,16 +67,21 @@ class PULogistic:
             return none
         prior = given = min(prior, 0.99)
         in_p, n_p = np.unique(np.concatenate(positive), return_counts=True)
-        in_u, n_u = np.unique(np.concatenate(unlabelled), return_counts=True)
-        at = np.minimum(np.searchsorted(in_u, in_p), max(len(in_u) - 1, 0))
-        u = np.where(in_u[at] == in_p, n_u[at], 0) / len(unlabelled) if len(in_u) else np.zeros(len(in_p))
+        in_p, n_p = in_p[n_p >= 3], n_p[n_p >= 3]
+        if not len(in_p):
+            return none
+        u = np.zeros(len(in_p))
+        for row in unlabelled:
+            at = np.minimum(np.searchsorted(in_p, row), len(in_p) - 1)
+            u[at[in_p[at] == row]] += 1
+        u /= len(unlabelled)
         p = n_p / len(positive)
         rest = np.maximum((u - prior * p) / (1 - prior), 0)  # how often the others hold it
         pseudo = 0.5 / len(positive)
         ratio = np.log((p + pseudo) / (rest + pseudo))
         smooth_p, smooth_r = (np.clip(x, pseudo, 1 - pseudo) for x in (p, rest))
         gain = 2 * len(positive) * (smooth_p * np.log(smooth_p / smooth_r) + (1 - smooth_p) * np.log((1 - smooth_p) / (1 - smooth_r)))
-        good = np.flatnonzero((n_p >= 3) & (ratio > 1.5) & (gain > SURE))
+        good = np.flatnonzero((ratio > 1.5) & (gain > SURE))
         good = good[np.argsort(-(p * ratio)[good], kind="stable")[:keep]]
         if not len(good):
             return none
@@ -182,8 +187,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 2000, unla
     sample = sample.select(F.explode(F.array_compact(F.array(F.when(F.col("p") == 1, F.lit(True)), F.when(F.col("u") == 1, F.lit(False))))).alias("positive"), "text")
     found = sample.mapInArrow(_extract, _SAMPLE).toArrow()
     kind = found.column("positive").to_pylist()
-    features = [np.frombuffer(b, np.uint32) for b in found.column("features").to_pylist()]
-    order = sorted(range(len(features)), key=lambda k: (len(features[k]), features[k].tobytes()))  # rows come in any order
+    features = [np.frombuffer(v.as_buffer(), np.uint32) for v in found.column("features")]  # views, no copies
+    order = sorted(range(len(features)), key=lambda k: (len(features[k]), zlib.crc32(features[k])))  # rows come in any order
     return PULogistic.fit([features[k] for k in order if kind[k]], [features[k] for k in order if not kind[k]], float(prior))
 
 
