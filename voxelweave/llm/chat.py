@@ -63,8 +63,13 @@ def unescape_role(role: str) -> str:
 
 
 def best_paths(nodes: DataFrame) -> DataFrame:
-    """(root, node, position) of the best root-to-leaf path of every tree of nodes (node, parent, score); parents are null at roots."""
-    base = materialize(nodes.select(F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "nodes")
+    """(root, node, position) of the best root-to-leaf path of every tree of nodes (node, parent, score).
+
+    Roots have a null parent, or one that is no node. Replies in a circle are an error.
+    """
+    rows = nodes.select(F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    known = rows.select(F.col("node").alias("parent"), F.lit(True).alias("there")).distinct()
+    base = materialize(rows.join(known, "parent", "left").select("node", F.when(F.col("there"), F.col("parent")).alias("parent"), "score"), "nodes")
     # up: the node `steps` above, null once the path has reached its root; total: scores from the node to below `up`
     state = base.select("node", F.col("parent").alias("up"), F.coalesce("parent", "node").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("score").alias("total"))
     jumps: list[DataFrame] = []
@@ -75,6 +80,8 @@ def best_paths(nodes: DataFrame) -> DataFrame:
         going = state.where("up is not null")
         if going.isEmpty():
             break
+        if len(jumps) > 62:
+            raise ValueError("replies go in a circle")
         jumps.append(going.select("node", "up"))
         above = going
         for part in done:
