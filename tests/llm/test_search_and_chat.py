@@ -89,13 +89,13 @@ def test_conversations_round_trip(spark, tmp_path):
 
 def test_best_paths_of_trees(spark):
     rng = np.random.default_rng(9)
-    rows = [(0, None, 0.0), (100, None, 1.0)]
+    rows = [(0, None, 0.0), (100, 999, 1.0)]  # 999 is no node
     for k in range(1, 80):
         rows.append((k, int(rng.integers(0, k)), float(rng.normal())))
     got = {}
     for r in chat.best_paths(spark.createDataFrame(rows, "node long, parent long, score double")).collect():
         got.setdefault(r["root"], {})[r["position"]] = r["node"]
-    parent, score = {n: p for n, p, _ in rows}, {n: s for n, _, s in rows}
+    parent, score = {n: p if p != 999 else None for n, p, _ in rows}, {n: s for n, _, s in rows}
 
     def path(n):
         return [*path(parent[n]), n] if parent[n] is not None else [n]
