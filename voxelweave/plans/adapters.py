@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelweave.session import ship
+
 WIDTH, HEIGHT = 30, 50
 _SINCE = "(ts - timestamp_ntz'2024-01-01 00:00:00')"
 _MICROS = f"(((extract(day from {_SINCE}) * 24L + extract(hour from {_SINCE})) * 60 + extract(minute from {_SINCE})) * 60000000 + cast(extract(second from {_SINCE}) * 1000000 as bigint))"
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(F.col("event_id").alias("point_id"), F.expr(f"cast({_MICROS} as double) / 86400000000D").alias("x"), (F.col("value") / 10).alias("y"), (F.col("user_id") % 50).cast("double").alias("z"), "user_id")
 

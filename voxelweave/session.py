@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +42,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_folder(spark)}/voxelweave/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once an application: they need not start where it lies."""
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    if context.applicationId in _SHIPPED or not os.path.isdir(package):
+        return
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="voxelweave-")), "voxelweave.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
