@@ -9,21 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from voxelweave.llm import near_dedup, packing, quality_rules, toxicity
-from voxelweave.session import materialize
+from voxelweave.session import materialize, ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 1: documents that the base rules or the perplexity bands reject go."""
+    ship(spark)
     return quality_rules.filter_quality(docs)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 2: documents predicted toxic go; the model learns from what stage 1 kept and its labels."""
+    ship(spark)
     return toxicity.filter_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 3: one document of each class of near-duplicates stays."""
+    ship(spark)
     return near_dedup.keep_one(docs)
 
 
@@ -31,6 +34,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 4: what is left is packed into sequences of 2048 ids."""
     import public_tokenizers
 
+    ship(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
