@@ -1,44 +1,49 @@
 """Operator 7: quality rules and n-gram perplexity bands.
 
-Base rules count words, symbols, repeated lines and words in repeated 8-word windows. The language model is a
-modified Kneser-Ney model of order 4 over 32 character classes (letters without case and accents, space,
-newline, digits, two kinds of punctuation, other letters), one for each language that has at least 1/32 of the
-corpus and one of all text for the rest, so there are at most 33 models of at most 2^20 highest-order n-grams:
-a size that doesn't grow with the corpus, which is why it may be broadcast. All counts are taken by Spark over
-every whole text. The model is kept as hash arrays: hashed n-grams in ascending order, with log probability and
-back-off beside them, searched by bisection.
-
-A language's band goes from its median log perplexity down by the larger of `width` robust spreads (median
-absolute deviation, times 1.4826) and `low`, and up by the larger of that and `high`: text far too regular and
-text far from the language fall outside. Medians are taken over all documents of at least 20 words. A document of
-n characters has the band widened by short / sqrt(n), as few characters make a perplexity noisy. Documents outside
-are not kept. Defined results: null and empty texts have no words, fail the base rules and are not kept; a null
-language is a language of its own; an empty table gives no rows; extra columns are not read (or kept by
-`filter_quality`, whatever their names); each row of repeated ids or texts is judged alone.
+Base rules count words, symbols, repeated lines and words in repeated 8-word windows. The language model is an
+interpolated modified Kneser-Ney model of order 5 over code points (case and accents count), so it is open to any
+word and script and grows with the corpus; nothing is dropped for being rare. Code points from 4096 up share 4096
+hashed values. Each language has its own counts, shrunk toward the model of all text by PRIOR pseudo-counts an
+n-gram's context, whatever its share. Documents are split into two folds by the hash of their text and each fold
+is scored by the counts of the other, so no document (nor its exact copies) is likely by what it alone holds.
+
+Documents lie in blocks of about BLOCK characters. A block asks for its distinct n-grams; the requests meet in
+shards, by the hash of an n-gram's last two context symbols, where all counts of an n-gram, its contexts and its
+shorter forms are; each shard adds them up as sorted arrays, fits, and answers block by block. Nothing of the model
+is broadcast or brought to the driver.
+
+log_perplexity is a word's: minus the log probability of the whole text by its words with a letter or digit (one
+for each started LONG characters), so that marks between words count as cost and not as length. A language's band,
+for each power of two in text length, is its median plus and minus `width` robust spreads (median absolute
+deviation, times 1.4826), both over documents that pass the base rules and shrunk by SHRINK documents' weight from
+length to language and from language to all. Documents outside are not kept. Defined results: null and empty texts
+have no words, fail the base rules and are not kept; a null language is a language of its own; an empty table gives
+no rows; extra columns are not read (or kept by `filter_quality`, whatever their names); each row of repeated ids or
+texts is judged alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelweave.llm.common import batches, table, texts_of
+from voxelweave.llm.common import table, texts_of
+from voxelweave.session import materialize
 
 ORDER, SYMBOLS = 4, 32
 GRAMS = SYMBOLS**ORDER
 SPACE, NEWLINE, DIGIT, STOP, MARK, OTHER = range(26, 32)
 BOUNDARY = [NEWLINE] * (ORDER - 1)
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 8, 20, 30
-POOLED = "*"  # the model of all text; "=" goes before a language's name
 RARE = 5
-BIN = 1000  # log perplexities are counted in thousandths
+BITS, LONGEST, SHORTEST = 12, 5, 3  # bits a symbol of the open model, its orders
+BLOCK, PRIOR, LONG, SHRINK = 8_000_000, 8, 20, 20
 
 
 # --- characters and base counts ----------------------------------------------------------------------------
@@ -134,7 +139,7 @@ def base_counts(text: str) -> tuple[int, int, int, int, int, bool]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated, len(words) < LEAST_WORDS or 100 * repeated > REPEATED_PERCENT * len(words)
 
 
-# --- the model ---------------------------------------------------------------------------------------------
+# --- a small model over character classes ---------------------------------------------------------------------------------------------
 
 
 def _hash(order: int, code: np.ndarray) -> np.ndarray:
@@ -219,178 +224,239 @@ class KneserNey:
         return out
 
 
-class Scorer:
-    """Log perplexities of texts. All n-grams of a model are looked up once; afterwards a text costs one table access a character."""
-
-    def __init__(self, models: dict[str, KneserNey]):
-        self.models, self.tables = models, {}
-
-    def name(self, lang: str | None) -> str:
-        own = f"={lang}" if lang is not None else "null"
-        return own if own in self.models else POOLED
-
-    def log_perplexity(self, texts: list[str], langs: list[str | None]) -> np.ndarray:
-        out = np.zeros(len(texts))
-        by: dict[str, list[int]] = {}
-        for k, lang in enumerate(langs):
-            by.setdefault(self.name(lang), []).append(k)
-        for name, rows in by.items():
-            if name not in self.tables:
-                model = self.models.get(name)
-                self.tables[name] = model.logprob(np.arange(GRAMS)).astype(np.float32) if model else np.full(GRAMS, -np.log(SYMBOLS), np.float32)
-            grams, n = grams_of([texts[k] for k in rows])
-            some = n > 0
-            if some.any():
-                sums = np.add.reduceat(self.tables[name][grams].astype(np.float64), (np.cumsum(n) - n)[some])
-                out[np.array(rows)[some]] = -sums / n[some]
-        return out
+# --- the open model ----------------------------------------------------------------------------------------
+
 
+def symbols_of(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(points < 1 << BITS, points, (points * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
 
-_SCORERS: dict[str, Scorer] = {}
 
+def open_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The packed 5-gram that ends at each character of the texts, and the number of characters of each text."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    pad = "\n" * (LONGEST - 1)
+    symbols = symbols_of(pad + pad.join(texts))
+    gram = symbols.copy()
+    for back in range(1, LONGEST):
+        gram[back:] += symbols[:-back] << (BITS * back)
+    ends = np.cumsum(lengths + LONGEST - 1)
+    keep = np.ones(len(symbols), bool)
+    for k in range(LONGEST - 1):
+        keep[ends - lengths - 1 - k] = False
+    return gram[keep], lengths
 
-def _scorer(shared) -> Scorer:
-    key, models = shared.value
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(models)
-    return _SCORERS[key]
 
+def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
+    """By the last two symbols of the context, so that an n-gram meets its contexts and its forms of three symbols or more."""
+    return (_hash(0, (grams >> BITS) & ((1 << 2 * BITS) - 1)) % np.uint64(shards)).astype(np.int64)
 
-# --- Spark -------------------------------------------------------------------------------------------------
 
-_COUNT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.IntegerType()), T.StructField("n", T.LongType())])
-_BINS = T.StructType([T.StructField("model", T.StringType()), T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType())])
-
-
-def _count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of this task's n-grams by language; at most 16 languages' tables are held, others go on as they are."""
-    held: dict[str, np.ndarray] = {}
-
-    def out(name: str) -> pa.RecordBatch:
-        counts = held.pop(name)
-        grams = np.flatnonzero(counts)
-        return pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams.astype(np.int32)), pa.array(counts[grams])], names=_COUNT.names)
-
-    for batch in batches(source):
-        texts, by = texts_of(batch.column(0)), {}
-        for k, lang in enumerate(batch.column(1).to_pylist()):
-            by.setdefault("null" if lang is None else f"={lang}", []).append(k)
-        for name, rows in by.items():
-            grams, _ = grams_of([texts[k] for k in rows])
-            if not len(grams):
-                continue
-            counts = np.bincount(grams, minlength=GRAMS)
-            held[name] = held[name] + counts if name in held else counts
-            if len(held) > 16:
-                yield out(min(held, key=lambda x: int(held[x].sum())))
-    for name in list(held):
-        yield out(name)
-
-
-def fit_models(docs: DataFrame, text: str = "text", lang: str = "lang", least_share: int = 32) -> dict[str, KneserNey]:
-    """Models of the languages that have 1/least_share of the n-grams or more (at most least_share), and of all text."""
-    counted = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(_count, _COUNT)
-    grams = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-    totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
-    everything = totals.agg(F.sum("total").alias("everything"))
-    large = totals.join(F.broadcast(everything)).where(F.col("total") * least_share >= F.col("everything")).select("lang")  # at most least_share rows
-    pooled = grams.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n")
-    rows = grams.join(F.broadcast(large), "lang", "left_semi").unionByName(pooled).toArrow()  # at most (least_share + 1) * 2^20 rows
-    grams.unpersist()
-    names, gram, n = rows.column("lang").combine_chunks().dictionary_encode(), rows.column("gram").to_numpy(), rows.column("n").to_numpy()
-    which = names.indices.to_numpy()
-    return {name: KneserNey.fit(gram[which == k], n[which == k]) for k, name in enumerate(names.dictionary.to_pylist())}
-
-
-def _bins(source: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    scorer, seen = _scorer(shared), {}
-    for batch in batches(source):
-        texts, langs = texts_of(batch.column(0)), batch.column(1).to_pylist()
-        rows = [k for k, t in enumerate(texts) if t.count(" ") + t.count("\n") >= LEAST_WORDS - 1]
-        score = scorer.log_perplexity([texts[k] for k in rows], [langs[k] for k in rows])
-        for k, b in zip(rows, np.rint(score * BIN).astype(int), strict=True):
-            key = (scorer.name(langs[k]), int(b))
-            seen[key] = seen.get(key, 0) + 1
-    if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=_BINS.names)
-
-
-def bands_of(rows: list[tuple[str, int, int]], width: float, low: float, high: float) -> dict[str, tuple[float, float]]:
-    """For each model the lower and upper log perplexity, from (model, bin, n)."""
-    out = {}
-    for name in {r[0] for r in rows}:
-        own = sorted((r[1], r[2]) for r in rows if r[0] == name)
-        b, n = np.array([x[0] for x in own]), np.array([x[1] for x in own])
-
-        def middle(values: np.ndarray, n: np.ndarray = n) -> float:
-            order = np.argsort(values, kind="stable")
-            return float(values[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)])
-
-        centre = middle(b)
-        spread = width * 1.4826 * middle(np.abs(b - centre))
-        out[name] = ((centre - max(spread, low * BIN)) / BIN, (centre + max(spread, high * BIN)) / BIN)
-    return out
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
-@dataclass(frozen=True)
-class Judge:
-    """What judging a document takes: the models and the bands, both of bounded size, shared with the executors."""
+def _summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, inverse = np.unique(grams, return_inverse=True)
+    return keys, np.bincount(inverse, counts, len(keys)).astype(np.int64)
 
-    shared: object
-    bands: dict[str, tuple[float, float]]
-    short: float
 
-    def verdicts(self, texts: list[str], langs: list[str | None]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-        """Base counts, log perplexity and kept for each text."""
-        scorer = _scorer(self.shared)
-        base = [base_counts(t) for t in texts]
-        score = scorer.log_perplexity(texts, langs)
-        low, high = np.array([self.bands.get(scorer.name(x), (-np.inf, np.inf)) for x in langs]).reshape(-1, 2).T
-        slack = self.short / np.sqrt(np.maximum([len(t) for t in texts], 1))
-        kept = ~np.array([b[5] for b in base], bool) & (score >= low - slack) & (score <= high + slack)
-        return base, score, kept
+def _contexts(grams: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct contexts of sorted n-grams and the sums of the values of each."""
+    context = grams >> BITS
+    starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(grams) else np.zeros(0, np.int64)
+    return context[starts], np.add.reduceat(values, starts) if len(grams) else values
 
 
-def fit_judge(docs: DataFrame, text: str = "text", lang: str = "lang", width: float = 6.0, low: float = 0.12, high: float = 1.0, short: float = 2.0) -> Judge:
-    """Counts all n-grams, fits the models and takes the bands over all documents."""
-    import uuid
+class OpenModel:
+    """Interpolated modified Kneser-Ney of orders 5 to 3 over sorted packed n-grams, above equal shares of all symbols."""
 
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((uuid.uuid4().hex, fit_models(docs, text, lang)))
-    rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(partial(_bins, shared=shared), _BINS)
-    counted = rows.groupBy("model", "bin").agg(F.sum("n").alias("n")).collect()  # bins of a bounded scale for at most 33 models
-    return Judge(shared, bands_of([tuple(r) for r in counted], width, low, high), short)
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        self.levels = []
+        for order in range(LONGEST, SHORTEST - 1, -1):
+            off = _discounts(counts)[np.minimum(counts, 3)]
+            contexts, total = _contexts(grams, counts)
+            self.levels.append((order, grams, counts - off, contexts, total, _contexts(grams, off)[1] / np.maximum(total, 1)))
+            grams, counts = np.unique(grams & ((1 << BITS * (order - 1)) - 1), return_counts=True)
 
+    def prob(self, wanted: np.ndarray) -> np.ndarray:
+        p = np.full(len(wanted), 1 / (1 << BITS))
+        for order, keys, kept, contexts, total, gamma in reversed(self.levels):
+            gram = wanted & ((1 << BITS * order) - 1)
+            at, known = _find(contexts, gram >> BITS)
+            own, seen = _find(keys, gram)
+            if known.any():
+                p = np.where(known, np.where(seen, kept[own], 0) / total[at] + gamma[at] * p, p)
+        return p
 
-_RESULT = T.StructType(
-    [T.StructField("doc_id", T.LongType()), *(T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), T.StructField("base_failed", T.BooleanType()), T.StructField("log_perplexity", T.DoubleType()), T.StructField("kept", T.BooleanType())]
-)
 
+def shrunk(pooled: np.ndarray, grams: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """A language's probabilities: its own counts, with PRIOR more a context shared out as in the pooled model."""
+    at, seen = _find(grams, wanted)
+    contexts, total = _contexts(grams, counts)
+    own, known = _find(contexts, wanted >> BITS)
+    have = np.where(seen, counts[at], 0) if len(counts) else 0
+    return (have + PRIOR * pooled) / ((np.where(known, total[own], 0) if len(total) else 0) + PRIOR)
 
-def _judge(source: Iterator[pa.RecordBatch], judge: Judge) -> Iterator[pa.RecordBatch]:
-    for batch in batches(source):
-        base, score, kept = judge.verdicts(texts_of(batch.column(1)), batch.column(2).to_pylist())
-        columns = list(zip(*base, strict=True)) if base else [[]] * 6
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.bool_()), pa.array(score), pa.array(kept)], names=_RESULT.names)
 
+def words_of(text: str) -> int:
+    """Words with a letter or digit, one for each started LONG characters."""
+    return sum(-(-len(w) // LONG) for w in text.split() if any(map(str.isalnum, w)))
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **bands: float) -> DataFrame:
-    """Base counts, log perplexity and verdict, one row for each row of docs."""
-    judge = fit_judge(docs, text, lang, **bands)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    return rows.mapInArrow(partial(_judge, judge=judge), _RESULT)
 
+# --- Spark -------------------------------------------------------------------------------------------------
 
-def _filter(source: Iterator[pa.RecordBatch], judge: Judge, text: int, lang: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches(source):
-        yield batch.filter(pa.array(judge.verdicts(texts_of(batch.column(text)), batch.column(lang).to_pylist())[2]))
+_ASKED = "block int, lang string, shard int, grams binary, counts binary"
+_ANSWERED = "block int, lang string, shard int, logs binary"
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _by_language(langs: list[str | None]) -> dict[str | None, list[int]]:
+    by: dict[str | None, list[int]] = {}
+    for k, lang in enumerate(langs):
+        by.setdefault(lang, []).append(k)
+    return by
+
+
+def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams, and the place of each n-gram among them."""
+    codes, found = pd.factorize(grams)
+    order = np.argsort(found)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return found[order], place[codes]
+
+
+def _ask(block: pa.Table, shards: int) -> pa.Table:
+    """A block's distinct n-grams and their counts, by language and shard."""
+    texts, number, out = texts_of(block["text"]), block["block"][0].as_py(), []
+    for lang, rows in _by_language(block["lang"].to_pylist()).items():
+        keys, place = _distinct(open_grams([texts[k] for k in rows])[0])
+        counts, shard = np.bincount(place, minlength=len(keys)), shard_of(keys, shards)
+        for x in np.unique(shard):
+            mine = shard == x
+            out.append((number, lang, int(x), keys[mine].tobytes(), counts[mine].astype(np.int32).tobytes()))
+    columns = list(zip(*out, strict=True)) or [[]] * 5
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "lang", "shard", "grams", "counts"), columns, kinds, strict=True)})
+
+
+def _answer(shard: pa.Table, half: int) -> pa.Table:
+    """Log probabilities of the n-grams that each block asked for, by the counts of the other fold's blocks."""
+    number, lang = shard["block"].to_pylist(), shard["lang"].to_pylist()
+    grams = [np.frombuffer(x, np.int64) for x in shard["grams"].to_pylist()]
+    counts = [np.frombuffer(x, np.int32) for x in shard["counts"].to_pylist()]
+    none, logs = np.zeros(0, np.int64), [b""] * len(grams)
+
+    def total(rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(np.concatenate([grams[k] for k in rows]), np.concatenate([counts[k] for k in rows])) if rows else (none, none)
+
+    for fold in (0, 1):
+        others = [k for k, b in enumerate(number) if b // half != fold]
+        pooled, by = OpenModel(*total(others)), _by_language([lang[k] for k in others])
+        for name, rows in _by_language([x if b // half == fold else ... for x, b in zip(lang, number, strict=True)]).items():
+            if name is not ...:
+                own = total([others[k] for k in by.get(name, [])])
+                wanted = np.unique(np.concatenate([grams[k] for k in rows]))
+                log = np.log(shrunk(pooled.prob(wanted), *own, wanted)).astype(np.float32)
+                for k in rows:
+                    logs[k] = log[np.searchsorted(wanted, grams[k])].tobytes()
+    return pa.table({"block": shard["block"], "lang": shard["lang"], "shard": shard["shard"], "logs": pa.array(logs, pa.binary())})
+
+
+def _score(block: pa.Table, answers: pa.Table, shards: int, names: list[str]) -> pa.Table:
+    """Base counts and log perplexity of a block's documents."""
+    texts = texts_of(block["text"])
+    given = {(lang, x): logs for lang, x, logs in zip(*(answers[c].to_pylist() for c in ("lang", "shard", "logs")), strict=True)}
+    score = np.zeros(len(texts))
+    for lang, rows in _by_language(block["lang"].to_pylist()).items():
+        grams, n = open_grams([texts[k] for k in rows])
+        keys, place = _distinct(grams)
+        shard, log = shard_of(keys, shards), np.zeros(len(keys))
+        for x in np.unique(shard):
+            log[shard == x] = np.frombuffer(given[lang, int(x)], np.float32)
+        some = n > 0
+        if some.any():
+            score[np.array(rows)[some]] = -np.add.reduceat(log[place], (np.cumsum(n) - n)[some])
+    base = [base_counts(t) for t in texts]
+    out = {name: block[name] for name in names}
+    out |= {name: pa.array([b[k] for b in base], pa.int64()) for k, name in enumerate(_COUNTS)}
+    out["base_failed"] = pa.array([b[5] for b in base], pa.bool_())
+    out["log_perplexity"] = pa.array(score / np.maximum([words_of(t) for t in texts], 1))
+    out["size"] = pa.array([len(t).bit_length() for t in texts], pa.int32())
+    return pa.table(out)
+
+
+def _scored(docs: DataFrame, row: list[str], text: str, lang: str, with_text: bool) -> DataFrame:
+    """(row, lang, [text,] base counts, base_failed, log_perplexity, size) of each row of docs; `row` holds the columns asked for."""
+    whole = F.col(text).cast("string")
+    chars = docs.agg(F.sum(F.length(whole))).first()[0] or 0
+    half = max(1, -(-chars // (2 * BLOCK)))
+    shards = max(16, 2 * half)
+    fold = F.pmod(F.xxhash64(F.coalesce(whole, F.lit(""))), F.lit(2)) * half
+    within = F.pmod(F.xxhash64(whole, *(F.col(c).cast("string") for c in row if c != text), F.lit(7)), F.lit(half))
+    rows = docs.select((fold + within).cast("int").alias("block"), whole.alias("text"), F.col(lang).cast("string").alias("lang"), F.struct(*(F.col(c) for c in row)).alias("row"))
+
+    def ask(block: pa.Table) -> pa.Table:
+        return _ask(block, shards)
+
+    def answer(shard: pa.Table) -> pa.Table:
+        return _answer(shard, half)
+
+    def score(block: pa.Table, answers: pa.Table) -> pa.Table:
+        return _score(block, answers, shards, names)
+
+    asked = rows.select("block", "text", "lang").groupBy("block").applyInArrow(ask, _ASKED)
+    answered = asked.groupBy("shard").applyInArrow(answer, _ANSWERED)
+    names = ["row", "lang", *(["text"] if with_text else [])]
+    fields = [rows.schema[n] for n in names] + [T.StructField(n, T.LongType()) for n in _COUNTS]
+    schema = T.StructType([*fields, T.StructField("base_failed", T.BooleanType()), T.StructField("log_perplexity", T.DoubleType()), T.StructField("size", T.IntegerType())])
+    scored = rows.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, schema)
+    return materialize(scored, "scored")
+
+
+def bands_of(scored: DataFrame, width: float) -> DataFrame:
+    """(lang, size, low, high) from the documents that pass the base rules; one row a language and length."""
+    good = scored.where("not base_failed").select("lang", "size", F.round("log_perplexity", 3).alias("s"))
+    middle = lambda c: F.percentile(c, F.lit(0.5))
+    by_lang = good.groupBy("lang").agg(middle("s").alias("m1"), F.count("*").alias("n1"))
+    by_size = good.groupBy("lang", "size").agg(middle("s").alias("m2"), F.count("*").alias("n2"))
+    one = by_lang.select(F.col("lang").alias("l1"), "m1", "n1")
+    two = by_size.select(F.col("lang").alias("l2"), F.col("size").alias("z2"), "m2", "n2")
+    off = good.join(F.broadcast(one), F.col("lang").eqNullSafe(F.col("l1"))).join(F.broadcast(two), F.col("lang").eqNullSafe(F.col("l2")) & (F.col("size") == F.col("z2")))
+    all_ = good.agg(middle("s").alias("m0")).crossJoin(off.agg(middle(F.abs(F.col("s") - F.col("m1"))).alias("d0")))
+    one = off.groupBy("l1", "m1", "n1").agg(middle(F.abs(F.col("s") - F.col("m1"))).alias("d1"))
+    two = off.groupBy("l2", "z2", "m2", "n2").agg(middle(F.abs(F.col("s") - F.col("m2"))).alias("d2"))
+
+    def toward(own: str, n: str, wider):
+        return (F.col(own) * F.col(n) + wider * SHRINK) / (F.col(n) + SHRINK)
+
+    centre, spread = (toward(x + "2", "n2", toward(x + "1", "n1", F.col(x + "0"))) for x in "md")
+    reach = spread * (1.4826 * width) + 0.001  # scores are rounded to thousandths
+    return two.join(one, F.col("l2").eqNullSafe(F.col("l1"))).crossJoin(F.broadcast(all_)).select(F.col("l2").alias("band_lang"), F.col("z2").alias("band_size"), (centre - reach).alias("low"), (centre + reach).alias("high"))
+
+
+def _judged(scored: DataFrame, width: float) -> DataFrame:
+    """scored plus `kept`; the bands are one row a language and length, whatever the number of documents."""
+    bands = F.broadcast(bands_of(scored, width))
+    rows = scored.join(bands, F.col("lang").eqNullSafe(F.col("band_lang")) & (F.col("size") == F.col("band_size")), "left")
+    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False)))
+
+
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", width: float = 6.0) -> DataFrame:
+    """Base counts, log perplexity and verdict, one row for each row of docs."""
+    judged = _judged(_scored(docs, [doc_id], text, lang, False), width)
+    return judged.select(F.col("row")[doc_id].cast("long").alias("doc_id"), *_COUNTS, "base_failed", "log_perplexity", "kept")
 
 
-def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", **bands: float) -> DataFrame:
+def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", width: float = 6.0) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    judge = fit_judge(docs, text, lang, **bands)
-    return docs.mapInArrow(partial(_filter, judge=judge, text=docs.columns.index(text), lang=docs.columns.index(lang)), docs.schema)
+    row = [c for c in docs.columns if c != text]
+    judged = _judged(_scored(docs, row, text, lang, True), width)
+    return judged.where("kept").select(*(F.col("text").cast(docs.schema[text].dataType).alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
