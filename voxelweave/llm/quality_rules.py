@@ -409,7 +409,7 @@ def _scored(docs: DataFrame, row: list[str], text: str, lang: str, with_text: bo
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         return _score(block, answers, shards, names)
 
-    asked = rows.select("block", "text", "lang").groupBy("block").applyInArrow(ask, _ASKED)
+    asked = rows.groupBy("block").applyInArrow(ask, _ASKED)  # with the columns of the cogroup below, so that both read one shuffle of the texts
     answered = asked.groupBy("shard").applyInArrow(answer, _ANSWERED)
     names = ["row", "lang", *(["text"] if with_text else [])]
     fields = [rows.schema[n] for n in names] + [T.StructField(n, T.LongType()) for n in _COUNTS]
