@@ -81,3 +81,15 @@ def test_conversions(spark):
     assert grid(raster.normalize_to_image8(frame(spark, [[0, 0], [0, 0]]))).max() == 0
     colours = components.colorize_labels(spark.createDataFrame([("i", 0, 0, 0), ("i", 1, 0, 1)], "image_id string, x int, y int, label long")).orderBy("x").collect()
     assert tuple(colours[0])[3:] == (0, 0, 0) and all(60 <= v <= 255 for v in tuple(colours[1])[3:])
+
+
+def test_raster_holds_every_event(spark, tmp_path):
+    import datetime
+
+    from voxelweave.plans import adapters
+
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(1, day, 5.0, 7), (2, day + datetime.timedelta(days=3), 560.2, 7), (3, day + datetime.timedelta(days=40), 12.0, 7), (4, day - datetime.timedelta(days=2), -31.0, 7)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, value double, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r["x"], r["y"]): r["v"] for r in adapters.raster(spark, str(tmp_path), False).collect()}
+    assert {k for k, v in got.items() if v} == {(0, 0), (3, 56), (40, 1), (-2, -4)} and len(got) == 43 * 61

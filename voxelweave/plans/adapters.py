@@ -1,7 +1,8 @@
 """The driver tables seen as clouds and rasters.
 
 points: events as (point_id, x, y, z) = (event_id, days since 2024-01-01, value / 10, user_id mod 50).
-smooth and rough: a 30 x 50 grid over floor(x), floor(y) with count(*) and sum(user_id) mod 256, zeros filled in.
+smooth and rough: a grid over floor(x), floor(y) with count(*) and sum(user_id) mod 256, zeros filled in. It is
+30 x 50 from the origin, and wider or higher, to either side, where events lie beyond that.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ def raster(spark: SparkSession, sf_dir: str, rough: bool) -> DataFrame:
     p = points(spark, sf_dir)
     value = F.sum("user_id") % 256 if rough else F.count("*")
     cells = p.groupBy(F.floor("x").cast("int").alias("x"), F.floor("y").cast("int").alias("y")).agg(value.cast("long").alias("v"))
-    grid = spark.range(WIDTH * HEIGHT).select(F.lit(0).alias("image_id"), (F.col("id") % WIDTH).cast("int").alias("x"), F.floor(F.col("id") / WIDTH).cast("int").alias("y"))
+    ends = cells.agg(*(f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))))
+    side = lambda c, n: F.explode(F.sequence(F.least(F.lit(0), f"low_{c}"), F.greatest(F.lit(n - 1), f"high_{c}"))).alias(c)
+    grid = ends.select(side("x", WIDTH), "low_y", "high_y").select(F.lit(0).alias("image_id"), "x", side("y", HEIGHT))
     return grid.join(cells, ["x", "y"], "left").select("image_id", "x", "y", F.coalesce("v", F.lit(0)).alias("v"))
 
 
