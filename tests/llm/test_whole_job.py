@@ -1,4 +1,4 @@
-"""Near-duplicates in buckets of any size."""
+"""Near-duplicates in buckets of any size, and toxic passages without spaces."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import random
 
 import pyarrow as pa
 
-from voxelweave.llm import near_dedup
+from voxelweave.llm import near_dedup, toxicity
 
 
 def test_pairs_of_one_shared_bucket_are_compared(spark, docs_of, monkeypatch):
@@ -30,3 +30,9 @@ def test_pairs_of_one_shared_bucket_are_compared(spark, docs_of, monkeypatch):
         texts += [" ".join(words), " ".join([*words[:-2], "other", "end"])]
     rows = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs_of(texts)).collect()}
     assert rows == {k: k - k % 2 for k in range(16)}
+
+
+def test_long_words_give_their_grams():
+    run = "a" * 60 + "wretchgoon"
+    assert set(toxicity.word_features("wretchgoon")[2:5]) & set(toxicity.word_features(run))
+    assert len(toxicity.word_features(run)) == 1 + (72 - 3) + (72 - 4)

@@ -38,17 +38,14 @@ from voxelweave.llm.common import batches, held_out, table, texts_of
 WORD = re.compile(r"[^\W\d_]+")
 SURE = 12.0  # likelihood ratio statistic of a kept feature: chance passes it about once in two thousand
 CAP = 14.0  # losses grow no further beyond this log-odds
-LONGEST = 40  # of longer words only the whole word is a feature
+LONGEST = 40  # longer words are not kept in the memo of features
 
 
 def word_features(word: str) -> list[int]:
     """32-bit hashes of a word and of its 4- and 5-grams, ends marked."""
     crc = zlib.crc32
-    out = [crc(word.encode("utf-8", "surrogatepass"))]
-    if len(word) <= LONGEST:
-        marked = f"<{word}>"
-        out += [crc(marked[k : k + n].encode("utf-8", "surrogatepass"), n) for n in (4, 5) for k in range(len(marked) - n + 1)]
-    return out
+    marked = f"<{word}>"
+    return [crc(word.encode("utf-8", "surrogatepass")), *(crc(marked[k : k + n].encode("utf-8", "surrogatepass"), n) for n in (4, 5) for k in range(len(marked) - n + 1))]
 
 
 @dataclass(frozen=True)
@@ -134,7 +131,9 @@ class Scorer:
             for word in set(WORD.findall(text.lower())):
                 h = known.get(word)
                 if h is None:
-                    h = known[word] = self._hits(word)
+                    h = self._hits(word)
+                    if len(word) <= LONGEST:
+                        known[word] = h
                 if h:
                     hits.update(h)
             g = self.model.bias + (float(weights[sorted(hits)].sum()) if hits else 0.0)
@@ -164,9 +163,12 @@ def _extract(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in texts_of(batch.column(1)):
             rows = []
             for word in set(WORD.findall(text.lower())):
-                if word not in known:
-                    known[word] = np.array(word_features(word), np.uint32)
-                rows.append(known[word])
+                features = known.get(word)
+                if features is None:
+                    features = np.array(word_features(word), np.uint32)
+                    if len(word) <= LONGEST:
+                        known[word] = features
+                rows.append(features)
             out.append(np.unique(np.concatenate(rows)).tobytes() if rows else b"")
         if len(known) > 200_000:
             known.clear()
