@@ -2,7 +2,7 @@
 
 points: events as (point_id, x, y, z) = (event_id, days since 2024-01-01, value / 10, user_id mod 50).
 smooth and rough: a grid over floor(x), floor(y) with count(*) and sum(user_id) mod 256, zeros filled in. It is
-30 x 50 from the origin, and wider or higher, to either side, where events lie beyond that.
+30 x 50 from the origin at least, and wider or higher, to either side, where events lie beyond that.
 """
 
 from __future__ import annotations
@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelweave.functions.geometry import RigidTransform, rotation_axis_angle
+from voxelweave.operators.cloud import transform
 from voxelweave.session import ship
 
+SHIFT = RigidTransform(rotation_axis_angle((0.2, 0.9, -0.4), 0.004), (0.06, -0.05, 0.02))
 WIDTH, HEIGHT = 30, 50
 _SINCE = "(ts - timestamp_ntz'2024-01-01 00:00:00')"
 _MICROS = f"(((extract(day from {_SINCE}) * 24L + extract(hour from {_SINCE})) * 60 + extract(minute from {_SINCE})) * 60000000 + cast(extract(second from {_SINCE}) * 1000000 as bigint))"
@@ -23,10 +26,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("point_id"), F.expr(f"cast({_MICROS} as double) / 86400000000D").alias("x"), (F.col("value") / 10).alias("y"), (F.col("user_id") % 50).cast("double").alias("z"), "user_id")
 
 
-def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two clouds that together are all points: odd and even ids."""
+def moved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The whole cloud, and the whole cloud moved a little: two clouds to be matched."""
     p = points(spark, sf_dir).drop("user_id")
-    return p.where("point_id % 2 = 1"), p.where("point_id % 2 = 0")
+    return p, transform(p, SHIFT)
 
 
 def queries_of(cloud: DataFrame) -> DataFrame:
@@ -54,7 +57,8 @@ def colour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 POINTS_SQL = "p AS (SELECT event_id AS point_id, CAST(date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) AS DOUBLE) / CAST(86400000000 AS DOUBLE) AS x, value / 10 AS y, CAST(user_id % 50 AS DOUBLE) AS z, user_id FROM events)"
 RASTER_SQL = f"""{POINTS_SQL},
-grid AS (SELECT CAST(a.i AS INTEGER) AS x, CAST(b.i AS INTEGER) AS y FROM range({WIDTH}) a(i), range({HEIGHT}) b(i)),
 cells AS (SELECT CAST(floor(x) AS INTEGER) AS x, CAST(floor(y) AS INTEGER) AS y, count(*) AS n, CAST(sum(user_id) % 256 AS BIGINT) AS m FROM p GROUP BY 1, 2),
+ends AS (SELECT least(0, min(x)) AS x0, greatest({WIDTH - 1}, max(x)) AS x1, least(0, min(y)) AS y0, greatest({HEIGHT - 1}, max(y)) AS y1 FROM cells),
+grid AS (SELECT a.x, b.y FROM (SELECT CAST(unnest(range(x0, x1 + 1)) AS INTEGER) AS x FROM ends) a, (SELECT CAST(unnest(range(y0, y1 + 1)) AS INTEGER) AS y FROM ends) b),
 smooth AS (SELECT g.x, g.y, coalesce(n, 0) AS v FROM grid g LEFT JOIN cells c ON g.x = c.x AND g.y = c.y),
 rough AS (SELECT g.x, g.y, coalesce(m, 0) AS v FROM grid g LEFT JOIN cells c ON g.x = c.x AND g.y = c.y)"""

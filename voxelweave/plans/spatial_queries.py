@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +9,13 @@ from voxelweave.functions.geometry import RigidTransform, rotation_angle_col, ro
 from voxelweave.functions.text import pad_left, pad_right, utf8_length
 from voxelweave.functions.timing import timing_stats
 from voxelweave.operators import cloud, components, neighbors, raster, registration, voxel
-from voxelweave.plans.adapters import HEIGHT, POINTS_SQL, RASTER_SQL, WIDTH, colour, halves, points, queries_of
+from voxelweave.plans.adapters import POINTS_SQL, RASTER_SQL, SHIFT, colour, moved, points, queries_of
 from voxelweave.plans.adapters import raster as plane
-from voxelweave.session import shared_folder
+from voxelweave.session import new_path
 from voxelweave.sources import cloud_files, image_files, synthetic
 
-POSE = RigidTransform(rotation_axis_angle((0.31, -0.57, 0.76), 0.13), (0.18, -0.12, 0.075))
+POSE = RigidTransform(rotation_axis_angle((0.5, -0.2, 0.6), 0.11), (0.21, -0.16, 0.09))
 LEAF, RADIUS, K, SIGMA = 1.0, 0.5, 5, 1.6
-COARSE = 10.0  # leaf of the few centroids that brute-force queries ask about
 LOW, HIGH, LEAST_AREA = 180, 210, 3
 KERNEL = [round(w * 1_000_000) for w in raster.gaussian_kernel(SIGMA)]  # whole numbers: sums are exact in any order
 
@@ -35,46 +31,51 @@ def _r6(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, *((F.round(k, 6) + F.lit(0.0)).alias(k) for k in "xyz"))
 
 
-def _coarse(spark, d: str) -> DataFrame:
-    return voxel.voxel_downsample(points(spark, d), COARSE).select(F.col("voxel_key").alias("query_id"), "x", "y", "z")
+def _all(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """All points as queries, and all points."""
+    p = points(spark, d).drop("user_id")
+    return queries_of(p), p
 
 
 def _pairs(spark, d: str) -> DataFrame:
-    odd, even = halves(spark, d)
-    return registration.find_correspondences(odd, even, 1.0)
+    return registration.find_correspondences(*moved(spark, d), 1.0)
 
 
 def _rounded_sums(df: DataFrame) -> DataFrame:
     return df.select(F.col("n").cast("long").alias("n"), *((F.round(c, 3) + F.lit(0.0)).alias(c) for c in df.columns if c != "n"))
 
 
+def _r4(df: DataFrame) -> DataFrame:
+    return df.select("point_id", *((F.round(k, 4) + F.lit(0.0)).alias(k) for k in "xyz"))
+
+
 def _kabsch(spark, d: str) -> DataFrame:
-    """Pairs whose targets are the moved sources: the pose is found again."""
-    p = points(spark, d)
+    """Pairs whose targets are the moved sources: all points, moved by the pose that is found."""
+    p = points(spark, d).drop("user_id")
     s = p.select(*(F.col(k).alias(f"s{k}") for k in "xyz"), "point_id")
     t = cloud.transform(p, POSE).select("point_id", *(F.col(k).alias(f"t{k}") for k in "xyz"))
-    found = registration.estimate_rigid_transform(s.join(t, "point_id"))
-    return spark.createDataFrame([(float(abs(found.rotation - POSE.rotation).max()) < 1e-6, float(abs(found.translation - POSE.translation).max()) < 1e-5)], "rotation_found boolean, translation_found boolean")
+    return _r4(cloud.transform(p, registration.estimate_rigid_transform(s.join(t, "point_id"))))
+
+
+def _icp(spark, d: str) -> tuple[DataFrame, registration.IcpResult]:
+    """All points moved a little, registered with all points."""
+    p, away = moved(spark, d)
+    return away, registration.icp(away, p, registration.IcpOptions(60, 1.0))
 
 
 def icp_query(spark, d: str) -> DataFrame:
-    """All points against themselves moved a little: registration finds the way back."""
-    p = points(spark, d).drop("user_id")
-    away = RigidTransform(rotation_axis_angle((0.35, -0.62, 0.70), 0.004), (0.05, -0.04, 0.03))
-    result = registration.icp(cloud.transform(p, away), p, registration.IcpOptions(60, 1.0))
-    return registration.icp_frame(spark, result)
+    """The moved points, moved by the pose that registration finds: they are where they were."""
+    away, result = _icp(spark, d)
+    return _r4(cloud.transform(away, result.transform))
 
 
-def _local(spark) -> str:
-    """A new folder in the shared one, by its local name (single-file formats are written by the driver)."""
-    path = f"{shared_folder(spark).removeprefix('file://').removeprefix('file:')}/voxelweave/{uuid.uuid4().hex}"
-    os.makedirs(path, exist_ok=True)
-    return path
+def _folder(spark) -> str:
+    return new_path(spark, "files")
 
 
 def _cloud_roundtrip(extension: str):
     def run(spark, d: str) -> DataFrame:
-        path = f"{_local(spark)}/cloud{extension}"
+        path = f"{_folder(spark)}/cloud{extension}"
         cloud_files.write_cloud(points(spark, d), path)
         return cloud_files.read_cloud(spark, path).select("point_id", *(F.col(k).cast("double").alias(k) for k in "xyz"))
 
@@ -82,16 +83,22 @@ def _cloud_roundtrip(extension: str):
 
 
 def _pnm_roundtrip(spark, d: str) -> DataFrame:
-    path = _local(spark)
+    path = _folder(spark)
     image_files.write_ppm(image_files.pack(colour(spark, d)), path)
     return image_files.unpack(image_files.read_pnm(spark, path)).select("x", "y", "c", F.col("v").cast("int").alias("v"))
 
 
+def _pgm_roundtrip(spark, d: str) -> DataFrame:
+    path = _folder(spark)
+    image_files.write_pgm(image_files.pack(plane(spark, d, True)), path)
+    return image_files.unpack(image_files.read_pnm(spark, path)).select("x", "y", F.col("v").cast("int").alias("v"))
+
+
 def _csv_roundtrip(spark, d: str) -> DataFrame:
     """Measurements (group, case, size, parameter, metric, value, unit) through CSV files."""
     e = spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
     rows = e.select(F.lit("events").alias("group"), F.col("event_type").alias("case"), F.col("n").alias("size"), F.lit("all").alias("parameter"), F.lit("count").alias("metric"), F.col("n").cast("double").alias("value"), F.lit("1").alias("unit"))
-    path = f"{shared_folder(spark)}/voxelweave/{uuid.uuid4().hex}"
+    path = _folder(spark)
     rows.write.csv(path, header=True)
     return spark.read.schema(rows.schema).csv(path, header=True)
 
@@ -105,8 +112,48 @@ def _labels(spark, d: str) -> DataFrame:
 
 
 def _scene_union(spark, d: str) -> DataFrame:
-    odd, even = halves(spark, d)
-    return cloud.union([odd, even])
+    return cloud.union(moved(spark, d))
+
+
+def _scene_facts(spark, d: str) -> DataFrame:
+    """Of the default scene as many points as asked for, each on its shape's surface and within its bounds."""
+    o = synthetic.SceneOptions(3000, 2000, 1500)
+    p = synthetic.make_scene(spark, o).select("point_id", *(F.col(k).cast("double").alias(k) for k in "xyz"))
+    shape = F.when(F.col("point_id") < o.plane_points, "plane").when(F.col("point_id") < o.plane_points + o.sphere_points, "sphere").otherwise("box")
+    off = [F.col(k) - c for k, c in zip("xyz", (1.6, -1.0, 0.8), strict=True)]
+    on_plane = (F.col("z") == 0) & (F.greatest(F.abs("x"), F.abs("y")) <= 4)
+    on_sphere = F.abs(F.sqrt(F.pow(F.col("x") + 1.5, 2) + F.pow(F.col("y") - 1.2, 2) + F.pow(F.col("z") - 1.0, 2)) - 1) < 1e-5
+    on_box = F.abs(F.greatest(*map(F.abs, off)) - 0.8) < 1e-5
+    on = F.when(shape == "plane", on_plane).when(shape == "sphere", on_sphere).otherwise(on_box)
+    faces = F.when(shape == "box", F.floor((off[0] + 0.8) / 1.6 * 2.999999)).otherwise(0)
+    facts = p.select(shape.alias("shape"), on.cast("int").alias("on"), faces.alias("third"), *"xyz").groupBy("shape")
+    even = F.greatest(*(F.abs(F.avg(k) - F.when(F.col("shape") == "plane", a).when(F.col("shape") == "sphere", b).otherwise(c)) for k, a, b, c in (("x", 0.0, -1.5, 1.6), ("y", 0.0, 1.2, -1.0), ("z", 0.0, 1.0, 0.8))))
+    return facts.agg(F.count("*").alias("n"), F.sum("on").alias("on_surface"), F.countDistinct("third").alias("thirds"), (even < 0.2).alias("centred"))
+
+
+def _subset_facts(spark, d: str) -> DataFrame:
+    """Each kept point is a point of the cloud; the share kept is near the one asked for."""
+    p = points(spark, d).select("point_id", "x")
+    kept = synthetic.random_subset(p, 0.75)
+    there = kept.join(p.select(F.col("point_id").alias("i"), F.col("x").alias("v")), (F.col("point_id") == F.col("i")) & (F.col("x") == F.col("v")))
+    n, k = p.agg(F.count("*").alias("n")), there.agg(F.count("*").alias("k"), F.countDistinct("point_id").alias("u"))
+    return n.join(F.broadcast(k)).select("n", (F.col("k") == F.col("u")).alias("distinct"), (F.abs(F.col("k") / F.col("n") - 0.75) < 3 * F.sqrt(0.1875 / F.col("n"))).alias("near_share"))
+
+
+def _noise_facts(spark, d: str) -> DataFrame:
+    """Noise moves every point: by a mean near zero and a spread near sigma on each axis."""
+    p = points(spark, d).drop("user_id")
+    sigma = 0.01
+    noisy = synthetic.add_gaussian_noise(p, sigma).toDF("i", "nx", "ny", "nz")
+    e = p.join(noisy, F.col("point_id") == F.col("i")).select(*((F.col(f"n{k}").cast("double") - F.col(k)).alias(k) for k in "xyz"))
+    some = lambda k: (F.abs(F.avg(k)) < 4 * sigma / F.sqrt(F.count("*"))) & (F.abs(F.stddev_pop(k) / sigma - 1) < 0.1)
+    return e.agg(F.count("*").alias("n"), *(some(k).alias(f"{k}_as_asked") for k in "xyz"))
+
+
+def _image_facts(spark, d: str) -> DataFrame:
+    """The test image without noise: pixels of each object by its grey."""
+    image = synthetic.make_test_image(spark, 200, 100, 0.0)
+    return image.where("v > 60").groupBy(F.col("v").alias("grey")).agg(F.count("*").alias("pixels"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
 
 
 def _pad(spark, d: str) -> DataFrame:
@@ -137,24 +184,26 @@ QUERIES = {
     "voxel_shape": lambda s, d: voxel.voxel_grid_shape(points(s, d), LEAF),
     "voxel_stats": lambda s, d: voxel.voxel_stats(points(s, d), LEAF),
     "voxel_key": lambda s, d: voxel.with_cells(points(s, d), LEAF).select("point_id", "voxel_key"),
-    "radius_search": lambda s, d: neighbors.radius_search(queries_of(halves(s, d)[0]), halves(s, d)[1], RADIUS),
-    "radius_count": lambda s, d: neighbors.radius_count(queries_of(halves(s, d)[0]), halves(s, d)[1], RADIUS),
-    "brute_radius": lambda s, d: neighbors.brute_force_radius(_coarse(s, d), points(s, d), 2.0),
-    "nearest": lambda s, d: neighbors.nearest(queries_of(halves(s, d)[0]), halves(s, d)[1]),
-    "knn": lambda s, d: neighbors.knn(queries_of(halves(s, d)[0]), halves(s, d)[1], K),
-    "brute_knn": lambda s, d: neighbors.brute_force_knn(_coarse(s, d), points(s, d), K),
+    "radius_search": lambda s, d: neighbors.radius_search(*_all(s, d), RADIUS, skip_same=True),
+    "radius_count": lambda s, d: neighbors.radius_count(*_all(s, d), RADIUS, skip_same=True),
+    "brute_radius": lambda s, d: neighbors.brute_force_radius(*_all(s, d), RADIUS, skip_same=True),
+    "nearest": lambda s, d: neighbors.nearest(*_all(s, d), skip_same=True),
+    "knn": lambda s, d: neighbors.knn(*_all(s, d), K, skip_same=True),
+    "brute_knn": lambda s, d: neighbors.brute_force_knn(*_all(s, d), K, skip_same=True),
     "index_report": lambda s, d: neighbors.index_report(points(s, d), LEAF),
     "correspondences": lambda s, d: _pairs(s, d).select("source_id", "target_id", "squared_distance"),
     "correspondence_rmse": lambda s, d: registration.correspondence_rmse(_pairs(s, d)).select(F.round("rmse", 6).alias("rmse"), "correspondences"),
     "cross_covariance": lambda s, d: _rounded_sums(registration.pair_sums(_pairs(s, d))),
     "kabsch": _kabsch,
     "icp": icp_query,
+    "icp_report": lambda s, d: registration.icp_frame(s, _icp(s, d)[1]),
     "image_to_float": lambda s, d: _image(raster.to_float(colour(s, d), 2)),
     "image_gray": lambda s, d: _image(raster.to_grayscale(colour(s, d))),
     "image_normalize": lambda s, d: _image(raster.normalize_to_image8(plane(s, d, False))),
     "image_threshold": lambda s, d: _image(raster.threshold(plane(s, d, True), LOW)),
     "image_to8": lambda s, d: _image(raster.to_image8(plane(s, d, False).withColumn("v", F.col("v") * F.lit(5.5) - F.lit(3.25)))),
     "gaussian_blur": lambda s, d: _image(raster.convolve_columns(raster.convolve_rows(plane(s, d, False), KERNEL), KERNEL)),
+    "gaussian_blur_sigma": lambda s, d: _image(raster.gaussian_blur(plane(s, d, False), SIGMA).withColumn("v", F.round("v", 6) + F.lit(0.0))),
     "sobel": lambda s, d: _image(raster.sobel(plane(s, d, True))),
     "nms": lambda s, d: _image(raster.non_maximum_suppression(raster.sobel(plane(s, d, True)))),
     "hysteresis": lambda s, d: _image(components.hysteresis_threshold(plane(s, d, True), LOW, HIGH)),
@@ -167,12 +216,17 @@ QUERIES = {
     "random_subset": lambda s, d: synthetic.random_subset(points(s, d), 0.75).drop("user_id"),
     "gaussian_noise": lambda s, d: synthetic.add_gaussian_noise(points(s, d).drop("user_id"), 0.01),
     "synthetic_scene": lambda s, d: synthetic.make_scene(s, synthetic.SceneOptions(3000, 2000, 1500)),
+    "scene_facts": _scene_facts,
+    "subset_facts": _subset_facts,
+    "noise_facts": _noise_facts,
+    "image_facts": _image_facts,
     "synthetic_image": lambda s, d: synthetic.make_test_image(s, 160, 120, 2.0, 9),
     "pad_text": _pad,
     "timing_stats": _timing,
     "ply_roundtrip": _cloud_roundtrip(".ply"),
     "pcd_roundtrip": _cloud_roundtrip(".pcd"),
     "pnm_roundtrip": _pnm_roundtrip,
+    "pgm_roundtrip": _pgm_roundtrip,
     "csv_roundtrip": _csv_roundtrip,
 }
 
@@ -201,22 +255,33 @@ def _cells(leaf: float) -> str:
 
 _DOWN = f"SELECT voxel_key, ix, iy, iz, {', '.join(f'{_mean(k)} AS {k}' for k in 'xyz')}, count(*) AS n_points FROM v GROUP BY ALL"
 _D2 = "(q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y) + (q.z - t.z) * (q.z - t.z)"
-_HALVES = f"{_P}, q AS (SELECT point_id AS query_id, x, y, z FROM p WHERE point_id % 2 = 1), t AS (SELECT point_id, x, y, z FROM p WHERE point_id % 2 = 0), pairs AS (SELECT query_id, point_id, {_D2} AS squared_distance FROM q, t)"
-_COARSE = f"{_cells(COARSE)}, q AS (SELECT voxel_key AS query_id, x, y, z FROM ({_DOWN})), t AS (SELECT point_id, x, y, z FROM p), pairs AS (SELECT query_id, point_id, {_D2} AS squared_distance FROM q, t)"
+_ALL = f"{_P}, pairs AS (SELECT q.point_id AS query_id, t.point_id, {_D2} AS squared_distance FROM p q JOIN p t ON q.point_id <> t.point_id)"
+_CLOSE = f"{_ALL} SELECT * FROM pairs WHERE squared_distance <= {_double(RADIUS * RADIUS)}"
 _RANKED = "SELECT query_id, point_id, squared_distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY squared_distance, point_id) AS INTEGER) AS rank FROM pairs"
-_MATCHED = f"{_HALVES}, m AS (SELECT query_id AS source_id, point_id AS target_id, squared_distance FROM ({_RANKED}) WHERE rank = 1 AND squared_distance <= 1), c AS (SELECT m.*, q.x AS sx, q.y AS sy, q.z AS sz, t.x AS tx, t.y AS ty, t.z AS tz FROM m JOIN q ON q.query_id = source_id JOIN t ON t.point_id = target_id)"
+
+
+def _best(k: int) -> str:
+    """The k nearest of each query, ties to the smaller id: a bounded heap of (squared_distance, point_id)."""
+    return f"{_ALL}, h AS (SELECT query_id, min({{'d': squared_distance, 'i': point_id}}, {k}) AS best FROM pairs GROUP BY query_id), u AS (SELECT query_id, unnest(best) AS b, CAST(generate_subscripts(best, 1) AS INTEGER) AS rank FROM h) SELECT query_id, b.i AS point_id, b.d AS squared_distance, rank FROM u"
+
+
+_MATCHED = f"{_P}, t AS ({_moved(SHIFT, 'p')}), pairs AS (SELECT q.point_id AS query_id, t.point_id, {_D2} AS squared_distance, q.x AS sx, q.y AS sy, q.z AS sz, t.x AS tx, t.y AS ty, t.z AS tz FROM p q JOIN t ON {_D2} <= 1), c AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY squared_distance, point_id) = 1)"
 _R = f"WITH {RASTER_SQL}"
 
 
 def _at(name: str, dx: str, dy: str) -> str:
     """A join to the pixel at an offset, the border replicated."""
-    return f"{name}.x = greatest(0, least({WIDTH - 1}, a.x + {dx})) AND {name}.y = greatest(0, least({HEIGHT - 1}, a.y + {dy}))"
+    return f"{name}.x = greatest((SELECT x0 FROM ends), least((SELECT x1 FROM ends), a.x + {dx})) AND {name}.y = greatest((SELECT y0 FROM ends), least((SELECT y1 FROM ends), a.y + {dy}))"
 
 
 _TAPS = ", ".join(f"({k - len(KERNEL) // 2}, CAST({w} AS BIGINT))" for k, w in enumerate(KERNEL))
 _BLUR = f"""{_R}, k(o, w) AS (VALUES {_TAPS}),
 h AS (SELECT a.x, a.y, CAST(sum(b.v * w) AS BIGINT) AS v FROM grid a, k JOIN smooth b ON {_at('b', 'o', '0')} GROUP BY 1, 2)
 SELECT a.x, a.y, CAST(sum(b.v * w) AS BIGINT) AS v FROM grid a, k JOIN h b ON {_at('b', '0', 'o')} GROUP BY 1, 2"""
+_WEIGHTS = ", ".join(f"({k - len(KERNEL) // 2}, {_double(w)})" for k, w in enumerate(raster.gaussian_kernel(SIGMA)))
+_BLUR_SIGMA = f"""{_R}, k(o, w) AS (VALUES {_WEIGHTS}),
+h AS (SELECT a.x, a.y, sum(b.v * w) AS v FROM grid a, k JOIN smooth b ON {_at('b', 'o', '0')} GROUP BY 1, 2)
+SELECT a.x, a.y, round(sum(b.v * w), 6) + 0.0 AS v FROM grid a, k JOIN h b ON {_at('b', '0', 'o')} GROUP BY 1, 2"""
 _SOBEL = f"""{_R}, w(dx, dy, wx, wy) AS (VALUES (-1,-1,-1,-1), (0,-1,0,-2), (1,-1,1,-1), (-1,0,-2,0), (1,0,2,0), (-1,1,-1,1), (0,1,0,2), (1,1,1,1)),
 s AS (SELECT a.x, a.y, CAST(sum(b.v * wx) AS BIGINT) AS gx, CAST(sum(b.v * wy) AS BIGINT) AS gy FROM grid a, w JOIN rough b ON {_at('b', 'dx', 'dy')} GROUP BY 1, 2),
 g AS (SELECT *, sqrt(CAST(gx * gx + gy * gy AS DOUBLE)) AS magnitude FROM s)"""
@@ -227,7 +292,7 @@ FROM n a JOIN g b ON {_at('b', '-nx', '-ny')} JOIN g c ON {_at('c', 'nx', 'ny')}
 
 
 def _closure(near: str) -> str:
-    return f"""WITH RECURSIVE {RASTER_SQL}, fg AS (SELECT x, y, v, y * 1000 + x AS id FROM rough WHERE v >= {LOW}),
+    return f"""WITH RECURSIVE {RASTER_SQL}, fg AS (SELECT x, y, v, y * 100000 + x AS id FROM rough WHERE v >= {LOW}),
 e AS (SELECT a.id AS a, b.id AS b FROM fg a JOIN fg b ON {near}),
 reach AS (SELECT id, id AS root FROM fg UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id),
 comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
@@ -239,17 +304,24 @@ _FOUR = "abs(a.x - b.x) + abs(a.y - b.y) <= 1"
 
 def _labelled(near: str, least: int) -> str:
     return f"""{_closure(near)}, kept AS (SELECT root, row_number() OVER (ORDER BY root) AS label FROM comp GROUP BY root HAVING count(*) >= {least}),
-lab AS (SELECT g.x, g.y, coalesce(label, 0) AS label FROM grid g LEFT JOIN comp ON comp.id = g.y * 1000 + g.x LEFT JOIN kept USING (root))"""
+lab AS (SELECT g.x, g.y, coalesce(label, 0) AS label FROM grid g LEFT JOIN comp ON comp.id = g.y * 100000 + g.x LEFT JOIN kept USING (root))"""
 
 
 _LAB = _labelled(_EIGHT, LEAST_AREA)
 _INVERSE = _moved(POSE.inverse(), "moved")
+_ROUND4 = ", ".join(f"round({k}, 4) + 0.0 AS {k}" for k in "xyz")
 _ROUND = ", ".join(f"round({k}, 6) + 0.0 AS {k}" for k in "xyz")
 _HASH = "xor((label * 2654435761) & 4294967295, ((label * 2654435761) & 4294967295) >> 15)"
 _FILED = f"{_P} SELECT CAST(row_number() OVER (ORDER BY point_id) - 1 AS BIGINT) AS point_id, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y, CAST(CAST(z AS FLOAT) AS DOUBLE) AS z FROM p"
 _COLOUR = f"""{_R}, colour AS (SELECT s.x, s.y, unnest([0, 1, 2]) AS c, unnest([s.v * 3 % 256, r.v, (s.v + r.v) % 256]) AS v FROM smooth s JOIN rough r ON s.x = r.x AND s.y = r.y)"""
 _PAIR_SUMS = ", ".join([f"round(coalesce(sum({e}), 0), 3) + 0.0 AS {n}" for n, e in [("d2", "squared_distance"), *((f"s{a}", f"s{a}") for a in "xyz"), *((f"t{a}", f"t{a}") for a in "xyz"), *((f"s{a}t{b}", f"s{a} * t{b}") for a in "xyz" for b in "xyz")]])
 
+_INSIDE = " UNION ALL ".join(
+    [f"SELECT CAST({g} AS INTEGER) AS grey, x, y FROM xy WHERE x >= {int(a * 200)} AND x < {int(c * 200)} AND y >= {int(b * 100)} AND y < {int(e * 100)}" for a, b, c, e, g in synthetic.RECTANGLES]
+    + [f"SELECT CAST({g} AS INTEGER) AS grey, x, y FROM xy WHERE (x - {_double(cx * 200)}) * (x - {_double(cx * 200)}) + (y - {_double(cy * 100)}) * (y - {_double(cy * 100)}) <= {_double((r * 100) ** 2)}" for cx, cy, r, g in synthetic.DISCS]
+)
+_IMAGE_FACTS = f"WITH xy AS (SELECT CAST(a.i AS INTEGER) AS x, CAST(b.i AS INTEGER) AS y FROM range(200) a(i), range(100) b(i)), o AS ({_INSIDE}) SELECT grey, count(*) AS pixels, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM o GROUP BY 1"
+
 ORACLES = {
     "cloud_bounds": f"{_P} SELECT min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z FROM p",
     "cloud_extent_axis": f"{_BOUNDS}, e AS (SELECT *, max_x - min_x AS extent_x, max_y - min_y AS extent_y, max_z - min_z AS extent_z FROM b) SELECT *, CAST(CASE WHEN extent_x >= extent_y AND extent_x >= extent_z THEN 0 WHEN extent_y >= extent_z THEN 1 ELSE 2 END AS INTEGER) AS widest_axis FROM e",
@@ -262,36 +334,43 @@ ORACLES = {
     "voxel_shape": f"{_BOUNDS} SELECT {', '.join(f'CAST(floor((max_{k} - min_{k}) / {_double(LEAF)}) AS BIGINT) + 1 AS n{k}' for k in 'xyz')} FROM b",
     "voxel_stats": f"{_cells(LEAF)}, o AS (SELECT count(*) AS n FROM v), u AS (SELECT count(DISTINCT voxel_key) AS m FROM v) SELECT n AS input_points, m AS output_points, {_double(LEAF)} AS leaf_size, CAST(m AS DOUBLE) / n AS reduction_ratio FROM o, u",
     "voxel_key": f"{_cells(LEAF)} SELECT point_id, voxel_key FROM v",
-    "radius_search": f"{_HALVES} SELECT * FROM pairs WHERE squared_distance <= {_double(RADIUS * RADIUS)}",
-    "radius_count": f"{_HALVES} SELECT query_id, count(point_id) AS n FROM (SELECT q.query_id, f.point_id FROM q LEFT JOIN (SELECT * FROM pairs WHERE squared_distance <= {_double(RADIUS * RADIUS)}) f USING (query_id)) GROUP BY 1",
-    "brute_radius": f"{_COARSE} SELECT * FROM pairs WHERE squared_distance <= 4",
-    "nearest": f"{_HALVES} SELECT query_id, point_id, squared_distance FROM ({_RANKED}) WHERE rank = 1",
-    "knn": f"{_HALVES} SELECT * FROM ({_RANKED}) WHERE rank <= {K}",
-    "brute_knn": f"{_COARSE} SELECT * FROM ({_RANKED}) WHERE rank <= {K}",
+    "radius_search": _CLOSE,
+    "radius_count": f"SELECT p.event_id AS query_id, count(point_id) AS n FROM events p LEFT JOIN ({_CLOSE}) f ON f.query_id = p.event_id GROUP BY 1",
+    "brute_radius": _CLOSE,
+    "nearest": f"SELECT query_id, point_id, squared_distance FROM ({_best(1)})",
+    "knn": _best(K),
+    "brute_knn": _best(K),
     "index_report": f"{_P}, c AS (SELECT floor(x) AS a, floor(y) AS b, floor(z) AS c, count(*) AS n FROM p GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS n_points, count(*) AS n_cells, max(n) AS fullest, CAST(sum(n) * 36 AS BIGINT) AS index_bytes FROM c",
-    "correspondences": f"{_MATCHED} SELECT source_id, target_id, squared_distance FROM m",
-    "correspondence_rmse": f"{_MATCHED} SELECT round(sqrt(sum(squared_distance) / count(*)), 6) AS rmse, count(*) AS correspondences FROM m",
+    "correspondences": f"{_MATCHED} SELECT query_id AS source_id, point_id AS target_id, squared_distance FROM c",
+    "correspondence_rmse": f"{_MATCHED} SELECT round(sqrt(sum(squared_distance) / count(*)), 6) AS rmse, count(*) AS correspondences FROM c",
     "cross_covariance": f"{_MATCHED} SELECT count(*) AS n, {_PAIR_SUMS} FROM c",
-    "kabsch": "SELECT true AS rotation_found, true AS translation_found",
+    "kabsch": f"{_P}, m AS ({_moved(POSE, 'p')}) SELECT point_id, {_ROUND4} FROM m",
+    "icp": f"{_P} SELECT point_id, {_ROUND4} FROM p",
     "image_to_float": f"{_COLOUR} SELECT x, y, CAST(v AS DOUBLE) AS v FROM colour WHERE c = 2",
     "image_gray": f"{_COLOUR}, wide AS (SELECT x, y, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b FROM colour GROUP BY 1, 2) SELECT x, y, CAST(floor(r * {_double(0.299)} + g * {_double(0.587)} + b * {_double(0.114)} + {_double(0.5)}) AS INTEGER) AS v FROM wide",
     "image_normalize": f"{_R}, m AS (SELECT min(v) AS lo, max(v) AS hi FROM smooth) SELECT x, y, CAST(floor(CAST(v - lo AS DOUBLE) * 255.0 / (hi - lo) + 0.5) AS INTEGER) AS v FROM smooth, m",
     "image_threshold": f"{_R} SELECT x, y, CAST(CASE WHEN v >= {LOW} THEN 255 ELSE 0 END AS INTEGER) AS v FROM rough",
     "image_to8": f"{_R} SELECT x, y, CAST(floor(least(255, greatest(0, v * {_double(5.5)} - {_double(3.25)} + {_double(0.5)}))) AS INTEGER) AS v FROM smooth",
     "gaussian_blur": _BLUR,
+    "gaussian_blur_sigma": _BLUR_SIGMA,
     "sobel": f"{_SOBEL} SELECT x, y, gx, gy, magnitude FROM g",
     "nms": _NMS,
-    "hysteresis": f"{_closure(_EIGHT)}, strong AS (SELECT DISTINCT root FROM comp JOIN fg USING (id) WHERE v >= {HIGH}) SELECT g.x, g.y, CAST(CASE WHEN strong.root IS NULL THEN 0 ELSE 255 END AS INTEGER) AS v FROM grid g LEFT JOIN comp ON comp.id = g.y * 1000 + g.x LEFT JOIN strong ON strong.root = comp.root",
+    "hysteresis": f"{_closure(_EIGHT)}, strong AS (SELECT DISTINCT root FROM comp JOIN fg USING (id) WHERE v >= {HIGH}) SELECT g.x, g.y, CAST(CASE WHEN strong.root IS NULL THEN 0 ELSE 255 END AS INTEGER) AS v FROM grid g LEFT JOIN comp ON comp.id = g.y * 100000 + g.x LEFT JOIN strong ON strong.root = comp.root",
     "components": f"{_LAB} SELECT x, y, label FROM lab",
     "components_graph": f"{_labelled(_FOUR, 1)} SELECT x, y, label FROM lab",
     "component_stats": f"{_LAB} SELECT label, count(*) AS area, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y, CAST(sum(x) AS DOUBLE) / count(*) AS centroid_x, CAST(sum(y) AS DOUBLE) / count(*) AS centroid_y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM lab WHERE label > 0 GROUP BY label",
     "label_at": f"{_LAB} SELECT label FROM lab WHERE x = 3 AND y = 4",
     "colorize_labels": f"{_LAB}, h AS (SELECT x, y, label, {_HASH} AS h FROM lab) SELECT x, y, {', '.join(f'CAST(CASE WHEN label = 0 THEN 0 ELSE 60 + ((h >> {8 * k}) & 255) * 195 // 255 END AS INTEGER) AS {n}' for k, n in enumerate('rgb'))} FROM h",
-    "scene_union": f"{_P}, o AS (SELECT count(*) AS n FROM p WHERE point_id % 2 = 1) SELECT CASE WHEN point_id % 2 = 1 THEN point_id ELSE point_id + n END AS point_id, x, y, z FROM p, o",
+    "scene_union": f"{_P}, o AS (SELECT count(*) AS n FROM p), m AS ({_moved(SHIFT, 'p')}) SELECT point_id, x, y, z FROM p UNION ALL SELECT point_id + n, x, y, z FROM m, o",
+    "scene_facts": "SELECT * FROM (VALUES ('plane', CAST(3000 AS BIGINT), CAST(3000 AS BIGINT), CAST(1 AS BIGINT), true), ('sphere', 2000, 2000, 1, true), ('box', 1500, 1500, 3, true)) v(shape, n, on_surface, thirds, centred)",
+    "subset_facts": "SELECT count(*) AS n, true AS distinct, true AS near_share FROM events",
+    "noise_facts": "SELECT count(*) AS n, true AS x_as_asked, true AS y_as_asked, true AS z_as_asked FROM events",
+    "image_facts": _IMAGE_FACTS,
     "pad_text": "SELECT n_nationkey, CAST(length(n_name) AS INTEGER) AS width, CASE WHEN length(n_name) >= 9 THEN n_name ELSE rpad(n_name, 9, ' ') END AS padded_right, CASE WHEN length(n_name) >= 9 THEN n_name ELSE lpad(n_name, 9, ' ') END AS padded_left FROM nation",
     "timing_stats": "SELECT event_type, round(median(value), 6) AS median_ms, round(avg(value), 6) AS mean_ms, round(min(value), 6) AS min_ms, round(max(value), 6) AS max_ms, count(*) AS repetitions, round((max(value) - min(value)) / median(value), 6) AS spread_ratio FROM events GROUP BY 1",
     "ply_roundtrip": _FILED,
     "pcd_roundtrip": _FILED,
+    "pgm_roundtrip": f"{_R} SELECT x - x0 AS x, y - y0 AS y, CAST(v AS INTEGER) AS v FROM rough, ends",
     "pnm_roundtrip": f"{_COLOUR} SELECT x, y, CAST(c AS INTEGER) AS c, CAST(v AS INTEGER) AS v FROM colour",
     "csv_roundtrip": "SELECT 'events' AS \"group\", event_type AS \"case\", count(*) AS size, 'all' AS parameter, 'count' AS metric, CAST(count(*) AS DOUBLE) AS value, '1' AS unit FROM events GROUP BY event_type",
 }

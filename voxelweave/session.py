@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,22 +29,68 @@ def local_session(cpus: int | str = 8, partitions: int = 8, **extra: str) -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where it is unset and all run on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         if not context.getCheckpointDir():
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="voxelweave-"))
         root = context.getCheckpointDir()
     return root.rstrip("/")
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Whatever operators have written in the shared folder within this block is deleted at its end; results that read it must be written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            delete(spark, path)
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder."""
+    path = f"{shared_folder(spark)}/voxelweave/{tag}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage is cut, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/voxelweave/{tag}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """A folder of tables that an operator writes on its way and deletes once later tables hold what they said."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.root = spark, new_path(spark, tag)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df written as Parquet under `name` and read back, as by materialize()."""
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete tables (all of them, where none is named). What is returned lazily must not read them any more."""
+        for path in [f"{self.root}/{n}" for n in names] or [self.root]:
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any store that Spark reaches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 _SHIPPED: set[str] = set()

@@ -12,9 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelweave.sources.stores import write_lines
+
 
 class CloudFileError(ValueError):
     """A file or name that is not a cloud."""
@@ -135,15 +138,16 @@ def read_cloud(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, _PARSERS[extension])
 
 
+def _lines(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in source:
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array([" ".join(f"{v:.9g}" for v in r) for r in rows], pa.string())], names=["value"])
+
+
 def _write(points: DataFrame, path: str, header) -> None:
-    """One file, streamed row by row in order of point_id; the driver holds a partition at a time."""
-    rows = points.select("point_id", "x", "y", "z")
-    n = rows.count()
-    lines = rows.orderBy("point_id").select(F.col("x").cast("float"), F.col("y").cast("float"), F.col("z").cast("float"))
-    with open(path, "w", encoding="ascii", newline="\n") as f:
-        f.write(header(n))
-        for r in lines.toLocalIterator():
-            f.write(" ".join(f"{v:.9g}" for v in r) + "\n")
+    """One file in order of point_id; tasks make the lines."""
+    lines = points.orderBy("point_id").select(*(F.col(c).cast("float").alias(c) for c in "xyz")).mapInArrow(_lines, "value string")
+    write_lines(lines, path, header(points.count()))
 
 
 def write_ply(points: DataFrame, path: str) -> None:

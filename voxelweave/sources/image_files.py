@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelweave.sources.stores import write_bytes
+
 PACKED = "image_id string, width int, height int, channels int, data binary"
 
 
@@ -99,12 +101,10 @@ def format_ppm(width: int, height: int, channels: int, data: bytes) -> bytes:
 
 
 def _write(images: DataFrame, folder: str, extension: str, form) -> None:
-    os.makedirs(folder, exist_ok=True)
+    """One image is one file, so one row comes at a time."""
     for r in images.toLocalIterator():
-        content = form(r["width"], r["height"], r["channels"], bytes(r["data"]))
         name = os.path.splitext(os.path.basename(r["image_id"]))[0]
-        with open(os.path.join(folder, f"{name}{extension}"), "wb") as f:
-            f.write(content)
+        write_bytes(images.sparkSession, f"{folder}/{name}{extension}", form(r["width"], r["height"], r["channels"], bytes(r["data"])))
 
 
 def write_pgm(images: DataFrame, folder: str) -> None:
