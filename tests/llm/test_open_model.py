@@ -65,3 +65,71 @@ def test_blocks_do_not_change_the_scores(docs_of, monkeypatch):
     monkeypatch.setattr(quality_rules, "BLOCK", 2000)
     many = {r["doc_id"]: r["log_perplexity"] for r in quality_rules.quality_rules(docs.repartition(3)).collect()}
     assert len(one) == len(many) == 43 and all(abs(one[k] - many[k]) < 1e-4 for k in one)
+
+
+def _slow_model(texts):
+    """Interpolated modified Kneser-Ney of orders 5 to 3, from the definition: raw counts at order 5, continuation counts below."""
+    symbols = lambda t: [int(x) for x in quality_rules.symbols_of("\n" * 4 + t)]
+    counts = {5: {}}
+    for t in texts:
+        s = symbols(t)
+        for k in range(4, len(s)):
+            g = tuple(s[k - 4 : k + 1])
+            counts[5][g] = counts[5].get(g, 0) + 1
+    for order in (4, 3):
+        counts[order] = {}
+        for g in counts[order + 1]:
+            counts[order][g[1:]] = counts[order].get(g[1:], 0) + 1
+
+    def discounts(c):
+        n = [0, *(sum(v == k for v in c.values()) for k in (1, 2, 3, 4))]
+        if min(n[1:]) == 0:
+            return [0, 0.5, 0.75, 0.9]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) for k in (1, 2, 3))]
+
+    d = {o: discounts(c) for o, c in counts.items()}
+
+    def prob(g, order):
+        if order < 3:
+            return 1 / 4096
+        tail = g[-order:]
+        follow = {h: c for h, c in counts[order].items() if h[:-1] == tail[:-1]}
+        if not follow:
+            return prob(g, order - 1)
+        total, own = sum(follow.values()), counts[order].get(tail, 0)
+        gamma = sum(d[order][min(c, 3)] for c in follow.values()) / total
+        return (own - d[order][min(own, 3)]) / total + gamma * prob(g, order - 1)
+
+    return lambda g: prob(g, 5)
+
+
+def test_open_model_against_a_slow_one():
+    texts = [prose(LATIN[:12], 25, k) for k in range(4)] + [prose(GREEK[:9], 12, 8), "日本 a"]
+    grams, _ = quality_rules.open_grams(texts)
+    keys, counts = np.unique(grams, return_counts=True)
+    assert {1, 2, 3} <= set(counts.tolist())  # so that each of the three discounts is used
+    model, slow = quality_rules.OpenModel(keys, counts), _slow_model(texts)
+    wanted = np.unique(np.concatenate([keys[::7], quality_rules.open_grams([prose(LATIN[:12], 6, 99) + "zq日ж"])[0]]))
+    unpack = lambda g: tuple((int(g) >> (12 * k)) & 4095 for k in range(4, -1, -1))
+    assert np.allclose(model.prob(wanted), [slow(unpack(g)) for g in wanted], rtol=1e-9)
+
+
+def test_bands_against_slow_ones(spark):
+    rng = random.Random(3)
+    rows = [(lang, size, rng.random() < 0.1, round(rng.gauss(3, 0.4) + (lang == "b"), 3)) for lang, n in (("a", 90), ("b", 25), (None, 4)) for size in (6, 7) for _ in range(n)]
+    scored = spark.createDataFrame(rows, "lang string, size int, base_failed boolean, log_perplexity double")
+    good = [r for r in rows if not r[2]]
+    middle = lambda v: float(np.percentile(v, 50))
+    shrink = lambda own, n, wider: (own * n + wider * quality_rules.SHRINK) / (n + quality_rules.SHRINK)
+    m1 = {g: middle([r[3] for r in good if r[0] == g]) for g in ("a", "b", None)}
+    m0, d0 = middle([r[3] for r in good]), middle([abs(r[3] - m1[r[0]]) for r in good])
+    got = quality_rules.bands_of(scored, 4.0).collect()
+    assert len(got) == len({r[:2] for r in good})
+    for r in got:
+        lang, size = r["band_lang"], r["band_size"]
+        one, two = [x[3] for x in good if x[0] == lang], [x[3] for x in good if x[:2] == (lang, size)]
+        d1, m2 = middle([abs(v - m1[lang]) for v in one]), middle(two)
+        d2 = middle([abs(v - m2) for v in two])
+        centre, spread = shrink(m2, len(two), shrink(m1[lang], len(one), m0)), shrink(d2, len(two), shrink(d1, len(one), d0))
+        assert abs(r["low"] - (centre - 4 * 1.4826 * spread - 0.001)) < 1e-9 and abs(r["high"] - (centre + 4 * 1.4826 * spread + 0.001)) < 1e-9

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from voxelweave.llm import ann, chat
 
@@ -32,18 +33,43 @@ def test_search_recall_scores_and_ties(spark):
     got = {}
     for r in ann.search(df, 50, block=100).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
-    want = _brute(x, 50, 5)
+    want, every = _brute(x, 50, 5), _brute(x, 50, 5000)
     assert set(got) == set(want) and all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
     found = sum(len({i for _, i in want[q]} & {i for i, _ in g.values()}) for q, g in got.items())
     assert found >= 0.9 * 5 * len(want)
     for q, g in got.items():
         keys = [(-g[r][1], g[r][0]) for r in range(1, 6)]
         assert keys == sorted(keys)
-        exact = dict((i, -s) for s, i in _brute(x, 50, 5000)[q]) if q == 0 else {}
-        assert all(abs(exact[i] - s) < 1e-12 for i, s in g.values() if exact)
+        exact = dict((i, -s) for s, i in every[q])
+        assert all(abs(exact[i] - s) < 1e-12 for i, s in g.values())
     assert [i for _, i in want[2000]] == [g[0] for _, g in sorted(got[2000].items())]
 
 
+def test_repeated_rows_are_candidates_of_their_own(spark):
+    """A vector that many rows of the query's own id share hides no other id; repeated rows of another id count each."""
+    same, other = [1.0, 0.0], [0.447, 0.894]
+    rows = [(0, same)] * 7 + [(1, same), (2, same), (2, same), (3, other), (None, same)]
+    got = sorted((r["rank"], r["vec_id"]) for r in ann.search(spark.createDataFrame(rows, VECTORS), 50).collect())
+    assert got == [(1, 1), (2, 2), (3, 2), (4, 3)]
+    two = spark.createDataFrame([(0, same), (0, other), (1, same), (2, other)], VECTORS)  # a query id of two vectors asks with one
+    assert [r["vec_id"] for r in ann.search(two, 50).orderBy("rank").collect()] in ([1, 2], [2, 1])
+
+
+def test_crowded_leaves_get_lower_parts(spark):
+    """More cells than the shared tree has leaves; recall on rows that did not calibrate; a third of all rows close together."""
+    rng = np.random.default_rng(5)
+    x = [(k, np.float32(rng.normal(size=8)).tolist()) for k in range(2000)] + [(3000 + k, np.float32(np.eye(8)[0] * 40 + rng.normal(size=8)).tolist()) for k in range(1000)]
+    told = {}
+    df = spark.createDataFrame(x, VECTORS).repartition(4)
+    rows = ann.search(df, 50, sample=200, crowded=120, block=100, recall=0.95, told=told).collect()
+    want = _brute(x, 50, 5)
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(got[q] & {i for _, i in w}) for q, w in want.items()) >= 0.9 * 5 * len(want)
+    assert told["share"] < 1 and all(len(g) == 5 for g in got.values())
+
+
 def test_search_few_and_empty(spark):
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], VECTORS)
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(two, 50).collect()] == [(0, 1, 1)]
@@ -101,6 +127,24 @@ def test_best_paths_of_trees(spark):
         return [*path(parent[n]), n] if parent[n] is not None else [n]
 
     leaves = set(parent) - set(parent.values())
+    ranked = {root: sorted((path(n) for n in leaves if path(n)[0] == root), key=lambda p: (-sum(score[n] for n in p) / len(p), -len(p), p[-1])) for root in (0, 100)}
     for root in (0, 100):
-        best = min((path(n) for n in leaves if path(n)[0] == root), key=lambda p: (-sum(score[n] for n in p) / len(p), -len(p), p[-1]))
-        assert [got[root][k] for k in range(len(got[root]))] == best
+        assert [got[root][k] for k in range(len(got[root]))] == ranked[root][0]
+    several = {}
+    df = spark.createDataFrame(rows, "node long, parent long, score double")
+    for r in chat.best_paths(df, 4).collect():
+        several.setdefault((r["root"], r["leaf"]), {})[r["position"]] = r["node"]
+    assert sorted([s[k] for k in range(len(s))] for s in several.values()) == sorted(p for root in (0, 100) for p in ranked[root][:4])
+    # every row twice, and a lesser row of each node: the same trees
+    more = df.unionByName(df).unionByName(df.selectExpr("node", "cast(0 as long) as parent", "score - 1 as score"))
+    assert sorted(chat.best_paths(more).collect()) == sorted(chat.best_paths(df).collect())
+    assert chat.best_paths(df.where("false")).count() == 0
+
+
+def test_two_trees_of_one_conversation_stay_apart(spark, tmp_path):
+    rows = [(1, None, 5, "user", "a"), (2, 1, 5, "assistant", "b"), (11, None, 5, "user", "c"), (12, 11, 5, "assistant", "d"), (12, 11, 5, "assistant", "d"), (13, 11, 5, None, None)]
+    nodes = spark.createDataFrame(rows, "node long, parent long, conv_id long, role string, text string").withColumn("leaf", F.lit(1))
+    chat.format_paths(nodes, str(tmp_path / "o"), paths=2)
+    got = {(r["conv_id"], r["leaf"]): r["turns_sha256"] for r in chat.conversation_digest(spark, str(tmp_path / "o")).collect()}
+    sha = lambda *turns: hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+    assert got == {(5, 2): sha(("user", "a"), ("assistant", "b")), (5, 12): sha(("user", "c"), ("assistant", "d")), (5, 13): sha(("user", "c"), ("", ""))}

@@ -40,21 +40,16 @@ def test_base_counts_against_slow_ones():
         assert quality_rules.base_counts(t) == _slow_base(t), repr(t)
 
 
-def test_model_sums_to_one_and_backs_off():
-    grams, _ = quality_rules.grams_of([prose(400, k) for k in range(5)])
-    counts = np.bincount(grams, minlength=quality_rules.GRAMS)
-    model = quality_rules.KneserNey.fit(np.flatnonzero(counts), counts[counts > 0])
-    assert (np.diff(model.keys.astype(object)) > 0).all()
-    contexts = np.random.default_rng(0).integers(0, quality_rules.GRAMS // 32, 60)
-    p = np.exp(model.logprob((contexts[:, None] * 32 + np.arange(32)).ravel())).reshape(60, 32)
-    assert np.allclose(p.sum(1), 1, atol=1e-5)
-    likely, unlikely = (model.logprob(quality_rules.grams_of([t])[0]).mean() for t in (prose(100, 99), "zqxj kwvy zzkq xqjw"))
+def test_model_backs_off():
+    texts = [prose(400, k) for k in range(5)]
+    model = quality_rules.OpenModel(*np.unique(quality_rules.open_grams(texts)[0], return_counts=True))
+    likely, unlikely = (np.log(model.prob(quality_rules.open_grams([t])[0])).mean() for t in (prose(100, 99), "zqxj kwvy zzkq xqjw"))
     assert likely > unlikely + 1
 
 
 def test_grams_have_boundaries():
-    one, n = quality_rules.grams_of(["ab", "", "c"])
-    assert n.tolist() == [2, 0, 1] and one.tolist() == [*quality_rules.grams_of(["ab"])[0], *quality_rules.grams_of(["c"])[0]]
+    one, n = quality_rules.open_grams(["ab", "", "c"])
+    assert n.tolist() == [2, 0, 1] and one.tolist() == [*quality_rules.open_grams(["ab"])[0], *quality_rules.open_grams(["c"])[0]]
 
 
 def test_quality_rules_table(spark, docs_of):
@@ -103,6 +98,34 @@ def test_toxicity_odd_inputs(spark, docs_of):
     assert toxicity.score_toxicity(docs.where("false"), labels).count() == 0
 
 
+def test_risk_and_its_direction():
+    """Against the definition, and the gradient against differences where the second term is positive; turned round where it isn't."""
+    rng = np.random.default_rng(6)
+    loss = lambda g: np.log1p(np.exp(g))
+    for shift in (1.0, -6.0):
+        gp, gu, prior, cap = rng.normal(3, 2, 30), rng.normal(shift, 2, 50), 0.2, 14.0
+        value, dp, du = toxicity.nn_risk(gp, gu, prior, cap)
+        second = np.mean([loss(min(g, cap)) for g in gu]) - prior * np.mean([loss(min(g, cap)) for g in gp])
+        assert value == pytest.approx(prior * np.mean([loss(-g) for g in gp]) + max(0, second))
+        turned = lambda p, u, over=second < 0: -(np.logaddexp(0, np.minimum(u, cap)).mean() - prior * np.logaddexp(0, np.minimum(p, cap)).mean()) if over else toxicity.nn_risk(p, u, prior, cap)[0]
+        assert (second < 0) == (shift < 0)
+        for k in range(5):
+            e = np.eye(50)[k] * 1e-5
+            assert du[k] == pytest.approx((turned(gp, gu + e) - turned(gp, gu - e)) / 2e-5, abs=1e-7)
+            assert dp[k] == pytest.approx((turned(gp + e[:30], gu) - turned(gp - e[:30], gu)) / 2e-5, abs=1e-7)
+
+
+def test_toxicity_repeated_ids_and_long_texts(spark, docs_of):
+    """An id that a third of all rows share counts once in the fit; a passage at the end of a very long text counts."""
+    docs, labels = _labelled(spark, docs_of, 200)
+    model = toxicity.fit_toxicity(docs, labels)
+    again = toxicity.fit_toxicity(docs.unionByName(docs.where("doc_id = 4").crossJoin(spark.range(100)).drop("id")), labels)
+    assert (model.features == again.features).all() and np.allclose(model.weights, again.weights)
+    end = docs_of([prose(30_000, 1), prose(30_000, 1) + " wretchgoon slimetwerp", None, None], [7000, 7001, 7002, 7002])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs.unionByName(end), labels).collect()}
+    assert got[7000] < 0.5 < got[7001] and got[7002] < 0.5
+
+
 # --- 1 -----------------------------------------------------------------------------------------------------
 
 
@@ -126,6 +149,42 @@ def test_site_quality(spark, docs_of):
     assert site_quality.site_quality(docs, labels.where("false"), "source", "lang").count() == 402
 
 
+def test_posteriors_and_scores_against_slow_ones(spark, docs_of):
+    """Few documents a path: posteriors lie between the path's own mean and its host's, nearer the host's the fewer there are."""
+    rng = random.Random(15)
+    texts = [(prose(30, k) if rng.random() < 0.7 else "spam! " * 20 + prose(5, k), f"p{rng.randrange(1 + h)}", f"h{h}") for k, h in enumerate(rng.randrange(12) for _ in range(240))]
+    texts += [texts[0], texts[0], (prose(40_000, 3), None, "h1")]
+    docs = docs_of(texts, [*range(240), 0, 0, 500])
+    labels = spark.createDataFrame([(k, int("spam" not in texts[k][0])) for k in range(240)], "doc_id long, quality int")
+    rows = site_quality.site_quality(docs, labels, "source", "lang").collect()
+    assert len(rows) == 243
+    p = [(r["host"], r["path"], r["p"]) for r in rows]
+    mean = np.clip(np.mean([x for *_, x in p]), 1e-4, 1 - 1e-4)
+
+    def strength(key):
+        groups = {}
+        for h, l, x in p:
+            groups.setdefault(key(h, l), []).append(x)
+        some = [np.array(g) for g in groups.values() if len(g) > 1]
+        n, k = sum(map(len, some)), len(some)
+        between, within = sum(len(g) * (g.mean() - mean) ** 2 for g in some), sum(((g - g.mean()) ** 2).sum() for g in some) / (n - k)
+        return float(np.clip(within / max((between - (k - 1) * within) / n, 1e-9), 1, 10_000)), groups
+
+    (kh, hosts), (kp, paths) = strength(lambda h, _: h), strength(lambda h, l: (h, l))
+    logit = lambda x: np.log(x / (1 - x))
+    for r in rows:
+        h, own = hosts[r["host"]], paths[r["host"], r["path"]]
+        host = (sum(h) - r["p"] + kh * mean) / (len(h) - 1 + kh)
+        path = (sum(own) - r["p"] + kp * host) / (len(own) - 1 + kp)
+        inside = lambda x: min(max(x, 1e-6), 1 - 1e-6)
+        score = 1 / (1 + np.exp(-(logit(inside(path)) + logit(inside(r["p"])) - logit(mean))))
+        assert r["host_posterior"] == pytest.approx(host) and r["path_posterior"] == pytest.approx(path) and r["score"] == pytest.approx(score)
+        if len(own) > 1:
+            others = (sum(own) - r["p"]) / (len(own) - 1)
+            assert min(others, host) - 1e-9 <= r["path_posterior"] <= max(others, host) + 1e-9
+            assert abs(r["path_posterior"] - host) <= abs(others - host) * (len(own) - 1) / (len(own) - 1 + kp) + 1e-9
+
+
 def test_sparse_sites_shrink(spark):
     sites = spark.createDataFrame([(10.0, 9.0, 20), (18.0, 17.0, 20), (2.0, 1.9, 20)], "s double, q double, n long")
     noise = spark.createDataFrame([(10.0, 10.0, 20), (11.0, 11.0, 20), (9.0, 9.0, 20)], "s double, q double, n long")
@@ -171,8 +230,15 @@ def test_darts_estimate_weighted_similarity():
     assert len(darts.signature(np.zeros(0, np.uint64))) == 0 and len(set(darts.signature(np.array([5], np.uint64)).tolist())) == 128
 
 
-def _classes(texts):
-    sets = [set(near_dedup.shingles((t or "").encode())[0].tolist()) for t in texts]
+def _weights(text):
+    """Windows of five words (of all words, if fewer) and how often each occurs."""
+    words = (text or "").encode().split()
+    size = min(5, len(words))
+    return Counter(tuple(words[k : k + size]) for k in range(len(words) - size + 1)) if words else Counter()
+
+
+def _classes(texts, weighted=True):
+    sets = [_weights(t) if weighted else Counter(set(_weights(t))) for t in texts]
     root = list(range(len(texts)))
 
     def find(a):
@@ -183,7 +249,7 @@ def _classes(texts):
     for a in range(len(texts)):
         for b in range(a):
             same = (texts[a] or "") == (texts[b] or "")
-            if same or (sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+            if same or (sets[a] and sets[b] and (sets[a] & sets[b]).total() >= 0.8 * (sets[a] | sets[b]).total()):
                 root[find(a)] = find(b)
     return [find(a) for a in range(len(texts))]
 
@@ -200,12 +266,16 @@ def _near_texts():
                 words[rng.randrange(len(words))] = "changed"
             texts.append(" ".join(words))
         texts.append(passage + " " + prose(50, 900 + k))
-    return texts
+    line = prose(12, 55)
+    for times in (1, 2, 10, 11, 12, 30):  # the same windows, more or less often: alike as sets, not all by weight
+        texts.append(" ".join([line] * times))
+    return [*texts, " ".join([prose(2000, 66)] * 8)]  # a very long text
 
 
 def test_near_duplicates_against_brute_force(spark, docs_of):
     texts = _near_texts()
-    docs = docs_of(texts).withColumn("signature", F.lit("clash"))
+    clashes = ("signature", "key", "id", "row", "order", "head", "first", "__key", "__head", "__nth", "a.b")
+    docs = docs_of(texts).select("*", *(F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in clashes))
     rows = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs.repartition(3)).collect()}
     want = _classes(texts)
     assert len(rows) == len(texts)
@@ -215,13 +285,22 @@ def test_near_duplicates_against_brute_force(spark, docs_of):
     assert all(rows[k]["class_id"] == first[c] for k, c in enumerate(want))
     assert {k for k, r in rows.items() if r["kept"]} == set(first.values())
     kept = near_dedup.keep_one(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(first.values())
+    kept_rows = kept.collect()
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept_rows} == set(first.values())
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in kept_rows for c in clashes)
+
+
+def test_near_duplicates_by_sets(spark, docs_of):
+    texts = _near_texts()
+    rows = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs_of(texts), weighted=False).collect()}
+    want, weighted = _classes(texts, False), _classes(texts)
+    assert len({(rows[k], c) for k, c in enumerate(want)}) == len(set(want)) == len(set(rows.values()))
+    assert len(set(want)) < len(set(weighted))  # weights matter here
 
 
 def test_near_duplicates_blocks_and_repeats(spark, docs_of, monkeypatch):
     texts = _near_texts()
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
-    monkeypatch.setattr(near_dedup, "SPLIT", 6)
     docs = docs_of(texts)
     rows = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
     want = _classes(texts)
@@ -231,16 +310,32 @@ def test_near_duplicates_blocks_and_repeats(spark, docs_of, monkeypatch):
     assert near_dedup.near_duplicates(docs.where("false")).count() == 0 and near_dedup.keep_one(docs.where("false")).count() == 0
 
 
-def test_links_in_block_find_every_component():
-    """Variants that link only through their common source still end in one component."""
+def _block(sets, band):
+    """Rows of one block: all members are asked, and those outside the component of the first ask."""
     import pandas as pd
 
+    signed = [(darts.signature(e, w) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for e, w in sets]
+    rows = [(1, 0, 0, asks, k > 0, band, k, k, signed[k], e.tobytes(), w.astype(np.float32).tobytes()) for asks in (True, False) for k, (e, w) in enumerate(sets) if k > 0 or not asks]
+    return pd.DataFrame(rows, columns=["bucket", "i", "j", "asks", "outside", "band", "node", "component", "signature", "elements", "weights"])
+
+
+def test_links_in_block_find_every_component():
+    """Variants that link only through their common source end in one component; each pair is looked at in the first band it shares."""
     base = np.arange(1, 101, dtype=np.uint64)
     sets = [base] + [np.sort(np.concatenate([np.delete(base, np.arange(7 * k, 7 * k + 7)), 1000 * (k + 1) + np.arange(7, dtype=np.uint64)]).astype(np.uint64)) for k in range(6)]
-    rows = [(1, 0, 0, 0, k, k, (darts.signature(s) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), s.tobytes(), b"") for k, s in enumerate(sets)]
-    block = pd.DataFrame(rows, columns=["bucket", "i", "j", "chunk", "node", "component", "signature", "elements", "weights"])
-    links = near_dedup._links_in_block(block)
-    assert len(links) == 6 and set(links["a"]) | set(links["b"]) == set(range(7))
+    sets = [(s, np.ones(len(s))) for s in sets]
+    links = [near_dedup._links_in_block(_block(sets, band)) for band in range(near_dedup.BANDS)]
+    pairs = {tuple(sorted(p)) for found in links for p in found.itertuples(index=False)}
+    short = [np.frombuffer(r, np.uint16)[None] for r in _block(sets, 0)["signature"][-7:]]
+    first = {}
+    for a in range(7):
+        for b in range(a):
+            shared = np.flatnonzero((near_dedup._rows(short[a]) == near_dedup._rows(short[b])).all(2)[0])
+            if len(shared):
+                first[b, a] = shared[0]
+    assert {p for p in first if 0 in p} <= pairs and pairs <= set(first)
+    for band, found in enumerate(links):
+        assert all(first[tuple(sorted(p))] == band for p in found.itertuples(index=False))
 
 
 @pytest.mark.parametrize("n", [0, 1, 7])

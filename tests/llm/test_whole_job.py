@@ -10,19 +10,19 @@ from voxelweave.llm import near_dedup, toxicity
 
 
 def test_pairs_of_one_shared_bucket_are_compared(spark, docs_of, monkeypatch):
-    """All texts share one bucket and no other, and it is larger than SPLIT."""
+    """All texts share one bucket and no other, and it is larger than a block."""
     sign = near_dedup._sign
 
     def one_bucket(weighted):
         def run(source):
             for batch in sign(weighted)(source):
                 bands = pa.array([[7]] * batch.num_rows, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], bands], names=batch.schema.names)
+                alike = pa.array([bytes(2 * near_dedup.ROWS) + s[2 * near_dedup.ROWS :] for s in batch.column(2).to_pylist()], pa.binary())  # in the first band
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], alike, bands], names=batch.schema.names)
 
         return run
 
     monkeypatch.setattr(near_dedup, "_sign", one_bucket)
-    monkeypatch.setattr(near_dedup, "SPLIT", 2)
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     rng, texts = random.Random(6), []
     for k in range(8):

@@ -1,26 +1,32 @@
 """Operator 2: approximate nearest neighbours by a hierarchical k-means tree.
 
-The tree is fitted by spherical k-means on a bounded sample (`sample` vectors, the lowest by hash), level after
-level, and holds at most branch^depth leaves. Every vector is indexed: it goes down to a leaf, and equal vectors
-become one entry with their k + 1 smallest ids, which is all that a result of k, ties to smaller ids, can name.
+The tree's upper part is fitted by spherical k-means on a bounded sample (`sample` vectors, the lowest by hash),
+level after level, and is shared with every task. Every vector is indexed: it goes down to a leaf, and equal vectors
+become one entry with their k + 1 smallest ids, each with its number of rows, which is all that a result of k, ties
+to smaller ids, can name. Leaves with more than `crowded` entries get a lower part of their own, fitted in Spark on
+a bounded sample of each such leaf (`sample` again), so the number of cells grows with the table: to about
+(sample / 64)^2 at most. Lower parts are a table, joined by leaf, never shared whole.
 
 A query walks the tree best bin first: a priority queue holds open branches by the cosine of query and centre,
-and the leaf on top is visited next. How many leaves to visit is calibrated: for `trial` queries the exact
-neighbours among all rows are found by brute force (the queries against all rows, in blocks), the place of each
-neighbour's leaf in the query's own best-bin-first order is looked up, and visits widen until `recall` of the
-neighbours are reached. Visits are joined with the index by leaf in blocks of bounded size, so neither a crowded
-leaf nor one that many queries visit becomes one task. Scores are cosines in double precision of the original
-vectors. Candidates of all visits merge by a partial top-k for each query.
+and the leaf on top is visited next; within a crowded leaf it walks the lower part in the same way. How far to go is
+calibrated on `trial` rows that are not queries: their exact neighbours among all rows are found by brute force (in
+blocks), the places of the neighbours' leaves in each row's own best-bin-first order are looked up, and visits widen
+until `recall` of the neighbours are reached (with lower parts, the root of it at either level). Visits are joined
+with the index by cell in blocks of bounded size, so neither a crowded cell nor one that many queries visit becomes
+one task. Scores are cosines in double precision of the original vectors. Candidates of all visits merge by a
+partial top-k for each query.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, as do those
-whose length is not the commonest one; a query has no row for itself; equal scores go to the smaller id; fewer
-candidates than k give fewer rows; rows with equal ids are candidates of their own, except for a query of that
-id; an empty table gives no rows; extra columns are not read.
+whose length is not the commonest one (the shorter of equally common ones); a null id takes no part; a query has no
+row for itself; equal scores go to the smaller id; fewer candidates than k give fewer rows; rows with equal ids,
+repeated or not, are candidates of their own, except for a query of that id; of a query id's several vectors the
+one whose bytes are smallest asks; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -28,12 +34,12 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxelweave.llm.common import table
-from voxelweave.session import materialize
+from voxelweave.session import Scratch
 
 
 @dataclass(frozen=True)
@@ -121,14 +127,22 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _INDEXED = T.StructType([T.StructField("leaf", T.LongType()), T.StructField("vector", T.BinaryType()), T.StructField("vec_id", T.LongType())])
 _VISIT = T.StructType([T.StructField("leaf", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vector", T.BinaryType())])
 _HIT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+_FOUND = T.StructType([*_HIT.fields, T.StructField("leaf", T.LongType()), T.StructField("cell", T.LongType())])
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def _read(column, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column)).reshape(-1, dim)
 
 
 def _index(source: Iterator[pa.RecordBatch], shared, dim: int) -> Iterator[pa.RecordBatch]:
     tree = shared.value
     for batch in source:
         x, rows = _clean(batch.column(1).to_pylist(), dim)
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        yield pa.RecordBatch.from_arrays([pa.array(tree.leaf_of(unit)), pa.array([v.tobytes() for v in x], pa.binary()), batch.column(0).take(pa.array(rows))], names=_INDEXED.names)
+        yield pa.RecordBatch.from_arrays([pa.array(tree.leaf_of(_units(x))), pa.array([v.tobytes() for v in x], pa.binary()), batch.column(0).take(pa.array(rows))], names=_INDEXED.names)
 
 
 def _visit(source: Iterator[pa.RecordBatch], shared, most: int) -> Iterator[pa.RecordBatch]:
@@ -144,19 +158,82 @@ def _visit(source: Iterator[pa.RecordBatch], shared, most: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), batch.column(0).take(pa.array(which, pa.int64())), pa.array([raw[k] for k in which], pa.binary())], names=_VISIT.names)
 
 
-def _top(query_ids: np.ndarray, queries: np.ndarray, ids: list[list[int]], vectors: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best (id, score) of each query among entries with several ids each."""
+# --- lower parts of crowded leaves -------------------------------------------------------------------------
+
+
+def _fit_lower(dim: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("vector")
+        tree = Tree.fit(_read(rows["vector"], dim), leaf=64)
+        return pd.DataFrame({"leaf": [rows["leaf"].iloc[0]], "tree": [pickle.dumps(tree)]})
+
+    return run
+
+
+def _down(dim: int):
+    """The cell of each entry of a block of a crowded leaf."""
+
+    def run(block: tuple, rows: pd.DataFrame, lower: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) and len(lower):
+            rows = rows.assign(cell=pickle.loads(lower["tree"].iloc[0]).leaf_of(_units(_read(rows["vector"], dim))))
+        return rows[["leaf", "cell", "vector", "ids"]]
+
+    return run
+
+
+def _open_cells(share: float, dim: int):
+    """The first cells in best-bin-first order of each query of a block that visits a crowded leaf."""
+
+    def run(block: tuple, rows: pd.DataFrame, lower: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(lower):
+            tree = pickle.loads(lower["tree"].iloc[0])
+            most = int(np.ceil(share * tree.leaves))
+            for q, unit, raw in zip(rows["query_id"], _units(_read(rows["vector"], dim)), rows["vector"], strict=True):
+                out += [(block[0], c, q, raw) for c in tree.visits(unit, most)]
+        return pd.DataFrame(out, columns=["leaf", "cell", "query_id", "vector"]).astype({"leaf": "int64", "cell": "int64", "query_id": "int64"})
+
+    return run
+
+
+def _place_in_leaf(dim: int):
+    """How far through its leaf's cells, in best-bin-first order, each neighbour's cell comes."""
+
+    def run(block: tuple, rows: pd.DataFrame, lower: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(lower):
+            tree = pickle.loads(lower["tree"].iloc[0])
+            for unit, cell in zip(_units(_read(rows["vector"], dim)), rows["cell"], strict=True):
+                out.append((tree.visits(unit, tree.leaves).index(cell) + 1) / tree.leaves)
+        return pd.DataFrame({"share": np.array(out, float)})
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, lower: DataFrame, by: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """rows of crowded leaves dealt into blocks of about `size`, and each leaf's lower part copied to its blocks."""
+    blocks = rows.groupBy("leaf").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int")).drop("blocks")
+    copies = lower.join(blocks, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return dealt, copies
+
+
+# --- search ------------------------------------------------------------------------------------------------
+
+
+def _top(query_ids: np.ndarray, queries: np.ndarray, ids: list[list[tuple[int, int]]], vectors: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best (id, score) of each query among entries with several ids each, and several rows an id."""
     out = []
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = _units(vectors)
     for at in range(0, len(queries), 256):
         block = queries[at : at + 256]
-        rough = (block / np.linalg.norm(block, axis=1, keepdims=True)) @ unit.T
+        rough = _units(block) @ unit.T
         keep = min(k + 1, rough.shape[1])
         bar = np.partition(rough, -keep, axis=1)[:, -keep] - 1e-9  # rounding aside, whatever can be among the best
         for n, q in enumerate(block):
             near = np.flatnonzero(rough[n] >= bar[n])
             score = cosine(np.broadcast_to(q, (len(near), len(q))), vectors[near])
-            rows = sorted((-s, i) for s, e in zip(score, near, strict=True) for i in ids[e] if i != query_ids[at + n])[:k]
+            rows = sorted((-s, i) for s, e in zip(score, near, strict=True) for i, times in ids[e] if i != query_ids[at + n] for _ in range(min(times, k)))[:k]
             out += [(query_ids[at + n], i, -s) for s, i in rows]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
@@ -165,74 +242,112 @@ def _search(k: int, dim: int):
     def run(block: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": np.array([], "int64"), "vec_id": np.array([], "int64"), "score": np.array([], "float64")})
-        read = lambda c: np.frombuffer(b"".join(c)).reshape(-1, dim)
-        return _top(left["query_id"].to_numpy(), read(left["vector"]), [list(x) for x in right["ids"]], read(right["vector"]), k)
+        return _top(left["query_id"].to_numpy(), _read(left["vector"], dim), [[(e["id"], e["n"]) for e in x] for x in right["ids"]], _read(right["vector"], dim), k)
 
     return run
 
 
 def _exact(source: Iterator[pa.RecordBatch], trial, k: int, dim: int) -> Iterator[pa.RecordBatch]:
-    """The trial queries against this task's entries: the k best of each, with their leaves."""
+    """The trial rows against this task's entries: the k best of each, with their leaves and cells."""
     ids, queries = trial.value
     best: list[list[tuple]] = [[] for _ in ids]
     for batch in source:
         if not batch.num_rows:
             continue
-        v = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, dim)
-        leaf, own = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-        score = queries @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+        leaf, cell, own = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
+        score = queries @ _units(_read(batch.column(2).to_pylist(), dim)).T
         for n, q in enumerate(ids):
             near = np.argsort(-score[n])[: k + 1]
-            best[n] = sorted(best[n] + [(-score[n, e], i, leaf[e]) for e in near for i in own[e] if i != q])[:k]
-    rows = [(q, i, -s, e) for q, b in zip(ids, best, strict=True) for s, i, e in b]
+            best[n] = sorted(best[n] + [(-score[n, e], i["id"], leaf[e], cell[e]) for e in near for i in own[e] if i["id"] != q for _ in range(min(i["n"], k))])[:k]
+    rows = [(q, i, -s, e, c) for q, b in zip(ids, best, strict=True) for s, i, e, c in b]
     if rows:
-        q, i, s, e = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64()), pa.array(e, pa.int64())], names=[*_HIT.names, "leaf"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=_FOUND.names)
+
+
+def _entries(indexed: DataFrame, k: int) -> DataFrame:
+    """(leaf, cell, vector, ids): one row a distinct vector; ids holds the k + 1 smallest ids and the rows of each."""
+    keyed = indexed.withColumn("key", F.md5("vector"))
+    window = Window.partitionBy("key").orderBy("vec_id")  # limited to k + 1 in every task before the shuffle
+    few = keyed.groupBy("key", "vec_id").agg(F.count("*").alias("n")).withColumn("nth", F.row_number().over(window)).where(F.col("nth") <= k + 1)
+    ids = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("vec_id").alias("id"), F.col("n")))).alias("ids"))
+    vectors = keyed.groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("vector").alias("vector"))
+    return vectors.join(ids, "key").select("leaf", F.lit(0).cast("long").alias("cell"), "vector", "ids")
+
 
+def search(
+    vectors: DataFrame, every: int, k: int = 5, recall: float = 0.95, sample: int = 20_000, trial: int = 300, block: int = 4000, crowded: int = 2000, vec_id: str = "vec_id", embedding: str = "embedding", seed: int = 7, told: dict | None = None
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by `every`.
 
-def search(vectors: DataFrame, every: int, k: int = 5, recall: float = 0.97, sample: int = 20_000, trial: int = 200, block: int = 4000, vec_id: str = "vec_id", embedding: str = "embedding", seed: int = 7) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by `every`."""
+    told, if given, gets the numbers of leaves and of leaves visited, and the share of cells visited within crowded leaves.
+    """
     spark = vectors.sparkSession
-    context = spark.sparkContext
+    context, scratch = spark.sparkContext, Scratch(spark, "ann")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v")).where("vec_id is not null and v is not null")
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dim = int(common["n"]) if common and common["n"] > 0 else 1
     order = F.xxhash64("vec_id", F.lit(seed))
     picked, _ = _clean([r["v"] for r in rows.where(F.size("v") == dim).orderBy(order, "vec_id").select("v").limit(sample).collect()], dim)  # at most `sample` vectors
-    shared = context.broadcast(Tree.fit(picked, leaf=max(8, min(64, len(picked) // 16))))  # its nodes are bounded by the sample
+    tree = Tree.fit(picked, leaf=max(8, min(64, len(picked) // 16)))
+    shared = context.broadcast(tree)  # its nodes are bounded by the sample
     indexed = rows.mapInArrow(partial(_index, shared=shared, dim=dim), _INDEXED)
-    # equal vectors: the k + 1 smallest ids are kept as each one can only be found through them
-    few = lambda c: F.slice(F.array_sort(c), 1, k + 1)
-    salted = indexed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(32))).groupBy("leaf", "vector", "salt").agg(few(F.collect_list("vec_id")).alias("ids"))
-    entries = materialize(salted.groupBy("leaf", "vector").agg(few(F.flatten(F.collect_list("ids"))).alias("ids")), "entries")
-
-    queries = materialize(indexed.where(F.col("vec_id") % every == 0).select("vec_id", "vector").distinct(), "queries")
-    trials = queries.orderBy(order, "vec_id").limit(trial).collect()  # at most `trial` rows
-    most = 1
+    entries = scratch.keep(_entries(indexed, k), "entries")
+
+    full = entries.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > crowded)
+    lower = None
+    if not full.isEmpty():
+        some = entries.join(full, "leaf").where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) * F.col("n") < F.lit(sample * (1 << 30)))  # about `sample` of each leaf
+        lower = scratch.keep(some.select("leaf", "vector").groupBy("leaf").applyInPandas(_fit_lower(dim), "leaf long, tree binary"), "lower")
+        dealt, copies = _in_blocks(entries.join(full.select("leaf"), "leaf"), lower, "vector", block)
+        celled = dealt.groupBy("leaf", "block").cogroup(copies.groupBy("leaf", "block")).applyInPandas(_down(dim), entries.schema)
+        entries = scratch.keep(entries.join(full.select("leaf"), "leaf", "left_anti").unionByName(celled), "celled")
+
+    asks = F.col("vec_id") % every == 0
+    queries = scratch.keep(indexed.where(asks).groupBy("vec_id").agg(F.min("vector").alias("vector")).toDF("query_id", "vector"), "queries")
+    trials = indexed.where(~asks).groupBy("vec_id").agg(F.min("vector").alias("vector")).orderBy(order, "vec_id").limit(trial).collect()  # at most `trial` rows
+    most, share = tree.leaves, 1.0
     if trials:
-        ids, q = [r["vec_id"] for r in trials], np.array([np.frombuffer(r["vector"]) for r in trials])
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-        asked = context.broadcast((ids, q))
-        found = entries.select("leaf", "vector", "ids").mapInArrow(partial(_exact, trial=asked, k=k, dim=dim), T.StructType([*_HIT.fields, T.StructField("leaf", T.LongType())]))
-        merged = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "leaf")), False), 1, k).alias("best")).collect()  # k a task for each trial query
-        place = []
+        ids, x = [r["vec_id"] for r in trials], np.array([np.frombuffer(r["vector"]) for r in trials])
+        asked = context.broadcast((ids, _units(x)))
+        found = entries.mapInArrow(partial(_exact, trial=asked, k=k, dim=dim), _FOUND)
+        merged = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "leaf", "cell")), False), 1, k).alias("best")).collect()  # k a task for each trial row
+        reach = np.sqrt(recall) if lower is not None else recall
+        quantile = lambda v: np.sort(v)[int(np.ceil(reach * len(v))) - 1]
+        place, near = [], []
         for r in merged:
-            at = {leaf: n for n, leaf in enumerate(shared.value.visits(q[ids.index(r["query_id"])], shared.value.leaves))}
+            row = ids.index(r["query_id"])
+            at = {leaf: n for n, leaf in enumerate(tree.visits(_units(x[row : row + 1])[0], tree.leaves))}
             place += [at[b["leaf"]] + 1 for b in r["best"]]
+            near += [(int(b["leaf"]), int(b["cell"]), x[row].tobytes()) for b in r["best"]]
         if place:
-            most = int(np.sort(place)[int(np.ceil(recall * len(place))) - 1])
-
-    visits = queries.select(F.col("vec_id").alias("query_id"), "vector").mapInArrow(partial(_visit, shared=shared, most=most), _VISIT)
-    visits = materialize(visits, "visits")
-    # blocks of entries within a leaf, blocks of queries within a leaf: every pair of blocks is one bounded group
-    sizes = entries.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("e"))
-    asked_sizes = visits.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("q"))
-    shape = sizes.join(asked_sizes, "leaf")
+            most = int(quantile(place))
+        if lower is not None and near:
+            asked_cells = spark.createDataFrame(near, "leaf long, cell long, vector binary")  # k a trial row
+            shares = [r["share"] for r in asked_cells.groupBy("leaf").cogroup(lower.groupBy("leaf")).applyInPandas(_place_in_leaf(dim), "share double").collect()]
+            share = float(quantile(shares)) if shares else 1.0
+    if told is not None:
+        told |= {"leaves": tree.leaves, "visited": most, "share": share}
+
+    visits = queries.mapInArrow(partial(_visit, shared=shared, most=most), _VISIT)
+    if lower is None:
+        visits = visits.withColumn("cell", F.lit(0).cast("long"))
+    else:
+        visits = scratch.keep(visits, "leaves")
+        dealt, copies = _in_blocks(visits.join(full.select("leaf"), "leaf"), lower, "query_id", block)
+        opened = dealt.groupBy("leaf", "block").cogroup(copies.groupBy("leaf", "block")).applyInPandas(_open_cells(share, dim), "leaf long, cell long, query_id long, vector binary")
+        visits = visits.join(full.select("leaf"), "leaf", "left_anti").withColumn("cell", F.lit(0).cast("long")).unionByName(opened)
+    visits = scratch.keep(visits, "visits")
+    # blocks of entries within a cell, blocks of queries within a cell: every pair of blocks is one bounded group
+    sizes = entries.groupBy("leaf", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("e"))
+    asked_sizes = visits.groupBy("leaf", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("q"))
+    shape = sizes.join(asked_sizes, ["leaf", "cell"])
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    right = entries.join(shape, "leaf").withColumn("eb", F.pmod(F.xxhash64("vector"), F.col("e")).cast("int")).withColumn("qb", blocks("q")).select("leaf", "eb", "qb", "vector", "ids")
-    left = visits.join(shape, "leaf").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("q")).cast("int")).withColumn("eb", blocks("e")).select("leaf", "eb", "qb", "query_id", "vector")
-    hits = left.groupBy("leaf", "eb", "qb").cogroup(right.groupBy("leaf", "eb", "qb")).applyInPandas(_search(k, dim), _HIT)
-    best = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best"))
+    keys = ["leaf", "cell", "eb", "qb"]
+    right = entries.join(shape, ["leaf", "cell"]).withColumn("eb", F.pmod(F.xxhash64("vector"), F.col("e")).cast("int")).withColumn("qb", blocks("q")).select(*keys, "vector", "ids")
+    left = visits.join(shape, ["leaf", "cell"]).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("q")).cast("int")).withColumn("eb", blocks("e")).select(*keys, "query_id", "vector")
+    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search(k, dim), _HIT)
+    best = scratch.keep(hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k).alias("best")), "best")
+    scratch.drop("entries", "celled", "lower", "queries", "leaves", "visits")
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.far")).alias("score"))
 
 

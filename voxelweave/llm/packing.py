@@ -12,9 +12,10 @@ histogram:
 4. small documents go to the fullest sequence that still holds them (best fit), longest first; what the
    configurations left over of the large ones is placed in the same way, before the small ones.
 
-Rounding costs room that only small documents can fill, so what counts as large matters: the plan is made for
-several bounds and the one with fewest sequences is taken. (With half the capacity as bound, configurations hold one
-large document each, and the rest is best fit.)
+Rounding leaves gaps in sequences that are too narrow for most small documents. So configurations may be held to
+less than the capacity (lengths above that get a sequence each), which makes of many narrow gaps some that small
+documents fill. What counts as large and how much is held back is a short list of cases (`CASES`): a plan is made
+for each and the one with fewest sequences is taken. In every case configurations hold several large documents.
 
 The plan is a short list of (pattern, times). Its places for each length are numbered, and a document takes the
 place with its own number among the documents of that length. These numbers come from counts per partition and
@@ -43,6 +44,8 @@ from voxelweave.llm.tokens import encoder, read_tokenizer
 from voxelweave.session import materialize
 
 CAPACITY = 2048
+#: Shares of the capacity: above which a length is large, and how much configurations leave free.
+CASES = ((0.25, 0.0), (1 / 3, 0.0), (1 / 3, 0.125), (0.4, 0.0), (0.4, 0.125), (0.4, 0.1875))
 _PIECE = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("nth", T.LongType())]
 )
@@ -127,21 +130,25 @@ def _configurations(sizes: list[int], demand: list[int], capacity: int, rounds:
     return result
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 32, shares: tuple[float, ...] = (0.25, 0.4, 0.5)) -> list[tuple[Pattern, int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 32, cases: tuple[tuple[float, float], ...] = CASES) -> list[tuple[Pattern, int]]:
     """(pattern, times) pairs that hold exactly the lengths of the histogram; a pattern's lengths sum to capacity at most.
 
-    Of the plans for several bounds of what counts as large (shares of the capacity) the one with fewest sequences.
+    Of the plans for the cases the one with fewest sequences.
     """
-    return min((_plan(histogram, capacity, groups, large) for large in shares), key=lambda p: sum(times for _, times in p))
+    return min((_plan(histogram, capacity, groups, *case) for case in cases), key=lambda p: sum(times for _, times in p))
 
 
-def _plan(histogram: dict[int, int], capacity: int, groups: int, large: float) -> list[tuple[Pattern, int]]:
+def _plan(histogram: dict[int, int], capacity: int, groups: int, large: float, free: float) -> list[tuple[Pattern, int]]:
     if any(length < 1 or length > capacity for length in histogram):
         raise ValueError("lengths must be between 1 and the capacity")
+    usable = capacity - int(capacity * free)  # by configurations
     done = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
     rest = sorted(((k, c) for k, c in histogram.items() if k < capacity and c), reverse=True)
-    big, small = [x for x in rest if x[0] > capacity * large], [x for x in rest if x[0] <= capacity * large]
+    big, small = [x for x in rest if capacity * large < x[0] <= usable], [x for x in rest if x[0] <= capacity * large]
     bins: dict[int, dict[Pattern, int]] = defaultdict(Counter)  # room -> pattern -> times
+    for length, c in rest:
+        if length > usable:
+            bins[capacity - length][(length,)] += c
     if big:
         grouped = _groups(big, groups)
         by_size: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -149,7 +156,7 @@ def _plan(histogram: dict[int, int], capacity: int, groups: int, large: float) -
             by_size[size] += members
         sizes = sorted(by_size, reverse=True)
         stock = {z: [list(x) for x in by_size[z]] for z in sizes}
-        for counts, times in _configurations(sizes, [sum(c for _, c in by_size[z]) for z in sizes], capacity):
+        for counts, times in _configurations(sizes, [sum(c for _, c in by_size[z]) for z in sizes], usable):
             slots = [z for z, n in zip(sizes, counts, strict=True) for _ in range(n)]
             while times:  # real lengths for the rounded places, as many patterns at once as the stock has of the same lengths
                 take: list[int] = []

@@ -24,7 +24,7 @@ texts is judged alone.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,73 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelweave.llm.common import table, texts_of
+from voxelweave.llm.common import quoted, table, texts_of, trim
 from voxelweave.session import materialize
 
-ORDER, SYMBOLS = 4, 32
-GRAMS = SYMBOLS**ORDER
-SPACE, NEWLINE, DIGIT, STOP, MARK, OTHER = range(26, 32)
-BOUNDARY = [NEWLINE] * (ORDER - 1)
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 8, 20, 30
-RARE = 5
-BITS, LONGEST, SHORTEST = 12, 5, 3  # bits a symbol of the open model, its orders
-BLOCK, PRIOR, LONG, SHRINK = 8_000_000, 8, 20, 20
+BITS, LONGEST, SHORTEST = 12, 5, 3  # bits a symbol of the model, its orders
+BLOCK, CHUNK, PRIOR, LONG, SHRINK = 8_000_000, 500_000, 8, 20, 20
 
 
 # --- characters and base counts ----------------------------------------------------------------------------
 
 
-def _classes() -> np.ndarray:
-    """The class of each code point below U+0250; all above are other letters."""
-    import unicodedata
-
-    out = np.full(0x251, OTHER, np.uint8)
-    for cp in range(0x250):
-        c = chr(cp)
-        base = unicodedata.normalize("NFKD", c.lower())[:1]
-        if c == "\n":
-            out[cp] = NEWLINE
-        elif c.isspace() or cp < 32:
-            out[cp] = SPACE
-        elif "a" <= base <= "z":
-            out[cp] = ord(base) - 97
-        elif c.isdigit():
-            out[cp] = DIGIT
-        elif c in ".,;:!?'\"()-":
-            out[cp] = STOP
-        elif not c.isalpha():
-            out[cp] = MARK
-    return out
-
-
-_CLASS = _classes()
-
-
-def classes_of(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _CLASS[np.minimum(points, 0x250)]
-
-
-def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram that ends at each character of the texts, one text after another, and the number of characters of each.
-
-    A text's first characters have boundary marks before them.
-    """
-    lengths = np.array([len(t) for t in texts], np.int64)
-    if not lengths.sum():
-        return np.empty(0, np.int64), lengths
-    pad = "\n" * (ORDER - 1)
-    symbols = classes_of(pad + pad.join(texts)).astype(np.int32)
-    gram = symbols.copy()
-    for back in range(1, ORDER):
-        gram[back:] += symbols[:-back] << (5 * back)
-    ends = np.cumsum(lengths + ORDER - 1)
-    keep = np.ones(len(symbols), bool)
-    for k in range(ORDER - 1):
-        keep[ends - lengths - 1 - k] = False
-    return gram[keep], lengths
-
-
 def repeated_words(words: list[bytes]) -> int:
     """Words covered by 8-word windows that occur twice or more, the first occurrence included."""
     n = len(words) - WINDOW + 1
@@ -139,7 +83,7 @@ def base_counts(text: str) -> tuple[int, int, int, int, int, bool]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated, len(words) < LEAST_WORDS or 100 * repeated > REPEATED_PERCENT * len(words)
 
 
-# --- a small model over character classes ---------------------------------------------------------------------------------------------
+# --- the model ---------------------------------------------------------------------------------------------
 
 
 def _hash(order: int, code: np.ndarray) -> np.ndarray:
@@ -159,74 +103,6 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
     return np.array([0, *(float(np.clip(k - (k + 1) * y * n[k + 1] / n[k], 0.05, k - 0.05)) for k in (1, 2, 3))])
 
 
-@dataclass(frozen=True)
-class KneserNey:
-    """Sorted hashed n-grams of all orders; log probability of each, log back-off weight of each as a context."""
-
-    keys: np.ndarray
-    logp: np.ndarray
-    backoff: np.ndarray
-
-    @staticmethod
-    def fit(grams: np.ndarray, counts: np.ndarray) -> KneserNey:
-        """From the counted n-grams of the highest order: modified Kneser-Ney, interpolated; lower orders have continuation counts.
-
-        N-grams met fewer than RARE times give their share to the shorter ones, else a document would be likely
-        by what it alone holds. Discounts come from all counts.
-        """
-        everything = np.zeros(GRAMS, np.int64)
-        everything[grams] = counts
-        levels = {ORDER: np.where(everything >= RARE, everything, 0)}
-        for order in range(ORDER - 1, 0, -1):
-            levels[order] = (levels[order + 1].reshape(SYMBOLS, -1) > 0).sum(0)
-        lower = np.full(SYMBOLS, 1 / SYMBOLS)
-        keys, logs, weights = [], [], []
-        gammas: dict[int, np.ndarray] = {}
-        for order in range(1, ORDER + 1):
-            c = levels[order].reshape(-1, SYMBOLS)
-            whole = everything.reshape(-1, SYMBOLS) if order == ORDER else c
-            total = whole.sum(1, keepdims=True)
-            off = _discounts(whole)[np.minimum(c, 3)]
-            gamma = 1 - (c - off).sum(1, keepdims=True) / np.maximum(total, 1)
-            below = np.tile(lower.reshape(-1, SYMBOLS), (SYMBOLS if order > 1 else 1, 1))
-            p = np.where(total > 0, (c - off) / np.maximum(total, 1), 0) + gamma * below
-            own = c.reshape(-1) > 0
-            if order < ORDER:  # a text's opening marks are contexts without being n-grams themselves
-                own |= (everything if order == ORDER - 1 else levels[order + 1]).reshape(-1, SYMBOLS).sum(1) > 0
-            seen = np.flatnonzero(own)
-            keys.append(_hash(order, seen))
-            logs.append(np.log(p.reshape(-1)[seen]))
-            gammas[order - 1] = np.log(np.maximum(gamma.reshape(-1), 1e-12))
-            lower = p.reshape(-1)
-            if order < ORDER:
-                weights.append(seen)
-        back = [gammas[k + 1][s] for k, s in enumerate(weights)] + [np.zeros(len(keys[-1]))]
-        root = (_hash(0, np.zeros(1, np.int64)), np.array([-np.log(SYMBOLS)]), gammas[0])
-        k, p, b = (np.concatenate(x) for x in ([root[0], *keys], [root[1], *logs], [root[2], *back]))
-        order = np.argsort(k)
-        return KneserNey(k[order], p[order].astype(np.float32), b[order].astype(np.float32))
-
-    def _find(self, order: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = _hash(order, code)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return at, self.keys[at] == h
-
-    def logprob(self, grams: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """Log probability of each n-gram's last symbol after the others: its own, or back-off weight and that of the shorter n-gram."""
-        if order == 0:
-            return np.full(len(grams), -np.log(SYMBOLS))
-        at, seen = self._find(order, grams)
-        out = np.array(self.logp[at], float)
-        rest = np.flatnonzero(~seen)
-        if len(rest):
-            context, known = self._find(order - 1, grams[rest] >> 5)
-            out[rest] = np.where(known, self.backoff[context], 0) + self.logprob(grams[rest] % SYMBOLS ** (order - 1), order - 1)
-        return out
-
-
-# --- the open model ----------------------------------------------------------------------------------------
-
-
 def symbols_of(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(points < 1 << BITS, points, (points * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
@@ -321,6 +197,19 @@ def _by_language(langs: list[str | None]) -> dict[str | None, list[int]]:
     return by
 
 
+def _chunks(texts: list[str], rows: list[int]) -> Iterator[list[int]]:
+    """Rows in runs of about CHUNK characters: n-grams of more texts than that are never held at once."""
+    run, size = [], 0
+    for k in rows:
+        if run and size + len(texts[k]) > CHUNK:
+            yield run
+            run, size = [], 0
+        run.append(k)
+        size += len(texts[k])
+    if run:
+        yield run
+
+
 def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-grams, and the place of each n-gram among them."""
     codes, found = pd.factorize(grams)
@@ -334,13 +223,15 @@ def _ask(block: pa.Table, shards: int) -> pa.Table:
     """A block's distinct n-grams and their counts, by language and shard."""
     texts, number, out = texts_of(block["text"]), block["block"][0].as_py(), []
     for lang, rows in _by_language(block["lang"].to_pylist()).items():
-        keys, place = _distinct(open_grams([texts[k] for k in rows])[0])
-        counts, shard = np.bincount(place, minlength=len(keys)), shard_of(keys, shards)
+        found = [np.unique(open_grams([texts[k] for k in run])[0], return_counts=True) for run in _chunks(texts, rows)]
+        keys, counts = _summed(*(np.concatenate(c) for c in zip(*found, strict=True)))
+        shard = shard_of(keys, shards)
         for x in np.unique(shard):
             mine = shard == x
             out.append((number, lang, int(x), keys[mine].tobytes(), counts[mine].astype(np.int32).tobytes()))
     columns = list(zip(*out, strict=True)) or [[]] * 5
     kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary()]
+    trim()
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "lang", "shard", "grams", "counts"), columns, kinds, strict=True)})
 
 
@@ -364,6 +255,7 @@ def _answer(shard: pa.Table, half: int) -> pa.Table:
                 log = np.log(shrunk(pooled.prob(wanted), *own, wanted)).astype(np.float32)
                 for k in rows:
                     logs[k] = log[np.searchsorted(wanted, grams[k])].tobytes()
+    trim()
     return pa.table({"block": shard["block"], "lang": shard["lang"], "shard": shard["shard"], "logs": pa.array(logs, pa.binary())})
 
 
@@ -373,14 +265,17 @@ def _score(block: pa.Table, answers: pa.Table, shards: int, names: list[str]) ->
     given = {(lang, x): logs for lang, x, logs in zip(*(answers[c].to_pylist() for c in ("lang", "shard", "logs")), strict=True)}
     score = np.zeros(len(texts))
     for lang, rows in _by_language(block["lang"].to_pylist()).items():
-        grams, n = open_grams([texts[k] for k in rows])
-        keys, place = _distinct(grams)
-        shard, log = shard_of(keys, shards), np.zeros(len(keys))
+        keys = np.unique(np.concatenate([np.unique(open_grams([texts[k] for k in run])[0]) for run in _chunks(texts, rows)]))
+        shard, log = shard_of(keys, shards), np.zeros(len(keys), np.float32)
         for x in np.unique(shard):
             log[shard == x] = np.frombuffer(given[lang, int(x)], np.float32)
-        some = n > 0
-        if some.any():
-            score[np.array(rows)[some]] = -np.add.reduceat(log[place], (np.cumsum(n) - n)[some])
+        for run in _chunks(texts, rows):
+            grams, n = open_grams([texts[k] for k in run])
+            own, place = _distinct(grams)
+            some = n > 0
+            if some.any():
+                score[np.array(run)[some]] = -np.add.reduceat(log[np.searchsorted(keys, own)][place].astype(float), (np.cumsum(n) - n)[some])
+    trim()
     base = [base_counts(t) for t in texts]
     out = {name: block[name] for name in names}
     out |= {name: pa.array([b[k] for b in base], pa.int64()) for k, name in enumerate(_COUNTS)}
@@ -392,13 +287,13 @@ def _score(block: pa.Table, answers: pa.Table, shards: int, names: list[str]) ->
 
 def _scored(docs: DataFrame, row: list[str], text: str, lang: str, with_text: bool) -> DataFrame:
     """(row, lang, [text,] base counts, base_failed, log_perplexity, size) of each row of docs; `row` holds the columns asked for."""
-    whole = F.col(text).cast("string")
+    whole = quoted(text).cast("string")
     chars = docs.agg(F.sum(F.length(whole))).first()[0] or 0
     half = max(1, -(-chars // (2 * BLOCK)))
     shards = max(16, 2 * half)
     fold = F.pmod(F.xxhash64(F.coalesce(whole, F.lit(""))), F.lit(2)) * half
-    within = F.pmod(F.xxhash64(whole, *(F.col(c).cast("string") for c in row if c != text), F.lit(7)), F.lit(half))
-    rows = docs.select((fold + within).cast("int").alias("block"), whole.alias("text"), F.col(lang).cast("string").alias("lang"), F.struct(*(F.col(c) for c in row)).alias("row"))
+    within = F.pmod(F.xxhash64(whole, *(quoted(c).cast("string") for c in row if c != text), F.lit(7)), F.lit(half))
+    rows = docs.select((fold + within).cast("int").alias("block"), whole.alias("text"), quoted(lang).cast("string").alias("lang"), F.struct(*map(quoted, row)).alias("row"))
 
     def ask(block: pa.Table) -> pa.Table:
         return _ask(block, shards)
@@ -427,7 +322,7 @@ def bands_of(scored: DataFrame, width: float) -> DataFrame:
     one = by_lang.select(F.col("lang").alias("l1"), "m1", "n1")
     two = by_size.select(F.col("lang").alias("l2"), F.col("size").alias("z2"), "m2", "n2")
     off = good.join(F.broadcast(one), F.col("lang").eqNullSafe(F.col("l1"))).join(F.broadcast(two), F.col("lang").eqNullSafe(F.col("l2")) & (F.col("size") == F.col("z2")))
-    all_ = good.agg(middle("s").alias("m0")).crossJoin(off.agg(middle(F.abs(F.col("s") - F.col("m1"))).alias("d0")))
+    all_ = good.agg(middle("s").alias("m0")).join(F.broadcast(off.agg(middle(F.abs(F.col("s") - F.col("m1"))).alias("d0"))))  # one row each
     one = off.groupBy("l1", "m1", "n1").agg(middle(F.abs(F.col("s") - F.col("m1"))).alias("d1"))
     two = off.groupBy("l2", "z2", "m2", "n2").agg(middle(F.abs(F.col("s") - F.col("m2"))).alias("d2"))
 
@@ -436,7 +331,7 @@ def bands_of(scored: DataFrame, width: float) -> DataFrame:
 
     centre, spread = (toward(x + "2", "n2", toward(x + "1", "n1", F.col(x + "0"))) for x in "md")
     reach = spread * (1.4826 * width) + 0.001  # scores are rounded to thousandths
-    return two.join(one, F.col("l2").eqNullSafe(F.col("l1"))).crossJoin(F.broadcast(all_)).select(F.col("l2").alias("band_lang"), F.col("z2").alias("band_size"), (centre - reach).alias("low"), (centre + reach).alias("high"))
+    return two.join(one, F.col("l2").eqNullSafe(F.col("l1"))).join(F.broadcast(all_)).select(F.col("l2").alias("band_lang"), F.col("z2").alias("band_size"), (centre - reach).alias("low"), (centre + reach).alias("high"))
 
 
 def _judged(scored: DataFrame, width: float) -> DataFrame:

@@ -14,7 +14,8 @@ back is on (host, path), broadcast only while Spark's threshold holds and else a
 
 Defined results: null and empty texts have all-zero statistics; null hosts and paths are a site of their own;
 labels that are null or have no document are ignored, and with one class only every p is that class's smoothed
-share; repeated rows count each; an empty table gives no rows; extra columns are not read.
+share; repeated rows count each (but once for the fit, with the text lowest by hash); equal scores are judged alike;
+texts of any length are taken whole; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -114,7 +115,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = 20_000, doc
     """From at most `sample` labelled rows that are not held out, the lowest by hash of id."""
     known = labels.where(~held_out()).where(F.col(quality).isNotNull()).select(F.col("doc_id").cast("long").alias("id"), (F.col(quality).cast("int") > 0).cast("int").alias("label"))
     chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id")).limit(sample)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("label", "text")  # at most `sample` ids
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")  # at most `sample` ids
+    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")  # and rows, however often an id is there
     found = rows.mapInArrow(_measure, _STATISTICS).toArrow()
     x = np.array(found.column("x").to_pylist()).reshape(-1, len(FEATURES))
     y = np.array(found.column("label").to_pylist(), float)

@@ -13,7 +13,6 @@ null doc_ids come first; rows with equal ids are ordered by the text's hash; an
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,7 +25,7 @@ from pyspark.sql import types as T
 
 from voxelweave.llm.common import batches, crc32_of, exclusive_cumsum, table, texts_of, with_bases
 from voxelweave.llm.tokens import encoder, read_tokenizer
-from voxelweave.session import shared_folder
+from voxelweave.session import new_path
 
 _FILE = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("start_in_part", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
@@ -85,6 +84,6 @@ def op5_token_files(spark, sf_dir: str) -> DataFrame:
     """All documents through ORC token files: word_bpe_49k.json, end id 1."""
     import public_tokenizers
 
-    path = f"{shared_folder(spark)}/voxelweave/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_digest(spark, path)

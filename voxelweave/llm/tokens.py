@@ -2,8 +2,9 @@
 
 Both tokenizers cut a text before they merge bytes, so the ids of a text are those of its pieces one after
 another. Here a text of plain characters is cut where the tokenizer always cuts, and the library's model merges
-each piece once, as long as the memo holds it. A text with any other character, or with white space for which
-the cuts are less simple, goes to the library whole; the tests hold both ways against each other.
+each piece once, as long as the memo holds it. A text with any other character, with white space for which the
+cuts are less simple, or with the string of one of the tokenizer's added tokens, goes to the library whole; the
+tests hold both ways against a tokenizer read by the library alone.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
+from voxelweave.llm.common import held
+
 #: Characters for which cutting here and in the library agree: white space, printable ASCII, Latin letters, common punctuation.
 _ODD = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-©«-±´¶¸»¿-įı-ɏ‐-‧€]")
 #: White space that the space-delimited cut of byte-level BPE can't handle: runs, ends, and other than space and newline.
@@ -30,6 +33,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+LONGEST = 48  # longer pieces are not kept, so a memo's entries bound its bytes
 
 
 class _Memo(dict):
@@ -45,7 +49,8 @@ class _Memo(dict):
         ids = self.old.get(piece)
         if ids is None:
             ids = self._ids(piece)
-        self[piece] = ids
+        if len(piece) <= LONGEST:
+            self[piece] = ids
         return ids
 
     def _ids(self, piece: str) -> bytes:
@@ -76,15 +81,18 @@ class Encoder:
 
     def __init__(self, tokenizer_json: str, words: bool, most: int = 350_000):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})  # a handful of strings
         self.words, self.most, self.memo = words, most, _Memo(self.tokenizer.model, words, {})
 
     def _cut(self, text: str) -> list[str] | None:
         """Pieces whose ids follow each other, or None where only the library may cut."""
         if not (text.replace("\n", " ").isprintable() if text.isascii() else not _ODD.search(text)):
             return None
+        low = text.lower()
+        if any(token in low for token in self.added):
+            return None
         if self.words:
-            return text.lower().split()
+            return low.split()
         if any(run in text for run in _RUNS) or text[:1] == " " or text[-1:] == " " or text[-2:] == "\n\n":
             return None
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
@@ -115,12 +123,6 @@ def read_tokenizer(path: str) -> str:
         return f.read()
 
 
-_ENCODERS: dict[tuple[int, bool], Encoder] = {}
-
-
 def encoder(tokenizer_json: str, words: bool) -> Encoder:
     """The encoder of this Python worker: its memo lasts from task to task."""
-    key = (hash(tokenizer_json), words)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(tokenizer_json, words)
-    return _ENCODERS[key]
+    return held(("encoder", hash(tokenizer_json), words), lambda: Encoder(tokenizer_json, words))

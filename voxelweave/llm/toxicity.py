@@ -10,8 +10,8 @@ minimises the non-negative risk
 by Adam in numpy. The logistic loss l is capped, so that a prior a little off can't outweigh all else; where the
 second term falls below zero, its gradient is turned round. The prior is the share of
 toxic rows among the rows that labels may be learned from. A model is fitted on at most `positives` and
-`unlabelled` documents (the lowest by hash of id), never on held-out rows; every document is scored over its
-whole text, and nothing but the text enters a score.
+`unlabelled` documents (the ids lowest by hash; of rows with one id the text lowest by hash), never on held-out
+rows; every document is scored over its whole text, and nothing but the text enters a score.
 
 Defined results: null and empty texts have no features and score by the bias alone; labels that are null or lack
 a document count as none; with no positive example every document scores 0; repeated rows are scored alike;
@@ -33,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelweave.llm.common import batches, held_out, table, texts_of
+from voxelweave.llm.common import batches, held, held_out, quoted, table, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Chosen by cross-validation within the rows that labels may be learned from (select_toxicity.py).
 SURE = 12.0  # likelihood ratio statistic of a kept feature: chance passes it about once in two thousand
 CAP = 14.0  # losses grow no further beyond this log-odds
+STEPS = 600
 LONGEST = 40  # longer words are not kept in the memo of features
 
 
@@ -48,6 +50,20 @@ def word_features(word: str) -> list[int]:
     return [crc(word.encode("utf-8", "surrogatepass")), *(crc(marked[k : k + n].encode("utf-8", "surrogatepass"), n) for n in (4, 5) for k in range(len(marked) - n + 1))]
 
 
+def nn_risk(gp: np.ndarray, gu: np.ndarray, prior: float, cap: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of log-odds of positives and unlabelled rows, and the step's direction at each of them.
+
+    The direction is the gradient while the second term is positive; below zero it is that of minus the second term.
+    """
+    soft = lambda g: np.logaddexp(0, g)
+    second = soft(np.minimum(gu, cap)).mean() - prior * soft(np.minimum(gp, cap)).mean()
+    value = prior * soft(-gp).mean() + max(0.0, second)
+    sp, su = (1 / (1 + np.exp(-np.clip(g, -40, 40))) for g in (gp, gu))
+    sign, first = (-1.0, 0.0) if second < 0 else (1.0, 1.0)
+    dp = (-prior * first * (1 - sp) - sign * prior * sp * (gp < cap)) / len(gp)
+    return float(value), dp, sign * su * (gu < cap) / len(gu)
+
+
 @dataclass(frozen=True)
 class PULogistic:
     """weights of the kept features (sorted hashes) and the bias."""
@@ -57,33 +73,15 @@ class PULogistic:
     bias: float
 
     @staticmethod
-    def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, keep: int = 3000, steps: int = 600, rate: float = 0.05, decay: float = 1e-3) -> PULogistic:
+    def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, keep: int = 3000, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-3, sure: float = SURE, cap: float = CAP) -> PULogistic:
         """Rows are sorted distinct feature hashes of documents."""
         none = PULogistic(np.empty(0, np.uint32), np.empty(0), -50.0)
         if not positive or not unlabelled or prior <= 0:
             return none
-        prior = given = min(prior, 0.99)
-        in_p, n_p = np.unique(np.concatenate(positive), return_counts=True)
-        in_p, n_p = in_p[n_p >= 3], n_p[n_p >= 3]
-        if not len(in_p):
-            return none
-        u = np.zeros(len(in_p))
-        for row in unlabelled:
-            at = np.minimum(np.searchsorted(in_p, row), len(in_p) - 1)
-            u[at[in_p[at] == row]] += 1
-        u /= len(unlabelled)
-        p = n_p / len(positive)
-        rest = np.maximum((u - prior * p) / (1 - prior), 0)  # how often the others hold it
-        pseudo = 0.5 / len(positive)
-        ratio = np.log((p + pseudo) / (rest + pseudo))
-        smooth_p, smooth_r = (np.clip(x, pseudo, 1 - pseudo) for x in (p, rest))
-        gain = 2 * len(positive) * (smooth_p * np.log(smooth_p / smooth_r) + (1 - smooth_p) * np.log((1 - smooth_p) / (1 - smooth_r)))
-        good = np.flatnonzero((ratio > 1.5) & (gain > SURE))
-        good = good[np.argsort(-(p * ratio)[good], kind="stable")[:keep]]
-        if not len(good):
+        prior = min(prior, 0.99)
+        features, scale = _tell_apart(positive, unlabelled, prior, keep, sure)
+        if not len(features):
             return none
-        good = good[np.argsort(in_p[good])]
-        features, scale = in_p[good], ratio[good]
 
         def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             pairs = [(k, np.searchsorted(features, r[np.isin(r, features, assume_unique=True)])) for k, r in enumerate(rows)]
@@ -93,15 +91,8 @@ class PULogistic:
         held = np.bincount(rp, minlength=len(positive)).mean()  # features a positive holds: starts g at a moderate size
         w, b = np.full(len(features), 3 / max(held, 1) / scale.mean()), -2.0
         m, v, mb, vb = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
-        sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -40, 40)))
         for step in range(1, steps + 1):
-            gp = np.bincount(rp, (w * scale)[cp], len(positive)) + b
-            gu = np.bincount(ru, (w * scale)[cu], len(unlabelled)) + b
-            sp, su = sigmoid(gp), sigmoid(gu)
-            over = np.logaddexp(0, np.minimum(gu, CAP)).mean() < prior * np.logaddexp(0, np.minimum(gp, CAP)).mean()
-            sign = -1.0 if over else 1.0  # the negative part is below zero: undo what overfits it
-            dp = (-prior * (0.0 if over else 1.0) * (1 - sp) - sign * prior * sp * (gp < CAP)) / len(positive)
-            du = sign * su * (gu < CAP) / len(unlabelled)
+            _, dp, du = nn_risk(np.bincount(rp, (w * scale)[cp], len(positive)) + b, np.bincount(ru, (w * scale)[cu], len(unlabelled)) + b, prior, cap)
             grad = (np.bincount(cp, dp[rp], len(w)) + np.bincount(cu, du[ru], len(w))) * scale + decay * w
             gb = dp.sum() + du.sum()
             m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
@@ -111,6 +102,29 @@ class PULogistic:
         return PULogistic(features, w * scale, float(b))
 
 
+def _tell_apart(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, keep: int, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """At most `keep` features that positives hold clearly more often than the other rows, and the log of how much more."""
+    in_p, n_p = np.unique(np.concatenate(positive), return_counts=True)
+    in_p, n_p = in_p[n_p >= 3], n_p[n_p >= 3]
+    if not len(in_p):
+        return in_p, np.empty(0)
+    u = np.zeros(len(in_p))
+    for row in unlabelled:
+        at = np.minimum(np.searchsorted(in_p, row), len(in_p) - 1)
+        u[at[in_p[at] == row]] += 1
+    u /= len(unlabelled)
+    p = n_p / len(positive)
+    rest = np.maximum((u - prior * p) / (1 - prior), 0)  # how often the others hold it
+    pseudo = 0.5 / len(positive)
+    ratio = np.log((p + pseudo) / (rest + pseudo))
+    smooth_p, smooth_r = (np.clip(x, pseudo, 1 - pseudo) for x in (p, rest))
+    gain = 2 * len(positive) * (smooth_p * np.log(smooth_p / smooth_r) + (1 - smooth_p) * np.log((1 - smooth_p) / (1 - smooth_r)))
+    good = np.flatnonzero((ratio > 1.5) & (gain > sure))
+    good = good[np.argsort(-(p * ratio)[good], kind="stable")[:keep]]
+    good = good[np.argsort(in_p[good])]
+    return in_p[good], ratio[good]
+
+
 class Scorer:
     """Scores texts; a word's kept features are looked up once, in a memo of bounded size."""
 
@@ -141,15 +155,9 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scorer(shared) -> Scorer:
     key, model = shared.value
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    return _SCORERS[key]
+    return held(("toxicity", key), lambda: Scorer(model))
 
 
 _SAMPLE = T.StructType([T.StructField("positive", T.BooleanType()), T.StructField("features", T.BinaryType())])
@@ -180,12 +188,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 2000, unla
     free = labels.where(~held_out()).select(F.col("doc_id").cast("long").alias("id"), F.col(toxic).cast("int").alias("toxic"))
     counted = free.where(F.col("toxic").isNotNull()).agg(F.avg("toxic").alias("prior")).first()
     prior = counted["prior"] or 0.0
-    rows = docs.where(~held_out(doc_id)).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = docs.where(~held_out(doc_id)).select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     order = F.xxhash64("id")
     confirmed = free.where("toxic = 1").select("id").distinct().orderBy(order).limit(positives)
-    picked = rows.select("id").orderBy(order).limit(unlabelled)
-    chosen = confirmed.withColumn("p", F.lit(1)).join(picked.distinct().withColumn("u", F.lit(1)), "id", "full")
+    picked = rows.select("id").distinct().orderBy(order).limit(unlabelled)
+    chosen = confirmed.withColumn("p", F.lit(1)).join(picked.withColumn("u", F.lit(1)), "id", "full")
     sample = rows.join(F.broadcast(chosen), "id")  # at most positives + unlabelled ids
+    sample = sample.groupBy("id", "p", "u").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # and as many rows, however often an id is there
     sample = sample.select(F.explode(F.array_compact(F.array(F.when(F.col("p") == 1, F.lit(True)), F.when(F.col("u") == 1, F.lit(False))))).alias("positive"), "text")
     found = sample.mapInArrow(_extract, _SAMPLE).toArrow()
     kind = found.column("positive").to_pylist()

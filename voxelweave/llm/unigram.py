@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelweave.llm.common import batches, crc32_of, table, texts_of
+from voxelweave.llm.common import batches, crc32_of, held, table, texts_of
 
 MARK = "▁"
 LITERAL = ""  # stands for a marker of the text itself while it is cut; a text that holds it is cut without stand-in
@@ -222,15 +222,9 @@ class Unigram:
         return raw[1:].decode("utf-8", "surrogatepass") if raw else ""
 
 
-_CODECS: dict[str, Unigram] = {}
-
-
 def _codec(shared) -> Unigram:
     key, vocabulary, trie = shared.value
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Unigram(vocabulary, trie)
-    return _CODECS[key]
+    return held(("unigram", key), lambda: Unigram(vocabulary, trie))
 
 
 _RESULT = T.StructType(
