@@ -38,7 +38,9 @@ from voxelweave.session import materialize
 
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 8, 20, 30
 BITS, LONGEST, SHORTEST = 12, 5, 3  # bits a symbol of the model, its orders
-BLOCK, CHUNK, PRIOR, LONG, SHRINK = 8_000_000, 500_000, 8, 20, 20
+BLOCK, CHUNK, LONG, SHRINK = 8_000_000, 500_000, 20, 20
+#: Chosen without the labels of the fifth of documents whose crc32(doc_id) mod 5 is 0 (selection.py).
+PRIOR, WIDTH = 8, 6.0
 
 
 # --- characters and base counts ----------------------------------------------------------------------------
@@ -169,13 +171,13 @@ class OpenModel:
         return p
 
 
-def shrunk(pooled: np.ndarray, grams: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """A language's probabilities: its own counts, with PRIOR more a context shared out as in the pooled model."""
+def shrunk(pooled: np.ndarray, grams: np.ndarray, counts: np.ndarray, wanted: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """A language's probabilities: its own counts, with `prior` more a context shared out as in the pooled model."""
     at, seen = _find(grams, wanted)
     contexts, total = _contexts(grams, counts)
     own, known = _find(contexts, wanted >> BITS)
     have = np.where(seen, counts[at], 0) if len(counts) else 0
-    return (have + PRIOR * pooled) / ((np.where(known, total[own], 0) if len(total) else 0) + PRIOR)
+    return (have + prior * pooled) / ((np.where(known, total[own], 0) if len(total) else 0) + prior)
 
 
 def words_of(text: str) -> int:
@@ -235,7 +237,7 @@ def _ask(block: pa.Table, shards: int) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "lang", "shard", "grams", "counts"), columns, kinds, strict=True)})
 
 
-def _answer(shard: pa.Table, half: int) -> pa.Table:
+def _answer(shard: pa.Table, half: int, prior: float) -> pa.Table:
     """Log probabilities of the n-grams that each block asked for, by the counts of the other fold's blocks."""
     number, lang = shard["block"].to_pylist(), shard["lang"].to_pylist()
     grams = [np.frombuffer(x, np.int64) for x in shard["grams"].to_pylist()]
@@ -252,7 +254,7 @@ def _answer(shard: pa.Table, half: int) -> pa.Table:
             if name is not ...:
                 own = total([others[k] for k in by.get(name, [])])
                 wanted = np.unique(np.concatenate([grams[k] for k in rows]))
-                log = np.log(shrunk(pooled.prob(wanted), *own, wanted)).astype(np.float32)
+                log = np.log(shrunk(pooled.prob(wanted), *own, wanted, prior)).astype(np.float32)
                 for k in rows:
                     logs[k] = log[np.searchsorted(wanted, grams[k])].tobytes()
     trim()
@@ -285,7 +287,7 @@ def _score(block: pa.Table, answers: pa.Table, shards: int, names: list[str]) ->
     return pa.table(out)
 
 
-def _scored(docs: DataFrame, row: list[str], text: str, lang: str, with_text: bool) -> DataFrame:
+def _scored(docs: DataFrame, row: list[str], text: str, lang: str, with_text: bool, prior: float = PRIOR) -> DataFrame:
     """(row, lang, [text,] base counts, base_failed, log_perplexity, size) of each row of docs; `row` holds the columns asked for."""
     whole = quoted(text).cast("string")
     chars = docs.agg(F.sum(F.length(whole))).first()[0] or 0
@@ -299,7 +301,7 @@ def _scored(docs: DataFrame, row: list[str], text: str, lang: str, with_text: bo
         return _ask(block, shards)
 
     def answer(shard: pa.Table) -> pa.Table:
-        return _answer(shard, half)
+        return _answer(shard, half, prior)
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         return _score(block, answers, shards, names)
@@ -341,13 +343,13 @@ def _judged(scored: DataFrame, width: float) -> DataFrame:
     return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False)))
 
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", width: float = 6.0) -> DataFrame:
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", width: float = WIDTH) -> DataFrame:
     """Base counts, log perplexity and verdict, one row for each row of docs."""
     judged = _judged(_scored(docs, [doc_id], text, lang, False), width)
     return judged.select(F.col("row")[doc_id].cast("long").alias("doc_id"), *_COUNTS, "base_failed", "log_perplexity", "kept")
 
 
-def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", width: float = 6.0) -> DataFrame:
+def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", width: float = WIDTH) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     row = [c for c in docs.columns if c != text]
     judged = _judged(_scored(docs, row, text, lang, True), width)

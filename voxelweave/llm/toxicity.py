@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from voxelweave.llm.common import batches, held, held_out, quoted, table, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Chosen by cross-validation within the rows that labels may be learned from (select_toxicity.py).
+#: Chosen by cross-validation within the rows that labels may be learned from (selection.py).
 SURE = 12.0  # likelihood ratio statistic of a kept feature: chance passes it about once in two thousand
 CAP = 14.0  # losses grow no further beyond this log-odds
 STEPS = 600
