@@ -58,6 +58,33 @@ def test_token_files_repeated_and_null_ids(spark, docs_of, tmp_path):
     assert [s for s, _ in rows] == [0, *np.cumsum([n for _, n in rows])[:-1]] and len(rows) == 4
 
 
+def test_indexes_and_bloom_filters_skip_rows(spark, tmp_path):
+    """An id beyond every row group's range, and an absent one within a range, are not read; a present one reads its row group."""
+    docs = spark.range(0, 50_000, 2).selectExpr("id AS doc_id", "'a b' AS text")
+    token_files.write_token_files(docs, str(tmp_path / "t"), P.path("word_bpe_49k.json"), 1, parts=1)
+
+    def rows_read(i):
+        df = token_files.read_token_files(spark, str(tmp_path / "t")).where(f"doc_id = {i}").select("doc_id", "n_tokens")
+        found = len(df.collect())
+        return found, df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    assert rows_read(60_000) == (0, 0)
+    assert rows_read(7) == (0, 0)  # between 6 and 8: only a Bloom filter knows that it isn't there
+    found, read = rows_read(30_000)
+    assert found == 1 and 0 < read <= 10_000
+
+
+def test_packing_and_pieces_of_repeated_ids(spark, docs_of):
+    docs = docs_of(["a b", "a b", None, "c " * 5000, "c " * 5000], [4, 4, None, 4, 4])
+    rows = packing.pack(docs, P.path("byte_bpe_50k.json")).collect()
+    whole = sorted(len(x) for x in _ids("byte_bpe_50k.json", ["a b", "a b", None, "c " * 5000, "c " * 5000], 0))
+    assert sum(r["length"] for r in rows) == sum(whole) and sum(r["piece"] == 0 for r in rows) == 5
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    assert all(a != b or x + n == y for (a, x, n), (b, y, _) in zip(places, places[1:], strict=False))
+    got = unigram.encode_digest(docs, unigram.Vocabulary.read(P.path("piece_bpe_32k.model"))).collect()
+    assert len(got) == 5 and all(r["exact"] for r in got) and sorted(str(r["doc_id"]) for r in got) == ["4", "4", "4", "4", "None"]
+
+
 def _check_plan(histogram, capacity=2048, **kw):
     patterns = packing.plan(histogram, capacity, **kw)
     held = Counter()

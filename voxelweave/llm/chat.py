@@ -6,7 +6,7 @@ depth and the sum of scores on the way. Every leaf is a root-to-leaf path; paths
 mean score (then depth, then node), and the `paths` first ones are marked by the same jumps, taken from the
 longest down. Each chosen path is one conversation, named by its leaf.
 
-`conversations` makes trees of rows by turn: rows sorted by (conv_id, turn, role, text) reply to the row before.
+`conversations` makes trees of rows by turn: rows sorted by (conv_id, turn, role, hash of text) reply to the row before.
 The rows get numbers by range partitions and their totals, so one conversation may span many tasks.
 `format_paths` writes each turn of a chosen path as one segment of its conversation:
 
@@ -19,7 +19,7 @@ character offsets of the escaped text of assistant turns within the segment. Seg
 the conversation; a conversation is not gathered in one value, as it may be of any length.
 
 Defined results: null texts and roles are empty; a null conv_id is a conversation of its own; repeated turns
-follow each other by role and text; an empty table gives no rows; extra columns are not read. Rows of one node are
+follow each other by role and hash of text; an empty table gives no rows; extra columns are not read. Rows of one node are
 one node: that of the greatest score counts, then the greatest parent, then conv_id, role and text; a null node is
 none. Several trees with one conv_id are conversations of their own. The digest hashes a conversation's turns one
 after another, as its definition asks, in constant memory; a turn of any length is taken whole.
@@ -137,8 +137,9 @@ def conversations(rows: DataFrame) -> DataFrame:
     """(node, parent, conv_id, role, text): each row replies to the one before it in its conversation."""
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("turn").cast("long").alias("turn"))
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["conv_id", "turn", "role", F.xxhash64("text")]
-    placed = materialize(turns.repartitionByRange(width, *order).sortWithinPartitions(*order, "text").select("conv_id", "role", "text").mapInArrow(_number, _TURN), "turns")
+    order = ["conv_id", "turn", "role", F.xxhash64("text"), "tie"]  # the tie is any order of equal rows, so that ranges split them
+    turns = turns.withColumn("tie", F.monotonically_increasing_id())
+    placed = materialize(turns.repartitionByRange(width, *order).sortWithinPartitions(*order).select("conv_id", "role", "text").mapInArrow(_number, _TURN), "turns")
     ends = placed.groupBy("part").agg(F.count("*").alias("n"), F.max(F.struct("nth", "conv_id")).alias("last"))  # one row a partition
     before = Window.orderBy("part")
     bases = ends.select("part", F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.lag("last").over(before).alias("previous"))

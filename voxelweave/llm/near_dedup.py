@@ -217,12 +217,13 @@ def _links_in_block(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _blocks(labelled: DataFrame, signed: DataFrame) -> DataFrame:
+def _blocks(labelled: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
     """The members (bucket, band, node, component) of buckets with several components, in blocks (bucket, i, j)."""
     sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     shape = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     chunks = lambda n: F.ceil(n / BLOCK).cast("int")
     shape = shape.select("bucket", F.col("main.component").alias("main"), chunks(F.col("all")).alias("js"), chunks(F.col("all") - F.col("main.n")).alias("is"))
+    shape = scratch.keep(shape, "shape")
     rows = labelled.join(shape, "bucket").withColumn("outside", F.col("component") != F.col("main")).join(signed, "node")
     place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -241,10 +242,12 @@ def _classes(docs: DataFrame, doc_id: str, text: str, weighted: bool) -> tuple[D
     nodes = scratch.keep(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     met = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = met.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    # written before they are joined: a join of two plain shuffles is one whose hot buckets Spark splits
+    shared = scratch.keep(met.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     members = scratch.keep(met.join(shared, "bucket"), "members")
     widely = members.groupBy("node").agg(F.sum("size").alias("widely"))
     centres = members.join(widely, "node").groupBy("bucket").agg(F.max(F.struct("widely", "node")).alias("c")).select("bucket", F.col("c.node").alias("centre"))
+    centres = scratch.keep(centres, "centres")
     pairs = members.join(centres, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
     sign = nodes.select("node", "signature")
@@ -256,16 +259,16 @@ def _classes(docs: DataFrame, doc_id: str, text: str, weighted: bool) -> tuple[D
     sets = scratch.keep(texts.mapInArrow(_sets(weighted), _SETS), "sets")
     both = likely.join(sets.toDF("a", "ae", "aw"), "a").join(sets.toDF("b", "be", "bw"), "b").select("a", "b", "ae", "aw", "be", "bw")
     first = scratch.keep(both.mapInArrow(_similar, _LINK).distinct(), "first")
-    scratch.drop("likely")
+    scratch.drop("likely", "shared", "centres")
 
     named = components(first)
     labelled = scratch.keep(members.drop("size").join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
     scratch.drop("members")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _blocks(labelled, sign).repartition(width, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    blocks = _blocks(labelled, sign, scratch).repartition(width, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     may = scratch.keep(blocks.mapInArrow(_open_members, _MEMBER), "may")
     second = scratch.keep(may.join(sets, "node").groupBy("bucket", "i", "j").applyInPandas(_links_in_block, _LINK).distinct(), "second")
-    scratch.drop("labelled", "may", "sets")
+    scratch.drop("labelled", "shape", "may", "sets")
 
     final = components(first.unionByName(second)).toDF("node", "component")
     owned = nodes.select("node", "key", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))

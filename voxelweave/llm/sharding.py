@@ -43,9 +43,10 @@ def assign_shards(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", tex
     if shards < 1:
         raise ValueError("shards must be at least 1")
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    sizes = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")), "sizes")
+    sizes = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.monotonically_increasing_id().alias("tie")), "sizes")
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = sizes.repartitionByRange(width, "doc_id", "text_crc32", "size").sortWithinPartitions("doc_id", "text_crc32", "size")
+    order = ["doc_id", "text_crc32", "size", "tie"]  # the tie is any order of equal rows, so that ranges split them
+    ordered = sizes.repartitionByRange(width, *order).sortWithinPartitions(*order).drop("tie")
     placed = materialize(ordered.mapInArrow(_place_in_part, _LOCAL), "placed")
     totals = placed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     bases = with_bases(with_bases(totals, "part", "bytes", "byte_base"), "part", "rows", "row_base")

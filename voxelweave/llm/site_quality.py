@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelweave.llm.common import batches, held_out, table, texts_of
+from voxelweave.llm.common import batches, held_out, table, texts_of, trim
 from voxelweave.llm.quality_rules import repeated_words
 
 FEATURES = ("words", "word_length", "distinct", "commonest", "stutter", "windows", "copied_lines", "upper", "digits", "marks", "symbols", "line_length")
@@ -121,7 +121,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = 20_000, doc
     x = np.array(found.column("x").to_pylist()).reshape(-1, len(FEATURES))
     y = np.array(found.column("label").to_pylist(), float)
     order = np.lexsort((*x.T, y))  # rows come in any order
-    return BinnedLogistic.fit(x[order], y[order])
+    model = BinnedLogistic.fit(x[order], y[order])
+    del found, x, y
+    trim()
+    return model
 
 
 def _strength(sites: DataFrame, mean: float) -> float:

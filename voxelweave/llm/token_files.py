@@ -52,7 +52,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     tokenizer = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
     width = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(width, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ["doc_id", F.xxhash64("text"), "tie"]  # the tie is any order of equal rows, so that ranges split them
+    ordered = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(width, *order).sortWithinPartitions(*order).drop("tie")
     encoded = ordered.mapInArrow(partial(_encode, tokenizer=tokenizer, words=words, end_id=end_id), _FILE)
     (
         encoded.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "10000")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelweave.llm.common import batches, held, held_out, quoted, table, texts_of
+from voxelweave.llm.common import batches, held, held_out, quoted, table, texts_of, trim
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Chosen by cross-validation within the rows that labels may be learned from (selection.py).
@@ -200,7 +200,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 2000, unla
     kind = found.column("positive").to_pylist()
     features = [np.frombuffer(v.as_buffer(), np.uint32) for v in found.column("features")]  # views, no copies
     order = sorted(range(len(features)), key=lambda k: (len(features[k]), zlib.crc32(features[k])))  # rows come in any order
-    return PULogistic.fit([features[k] for k in order if kind[k]], [features[k] for k in order if not kind[k]], float(prior))
+    model = PULogistic.fit([features[k] for k in order if kind[k]], [features[k] for k in order if not kind[k]], float(prior))
+    del found, features
+    trim()
+    return model
 
 
 def _share(docs: DataFrame, model: PULogistic):

@@ -274,7 +274,10 @@ def encode_digest(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id
 
 
 def op6_unigram(spark, sf_dir: str) -> DataFrame:
-    """All documents, encoded with the pieces of piece_bpe_32k.model and decoded again."""
+    """All documents, encoded with the pieces of piece_bpe_32k.model and decoded again.
+
+    That file ranks its pieces without log scores; rank r counts as one of a Zipf law, -log(r + 2) - log(log(n)).
+    """
     import public_tokenizers
 
     return encode_digest(table(spark, sf_dir, "documents"), Vocabulary.read(public_tokenizers.path("piece_bpe_32k.model")))
