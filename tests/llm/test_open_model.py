@@ -59,10 +59,18 @@ def test_small_language_has_its_own_model_and_band(docs_of):
     assert sum(got[k] for k in range(1400, 1425)) >= 24 and sum(got[k] for k in range(1425, 1437)) >= 11
 
 
+def test_packed_numbers_come_back():
+    for values in ([], [0], [1, 5, 2**59, 7, -3]):
+        x = np.array(values, np.int64)
+        assert (quality_rules._unpacked(quality_rules._packed(x), len(x)) == x).all()
+
+
 def test_blocks_do_not_change_the_scores(docs_of, monkeypatch):
     docs = docs_of([prose(LATIN, 60, k) for k in range(40)] + [None, "", prose(CYRILLIC, 30, 1)])
     one = {r["doc_id"]: r["log_perplexity"] for r in quality_rules.quality_rules(docs).collect()}
     monkeypatch.setattr(quality_rules, "BLOCK", 2000)
+    monkeypatch.setattr(quality_rules, "MERGED", 2)  # several rounds of adding up
+    monkeypatch.setattr(quality_rules, "PART", 1)
     many = {r["doc_id"]: r["log_perplexity"] for r in quality_rules.quality_rules(docs.repartition(3)).collect()}
     assert len(one) == len(many) == 43 and all(abs(one[k] - many[k]) < 1e-4 for k in one)
 

@@ -9,8 +9,10 @@ is scored by the counts of the other, so no document (nor its exact copies) is l
 
 Documents lie in blocks of about BLOCK characters. A block asks for its distinct n-grams; the requests meet in
 shards, by the hash of an n-gram's last two context symbols, where all counts of an n-gram, its contexts and its
-shorter forms are; each shard adds them up as sorted arrays, fits, and answers block by block. Nothing of the model
-is broadcast or brought to the driver.
+shorter forms are. Some contexts are common however many shards there are, so a shard is also cut into parts of
+PART blocks: each part adds up its counts as sorted arrays, rounds of MERGED parts add up those of the whole shard,
+and every part fits the shard's model (discounts are each shard's own) and answers its blocks. So what a task reads grows with the number of
+different n-grams of a shard, not with the corpus. Nothing of the model is broadcast or brought to the driver.
 
 log_perplexity is a word's: minus the log probability of the whole text by its words with a letter or digit (one
 for each started LONG characters), so that marks between words count as cost and not as length. A language's band,
@@ -39,6 +41,7 @@ from voxelweave.session import materialize
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 8, 20, 30
 BITS, LONGEST, SHORTEST = 12, 5, 3  # bits a symbol of the model, its orders
 BLOCK, CHUNK, LONG, SHRINK = 8_000_000, 500_000, 20, 20
+PART, MERGED = 512, 32  # blocks of a fold that a shard's task answers at once, parts that are added up at once
 #: Chosen without the labels of the fifth of documents whose crc32(doc_id) mod 5 is 0 (selection.py).
 PRIOR, WIDTH = 8, 6.0
 
@@ -187,7 +190,8 @@ def words_of(text: str) -> int:
 
 # --- Spark -------------------------------------------------------------------------------------------------
 
-_ASKED = "block int, lang string, shard int, grams binary, counts binary"
+_ASKED = "block int, fold int, lang string, shard int, part int, n int, grams binary, counts binary"
+_SUMS = "fold int, lang string, shard int, part int, n int, grams binary, counts binary"
 _ANSWERED = "block int, lang string, shard int, logs binary"
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -221,44 +225,80 @@ def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[order], place[codes]
 
 
-def _ask(block: pa.Table, shards: int) -> pa.Table:
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers by their bytes, all first ones, all second ones and so on: most are zeros."""
+    return pa.compress(values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n).T.copy().view("<i8").ravel()
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
+
+
+def _ask(block: pa.Table, shards: int, half: int, size: int) -> pa.Table:
     """A block's distinct n-grams and their counts, by language and shard."""
     texts, number, out = texts_of(block["text"]), block["block"][0].as_py(), []
     for lang, rows in _by_language(block["lang"].to_pylist()).items():
         found = [np.unique(open_grams([texts[k] for k in run])[0], return_counts=True) for run in _chunks(texts, rows)]
         keys, counts = _summed(*(np.concatenate(c) for c in zip(*found, strict=True)))
         shard = shard_of(keys, shards)
-        for x in np.unique(shard):
-            mine = shard == x
-            out.append((number, lang, int(x), keys[mine].tobytes(), counts[mine].astype(np.int32).tobytes()))
-    columns = list(zip(*out, strict=True)) or [[]] * 5
-    kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary()]
+        order = np.argsort(shard, kind="stable")  # the keys of a shard stay in order
+        ends = np.searchsorted(shard[order], np.arange(shards + 1))
+        for x in np.flatnonzero(np.diff(ends)):
+            mine = order[ends[x] : ends[x + 1]]
+            out.append((number, number // half, lang, int(x), number % half // size, len(mine), _packed(np.diff(keys[mine], prepend=0)), _packed(counts[mine])))
     trim()
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "lang", "shard", "grams", "counts"), columns, kinds, strict=True)})
+    return _rows(_ASKED, out)
 
 
-def _answer(shard: pa.Table, half: int, prior: float) -> pa.Table:
-    """Log probabilities of the n-grams that each block asked for, by the counts of the other fold's blocks."""
-    number, lang = shard["block"].to_pylist(), shard["lang"].to_pylist()
-    grams = [np.frombuffer(x, np.int64) for x in shard["grams"].to_pylist()]
-    counts = [np.frombuffer(x, np.int32) for x in shard["counts"].to_pylist()]
-    none, logs = np.zeros(0, np.int64), [b""] * len(grams)
+class _Counts:
+    """Rows of n-grams and counts."""
+
+    def __init__(self, rows: pa.Table):
+        self.fold, self.lang, n = (rows[c].to_pylist() for c in ("fold", "lang", "n"))
+        self.grams = [np.cumsum(_unpacked(g, k)) for g, k in zip(rows["grams"].to_pylist(), n, strict=True)]
+        self.counts = [_unpacked(c, k) for c, k in zip(rows["counts"].to_pylist(), n, strict=True)]
+
+    def of(self, fold: int) -> dict[str | None, list[int]]:
+        """The rows of each language."""
+        rows = [k for k, f in enumerate(self.fold) if f == fold]
+        return {lang: [rows[k] for k in own] for lang, own in _by_language([self.lang[k] for k in rows]).items()}
+
+    def total(self, rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        return _summed(np.concatenate([self.grams[k] for k in rows]), np.concatenate([self.counts[k] for k in rows])) if rows else (none, none)
+
+
+def _merge(rows: pa.Table) -> pa.Table:
+    """The counts of a shard's part added up, one row a fold and language."""
+    own, out = _Counts(rows), []
+    for fold in (0, 1):
+        for lang, some in own.of(fold).items():
+            keys, counts = own.total(some)
+            out.append((fold, lang, rows["shard"][0].as_py(), rows["part"][0].as_py(), len(keys), _packed(np.diff(keys, prepend=0)), _packed(counts)))
+    trim()
+    return _rows(_SUMS, out)
 
-    def total(rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        return _summed(np.concatenate([grams[k] for k in rows]), np.concatenate([counts[k] for k in rows])) if rows else (none, none)
 
+def _answer(asked: pa.Table, sums: pa.Table, prior: float) -> pa.Table:
+    """Log probabilities of the n-grams that each block asked for, by the counts of the other fold."""
+    own, models, logs = _Counts(asked), _Counts(sums), [b""] * asked.num_rows
     for fold in (0, 1):
-        others = [k for k, b in enumerate(number) if b // half != fold]
-        pooled, by = OpenModel(*total(others)), _by_language([lang[k] for k in others])
-        for name, rows in _by_language([x if b // half == fold else ... for x, b in zip(lang, number, strict=True)]).items():
-            if name is not ...:
-                own = total([others[k] for k in by.get(name, [])])
-                wanted = np.unique(np.concatenate([grams[k] for k in rows]))
-                log = np.log(shrunk(pooled.prob(wanted), *own, wanted, prior)).astype(np.float32)
-                for k in rows:
-                    logs[k] = log[np.searchsorted(wanted, grams[k])].tobytes()
+        others, wanting = models.of(1 - fold), own.of(fold)
+        pooled = OpenModel(*models.total([k for rows in others.values() for k in rows])) if wanting else None
+        for lang, rows in wanting.items():
+            wanted = np.unique(np.concatenate([own.grams[k] for k in rows]))
+            log = np.log(shrunk(pooled.prob(wanted), *models.total(others.get(lang, [])), wanted, prior)).astype(np.float32)
+            for k in rows:
+                logs[k] = log[np.searchsorted(wanted, own.grams[k])].tobytes()
     trim()
-    return pa.table({"block": shard["block"], "lang": shard["lang"], "shard": shard["shard"], "logs": pa.array(logs, pa.binary())})
+    return pa.table({"block": asked["block"], "lang": asked["lang"], "shard": asked["shard"], "logs": pa.array(logs, pa.binary())})
 
 
 def _score(block: pa.Table, answers: pa.Table, shards: int, names: list[str]) -> pa.Table:
@@ -292,22 +332,28 @@ def _scored(docs: DataFrame, row: list[str], text: str, lang: str, with_text: bo
     whole = quoted(text).cast("string")
     chars = docs.agg(F.sum(F.length(whole))).first()[0] or 0
     half = max(1, -(-chars // (2 * BLOCK)))
-    shards = max(16, 2 * half)
+    shards, size = max(16, 2 * half), PART
     fold = F.pmod(F.xxhash64(F.coalesce(whole, F.lit(""))), F.lit(2)) * half
     within = F.pmod(F.xxhash64(whole, *(quoted(c).cast("string") for c in row if c != text), F.lit(7)), F.lit(half))
     rows = docs.select((fold + within).cast("int").alias("block"), whole.alias("text"), quoted(lang).cast("string").alias("lang"), F.struct(*map(quoted, row)).alias("row"))
 
     def ask(block: pa.Table) -> pa.Table:
-        return _ask(block, shards)
+        return _ask(block, shards, half, size)
 
-    def answer(shard: pa.Table) -> pa.Table:
-        return _answer(shard, half, prior)
+    def answer(asked: pa.Table, sums: pa.Table) -> pa.Table:
+        return _answer(asked, sums, prior)
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         return _score(block, answers, shards, names)
 
     asked = rows.groupBy("block").applyInArrow(ask, _ASKED)  # with the columns of the cogroup below, so that both read one shuffle of the texts
-    answered = asked.groupBy("shard").applyInArrow(answer, _ANSWERED)
+    parts = left = -(-half // size)
+    sums = asked.groupBy("shard", "part").applyInArrow(_merge, _SUMS)
+    while left > 1:  # as many rounds as it takes to add up all parts, a bounded number at a time
+        sums = sums.withColumn("part", F.floor(F.col("part") / MERGED).cast("int")).groupBy("shard", "part").applyInArrow(_merge, _SUMS)
+        left = -(-left // MERGED)
+    models = sums.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    answered = asked.groupBy("shard", "part").cogroup(models.groupBy("shard", "part")).applyInArrow(answer, _ANSWERED)
     names = ["row", "lang", *(["text"] if with_text else [])]
     fields = [rows.schema[n] for n in names] + [T.StructField(n, T.LongType()) for n in _COUNTS]
     schema = T.StructType([*fields, T.StructField("base_failed", T.BooleanType()), T.StructField("log_perplexity", T.DoubleType()), T.StructField("size", T.IntegerType())])
