@@ -275,7 +275,7 @@ def _entries(indexed: DataFrame, k: int) -> DataFrame:
 
 
 def search(
-    vectors: DataFrame, every: int, k: int = 5, recall: float = 0.95, sample: int = 20_000, trial: int = 300, block: int = 4000, crowded: int = 2000, vec_id: str = "vec_id", embedding: str = "embedding", seed: int = 7, told: dict | None = None
+    vectors: DataFrame, every: int, k: int = 5, recall: float = 0.97, sample: int = 20_000, trial: int = 300, block: int = 4000, crowded: int = 2000, vec_id: str = "vec_id", embedding: str = "embedding", seed: int = 7, told: dict | None = None
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by `every`.
 
