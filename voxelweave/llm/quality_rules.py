@@ -41,6 +41,7 @@ from voxelweave.session import materialize
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 8, 20, 30
 BITS, LONGEST, SHORTEST = 12, 5, 3  # bits a symbol of the model, its orders
 BLOCK, CHUNK, LONG, SHRINK = 8_000_000, 500_000, 20, 20
+STEPS = 1000  # of a log probability in a nat, as shards answer
 PART, MERGED = 512, 32  # blocks of a fold that a shard's task answers at once, parts that are added up at once
 #: Chosen without the labels of the fifth of documents whose crc32(doc_id) mod 5 is 0 (selection.py).
 PRIOR, WIDTH = 8, 6.0
@@ -225,13 +226,13 @@ def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[order], place[codes]
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers by their bytes, all first ones, all second ones and so on: most are zeros."""
-    return pa.compress(values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+def _packed(values: np.ndarray, size: int = 8) -> bytes:
+    """Whole numbers of `size` bytes by their bytes, all first ones, all second ones and so on: most are zeros."""
+    return pa.compress(values.astype(f"<i{size}").view(np.uint8).reshape(-1, size).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n).T.copy().view("<i8").ravel()
+def _unpacked(raw: bytes, n: int, size: int = 8) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, size * n, codec="zstd", asbytes=True), np.uint8).reshape(size, n).T.copy().view(f"<i{size}").ravel()
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.Table:
@@ -294,9 +295,9 @@ def _answer(asked: pa.Table, sums: pa.Table, prior: float) -> pa.Table:
         pooled = OpenModel(*models.total([k for rows in others.values() for k in rows])) if wanting else None
         for lang, rows in wanting.items():
             wanted = np.unique(np.concatenate([own.grams[k] for k in rows]))
-            log = np.log(shrunk(pooled.prob(wanted), *models.total(others.get(lang, [])), wanted, prior)).astype(np.float32)
+            log = np.round(np.log(shrunk(pooled.prob(wanted), *models.total(others.get(lang, [])), wanted, prior)) * STEPS)  # over -32 nats
             for k in rows:
-                logs[k] = log[np.searchsorted(wanted, own.grams[k])].tobytes()
+                logs[k] = _packed(log[np.searchsorted(wanted, own.grams[k])], 2)
     trim()
     return pa.table({"block": asked["block"], "lang": asked["lang"], "shard": asked["shard"], "logs": pa.array(logs, pa.binary())})
 
@@ -308,15 +309,16 @@ def _score(block: pa.Table, answers: pa.Table, shards: int, names: list[str]) ->
     score = np.zeros(len(texts))
     for lang, rows in _by_language(block["lang"].to_pylist()).items():
         keys = np.unique(np.concatenate([np.unique(open_grams([texts[k] for k in run])[0]) for run in _chunks(texts, rows)]))
-        shard, log = shard_of(keys, shards), np.zeros(len(keys), np.float32)
+        shard, log = shard_of(keys, shards), np.zeros(len(keys))
         for x in np.unique(shard):
-            log[shard == x] = np.frombuffer(given[lang, int(x)], np.float32)
+            mine = np.flatnonzero(shard == x)
+            log[mine] = _unpacked(given[lang, int(x)], len(mine), 2) / STEPS
         for run in _chunks(texts, rows):
             grams, n = open_grams([texts[k] for k in run])
             own, place = _distinct(grams)
             some = n > 0
             if some.any():
-                score[np.array(run)[some]] = -np.add.reduceat(log[np.searchsorted(keys, own)][place].astype(float), (np.cumsum(n) - n)[some])
+                score[np.array(run)[some]] = -np.add.reduceat(log[np.searchsorted(keys, own)][place], (np.cumsum(n) - n)[some])
     trim()
     base = [base_counts(t) for t in texts]
     out = {name: block[name] for name in names}
