@@ -295,7 +295,8 @@ def _answer(asked: pa.Table, sums: pa.Table, prior: float) -> pa.Table:
         pooled = OpenModel(*models.total([k for rows in others.values() for k in rows])) if wanting else None
         for lang, rows in wanting.items():
             wanted = np.unique(np.concatenate([own.grams[k] for k in rows]))
-            log = np.round(np.log(shrunk(pooled.prob(wanted), *models.total(others.get(lang, [])), wanted, prior)) * STEPS)  # over -32 nats
+            log = np.log(shrunk(pooled.prob(wanted), *models.total(others.get(lang, [])), wanted, prior))
+            log = np.round(np.maximum(log, -32) * STEPS)  # two bytes hold a symbol's cost, which counts as 32 nats at most
             for k in rows:
                 logs[k] = _packed(log[np.searchsorted(wanted, own.grams[k])], 2)
     trim()
