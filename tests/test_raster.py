@@ -93,3 +93,13 @@ def test_raster_holds_every_event(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, value double, user_id long").write.parquet(str(tmp_path / "events.parquet"))
     got = {(r["x"], r["y"]): r["v"] for r in adapters.raster(spark, str(tmp_path), False).collect()}
     assert {k for k, v in got.items() if v} == {(0, 0), (3, 56), (40, 1), (-2, -4)} and len(got) == 43 * 61
+
+
+def test_images_that_are_not_sound(spark):
+    rows = [(x, y, 7) for x in range(3) for y in range(2)]
+    make = lambda r: spark.createDataFrame([("i", *p) for p in r], "image_id string, x int, y int, v int")
+    assert [tuple(r) for r in raster.image_check(make(rows)).collect()] == [("i", 3, 2, 1, True)]
+    for wrong in (rows[1:], [*rows, rows[0]], [*rows[1:], (0, 0, 256)], [*rows[1:], (0, 0, None)], [*rows, (-1, 0, 3)]):
+        with pytest.raises(raster.RasterError):
+            raster.require_image8(make(wrong))
+    assert raster.require_image8(make(rows)).count() == 6 and raster.image_check(make(rows).where("false")).count() == 0

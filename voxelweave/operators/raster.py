@@ -17,6 +17,23 @@ class RasterError(ValueError):
     """An argument outside an operator's domain."""
 
 
+def image_check(image: DataFrame) -> DataFrame:
+    """Size, channels and soundness of each 8-bit image: every pixel there once, 1 to 4 channels, samples of 0 to 255."""
+    image = image if "c" in image.columns else image.withColumn("c", F.lit(0))
+    pixels = image.groupBy("image_id", "x", "y", "c").agg(F.count("*").alias("n"), F.max(F.coalesce(~F.col("v").between(0, 255), F.lit(True))).alias("bad"))
+    size = pixels.groupBy("image_id").agg(*((F.max(k) + 1).cast("long").alias(n) for k, n in zip("xyc", ("width", "height", "channels"), strict=True)), F.count("*").alias("m"), F.max("n").alias("n"), F.max("bad").alias("bad"), F.min(F.least("x", "y", "c")).alias("least"))
+    sound = ~F.col("bad") & (F.col("n") == 1) & (F.col("least") >= 0) & (F.col("channels") <= 4) & (F.col("m") == F.col("width") * F.col("height") * F.col("channels"))
+    return size.select("image_id", "width", "height", "channels", F.coalesce(sound, F.lit(False)).alias("sound"))
+
+
+def require_image8(image: DataFrame) -> DataFrame:
+    """The image as it is; images that aren't sound are an error."""
+    wrong = image_check(image).where("not sound").first()
+    if wrong is not None:
+        raise RasterError(f"image {wrong['image_id']} has missing, repeated or wrong samples")
+    return image
+
+
 def to_float(image: DataFrame, channel: int = 0) -> DataFrame:
     """One channel of a colour image as (image_id, x, y, v)."""
     if channel < 0 or channel > 3:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.functions.geometry import RigidTransform, rotation_angle_col, rotation_axis_angle
+from voxelweave.functions.geometry import RigidTransform, add, rotation_angle_col, rotation_axis_angle, subtract
 from voxelweave.functions.text import pad_left, pad_right, utf8_length
 from voxelweave.functions.timing import timing_stats
 from voxelweave.operators import cloud, components, neighbors, raster, registration, voxel
@@ -156,6 +156,31 @@ def _image_facts(spark, d: str) -> DataFrame:
     return image.where("v > 60").groupBy(F.col("v").alias("grey")).agg(F.count("*").alias("pixels"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
 
 
+def _uniform_facts(spark, d: str) -> DataFrame:
+    """Of a uniform cloud of as many points as there are events: in bounds, and each eighth of space has its share."""
+    n = spark.read.parquet(f"{d}/events.parquet").count()
+    p = synthetic.uniform_cloud(spark, n, 5.0)
+    octant = p.groupBy(*((F.col(k) < 0).alias(k) for k in "xyz")).agg(F.count("*").alias("n"), F.max(F.greatest(*(F.abs(k) for k in "xyz"))).alias("far"))
+    even = F.max(F.abs(F.col("n") - n / 8)) < 5 * F.sqrt(F.lit(n * 7 / 64))
+    return octant.agg(F.sum("n").alias("n"), F.count("*").alias("octants"), even.alias("even"), (F.max("far") <= 5.0).alias("in_bounds"))
+
+
+def _index_boxes(spark, d: str) -> DataFrame:
+    """Each point is in one box of the index and within its bounds."""
+    p = points(spark, d).drop("user_id")
+    boxes = neighbors.boxes_of(p)
+    sides = spark.createDataFrame([(k, *map(float, low), *map(float, high)) for k, (low, high) in enumerate(zip(boxes.low, boxes.high, strict=True))], "leaf long, lx double, ly double, lz double, hx double, hy double, hz double")
+    inside = neighbors.boxed(p, spark.sparkContext.broadcast(boxes)).join(F.broadcast(sides), "leaf").select("point_id", *((F.col(k) >= F.col(f"l{k}")) & (F.col(k) < F.col(f"h{k}")) for k in "xyz")).toDF("point_id", *"xyz")
+    return inside.select("point_id", (F.col("x") & F.col("y") & F.col("z")).alias("inside"))
+
+
+def _point_algebra(spark, d: str) -> DataFrame:
+    p = points(spark, d)
+    a, b = F.struct("x", "y", "z"), F.struct(F.col("z").alias("x"), F.col("x").alias("y"), F.col("y").alias("z"))
+    both = p.select("point_id", add(a, b).alias("a"), subtract(a, b).alias("s"))
+    return both.select("point_id", *(F.col(f"{o}.{k}").alias(f"{o}{k}") for o in "as" for k in "xyz"))
+
+
 def _pad(spark, d: str) -> DataFrame:
     n = spark.read.parquet(f"{d}/nation.parquet")
     name = F.col("n_name")
@@ -190,6 +215,9 @@ QUERIES = {
     "nearest": lambda s, d: neighbors.nearest(*_all(s, d), skip_same=True),
     "knn": lambda s, d: neighbors.knn(*_all(s, d), K, skip_same=True),
     "brute_knn": lambda s, d: neighbors.brute_force_knn(*_all(s, d), K, skip_same=True),
+    "index_boxes": _index_boxes,
+    "point_algebra": _point_algebra,
+    "image_check": lambda s, d: _image(raster.image_check(colour(s, d))),
     "index_report": lambda s, d: neighbors.index_report(points(s, d), LEAF),
     "correspondences": lambda s, d: _pairs(s, d).select("source_id", "target_id", "squared_distance"),
     "correspondence_rmse": lambda s, d: registration.correspondence_rmse(_pairs(s, d)).select(F.round("rmse", 6).alias("rmse"), "correspondences"),
@@ -220,6 +248,7 @@ QUERIES = {
     "subset_facts": _subset_facts,
     "noise_facts": _noise_facts,
     "image_facts": _image_facts,
+    "uniform_facts": _uniform_facts,
     "synthetic_image": lambda s, d: synthetic.make_test_image(s, 160, 120, 2.0, 9),
     "pad_text": _pad,
     "timing_stats": _timing,
@@ -366,6 +395,10 @@ ORACLES = {
     "subset_facts": "SELECT count(*) AS n, true AS distinct, true AS near_share FROM events",
     "noise_facts": "SELECT count(*) AS n, true AS x_as_asked, true AS y_as_asked, true AS z_as_asked FROM events",
     "image_facts": _IMAGE_FACTS,
+    "uniform_facts": "SELECT count(*) AS n, CAST(8 AS BIGINT) AS octants, true AS even, true AS in_bounds FROM events",
+    "index_boxes": "SELECT event_id AS point_id, true AS inside FROM events",
+    "point_algebra": f"{_P} SELECT point_id, x + z AS ax, y + x AS ay, z + y AS az, x - z AS sx, y - x AS sy, z - y AS sz FROM p",
+    "image_check": f"{_R} SELECT max(x) + CAST(1 AS BIGINT) AS width, max(y) + CAST(1 AS BIGINT) AS height, CAST(3 AS BIGINT) AS channels, min(x) = 0 AND min(y) = 0 AND count(*) = (max(x) + 1) * (max(y) + 1) AS sound FROM grid",
     "pad_text": "SELECT n_nationkey, CAST(length(n_name) AS INTEGER) AS width, CASE WHEN length(n_name) >= 9 THEN n_name ELSE rpad(n_name, 9, ' ') END AS padded_right, CASE WHEN length(n_name) >= 9 THEN n_name ELSE lpad(n_name, 9, ' ') END AS padded_left FROM nation",
     "timing_stats": "SELECT event_type, round(median(value), 6) AS median_ms, round(avg(value), 6) AS mean_ms, round(min(value), 6) AS min_ms, round(max(value), 6) AS max_ms, count(*) AS repetitions, round((max(value) - min(value)) / median(value), 6) AS spread_ratio FROM events GROUP BY 1",
     "ply_roundtrip": _FILED,
