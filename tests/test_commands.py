@@ -22,7 +22,7 @@ def test_demo_writes_clouds_and_images(spark, tmp_path, capsys):
 
 def test_bench_writes_every_group(spark, tmp_path, monkeypatch):
     path = tmp_path / "b.csv"
-    commands.bench(str(path), (300,), (16, 12), 1, 0)
+    commands.bench(str(path), (300,), (16, 12), 1, 0, (3,), (0.5,), ((100, 512), (1000, 64)))
     with open(path, newline="") as f:
         rows = list(csv.DictReader(f))
     assert {(r["group"], r["case"]) for r in rows} == {

@@ -69,6 +69,13 @@ def icp_query(spark, d: str) -> DataFrame:
     return _r4(cloud.transform(away, result.transform))
 
 
+def _icp_report(spark, d: str) -> DataFrame:
+    """The pose that registration finds to six decimals, and whether it says so: the moved points' way back."""
+    r = registration.icp_frame(spark, _icp(spark, d)[1])
+    r6 = lambda c, name: (F.round(c, 6) + F.lit(0.0)).alias(name)
+    return r.select(*(r6(F.col("rotation")[i][j], f"r{i}{j}") for i in range(3) for j in range(3)), *(r6(F.col("translation")[i], f"t{i}") for i in range(3)), "converged", "correspondences", (F.col("rmse") < 1e-6).alias("exact"))
+
+
 def _folder(spark) -> str:
     return new_path(spark, "files")
 
@@ -224,7 +231,7 @@ QUERIES = {
     "cross_covariance": lambda s, d: _rounded_sums(registration.pair_sums(_pairs(s, d))),
     "kabsch": _kabsch,
     "icp": icp_query,
-    "icp_report": lambda s, d: registration.icp_frame(s, _icp(s, d)[1]),
+    "icp_report": _icp_report,
     "image_to_float": lambda s, d: _image(raster.to_float(colour(s, d), 2)),
     "image_gray": lambda s, d: _image(raster.to_grayscale(colour(s, d))),
     "image_normalize": lambda s, d: _image(raster.normalize_to_image8(plane(s, d, False))),
@@ -338,6 +345,8 @@ lab AS (SELECT g.x, g.y, coalesce(label, 0) AS label FROM grid g LEFT JOIN comp
 
 _LAB = _labelled(_EIGHT, LEAST_AREA)
 _INVERSE = _moved(POSE.inverse(), "moved")
+_BACK = SHIFT.inverse()
+_WAY_BACK = ", ".join([*(f"round({_double(_BACK.rotation[i][j])}, 6) + 0.0 AS r{i}{j}" for i in range(3) for j in range(3)), *(f"round({_double(_BACK.translation[i])}, 6) + 0.0 AS t{i}" for i in range(3))])
 _ROUND4 = ", ".join(f"round({k}, 4) + 0.0 AS {k}" for k in "xyz")
 _ROUND = ", ".join(f"round({k}, 6) + 0.0 AS {k}" for k in "xyz")
 _HASH = "xor((label * 2654435761) & 4294967295, ((label * 2654435761) & 4294967295) >> 15)"
@@ -375,6 +384,7 @@ ORACLES = {
     "cross_covariance": f"{_MATCHED} SELECT count(*) AS n, {_PAIR_SUMS} FROM c",
     "kabsch": f"{_P}, m AS ({_moved(POSE, 'p')}) SELECT point_id, {_ROUND4} FROM m",
     "icp": f"{_P} SELECT point_id, {_ROUND4} FROM p",
+    "icp_report": f"SELECT {_WAY_BACK}, true AS converged, count(*) AS correspondences, true AS exact FROM events",
     "image_to_float": f"{_COLOUR} SELECT x, y, CAST(v AS DOUBLE) AS v FROM colour WHERE c = 2",
     "image_gray": f"{_COLOUR}, wide AS (SELECT x, y, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b FROM colour GROUP BY 1, 2) SELECT x, y, CAST(floor(r * {_double(0.299)} + g * {_double(0.587)} + b * {_double(0.114)} + {_double(0.5)}) AS INTEGER) AS v FROM wide",
     "image_normalize": f"{_R}, m AS (SELECT min(v) AS lo, max(v) AS hi FROM smooth) SELECT x, y, CAST(floor(CAST(v - lo AS DOUBLE) * 255.0 / (hi - lo) + 0.5) AS INTEGER) AS v FROM smooth, m",
