@@ -93,11 +93,18 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once an application: they need not start where it lies."""
+    """Give the executors' Python workers this package, once an application: they need not start where it lies.
+
+    Arrow batches of the session are held to BATCH bytes, unless it has a bound of its own: whole texts in batches of
+    10 000 rows would take tens of MB in the JVM and again in Python.
+    """
+    if spark.conf.get(_BATCH_BYTES) == "67108864b":  # Spark's default
+        spark.conf.set(_BATCH_BYTES, BATCH)
     context = spark.sparkContext
     package = os.path.dirname(os.path.abspath(__file__))
     if context.applicationId in _SHIPPED or not os.path.isdir(package):
