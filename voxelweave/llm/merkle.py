@@ -257,7 +257,7 @@ def op11_merkle(spark, sf_dir: str) -> DataFrame:
     return Manifest(leaves(docs, tamper)).proofs().withColumnRenamed("proof", "proof_sha256")
 
 
-def _crc_sql(bytes_list: str) -> str:
+def crc_sql(bytes_list: str) -> str:
     """crc32 of a list of byte values, by the table of 256 in the one row of `crc`, which must be in FROM."""
     return f"xor(4294967295, list_reduce(list_prepend(4294967295, {bytes_list}), lambda c, b: xor(c >> 8, crc.t[1 + (xor(c, b) & 255)])))"
 
@@ -271,7 +271,7 @@ def oracle(levels: int = 6, tops: int = 4) -> str:
     part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c} END"
     head = " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars"))
     low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    crc = _crc_sql("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))")
+    crc = crc_sql("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))")
     ctes = [
         CRC_TABLE,
         f"d AS (SELECT doc_id, coalesce('=' || source, '') AS tree, sha256({head} || {part('text')}) AS leaf, sha256({head} || {part(low)}) AS low, coalesce({crc} % 5 = 0, false) AS tampered FROM documents, crc)",
