@@ -5,9 +5,10 @@ edit share most q-grams, at places that differ by one at most: an edit changes a
 rarest q-grams one at least is among the other's Q + 1 rarest, and it stands at the same place from the start or
 from the end. So each word is posted under these (side, q-gram, place) keys, and keys are dealt over tasks.
 
-Within a key an inverted index of q-grams is built in order of length. A word merges by a heap the postings of its q-grams
-with words of its length or one less and at places one apart at most; words that come up often enough (the count filter:
-max(length) - 2 * Q + 1 times) are verified. Pairs of several keys are made distinct.
+Within a key an inverted index of q-grams is built in order of length. By the overlap bound a pair shares at least
+max(length) - 2 * Q + 1 q-grams, all but Q of the longer word's, so any Q + 1 of them hold a shared one: a word merges by
+a heap the postings of its Q + 1 rarest, in words of its length or one less and at places one apart at most, and what
+comes up is verified. Words of one length meet under places from the start alone; pairs of several keys are made distinct.
 
 Keys of more than GROUP words are hot and dealt on: their words meet again by key and word less one code point, at most
 as many as an alphabet has letters a place, where the same index is built. So no key is too large, and no pair is lost.
@@ -95,7 +96,9 @@ def one_edit(a: str, b: str) -> bool:
         a, b = b, a
     if len(b) - len(a) > 1 or a == b:
         return False
-    at = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    at = 0
+    while at < len(a) and a[at] == b[at]:
+        at += 1
     return a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
 
@@ -103,19 +106,28 @@ def grams(word: str, q: int = Q) -> list[str]:
     return [word[k : k + q] for k in range(len(word) - q + 1)]
 
 
-def near_pairs(words: list[str]) -> Iterator[tuple[int, int]]:
-    """Places of words at one edit from each other: an index of positional q-grams, postings merged by a heap, a count filter, verification."""
+def near_pairs(words: list[str], replaced: bool = True) -> Iterator[tuple[int, int]]:
+    """Places of words at one edit from each other: an index of positional q-grams, postings merged by a heap, a count filter, verification.
+
+    Of the longer word's q-grams all but Q must come up (the overlap bound), so one at least of any Q + 1 of them must:
+    the postings of the Q + 1 rarest are merged. Without `replaced` only words whose lengths differ are compared.
+    """
     index: dict[tuple[str, int, int], list[int]] = defaultdict(list)  # q-gram, place, length: words in order
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     for nth, i in enumerate(order):
-        word, own = words[i], grams(words[i])
-        postings = [p for k, g in enumerate(own) for length in (len(word) - 1, len(word)) for at in (k - 1, k, k + 1) if (p := index.get((g, at, length)))]
-        bound = max(1, len(word) - 2 * Q + 1)  # q-grams of the longer word that one edit must leave
-        for other, times in groupby(heapq.merge(*postings)):
-            if sum(1 for _ in times) >= bound and one_edit(words[order[other]], word):
+        word, postings = words[i], []
+        length, own = len(word), grams(words[i])
+        lengths = (length - 1, length) if replaced else (length - 1,)
+        for k, g in enumerate(own):
+            found = [p for n in lengths for at in (k - 1, k, k + 1) if (p := index.get((g, at, n)))]
+            postings.append((sum(map(len, found)), k, found))
+        postings.sort()
+        merged = [p for _, _, found in postings[: Q + 1] for p in found]
+        for other, _ in groupby(heapq.merge(*merged)):
+            if one_edit(words[order[other]], word):
                 yield order[other], i
         for k, g in enumerate(own):
-            index[g, k, len(word)].append(nth)
+            index[g, k, length].append(nth)
 
 
 def _keys(source: Iterator[pa.RecordBatch], rarity) -> Iterator[pa.RecordBatch]:
@@ -150,10 +162,10 @@ def _compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def handed() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["word", "other", "other_n"])
 
-    for _, own in groupby(rows, key=lambda r: r[0]):
+    for key, own in groupby(rows, key=lambda r: r[0]):
         _, words, counts = zip(*own, strict=True)
         if len(words) > 1:
-            for i, j in near_pairs(list(words)):
+            for i, j in near_pairs(list(words), key[0] == "<"):
                 out += [(words[i], words[j], counts[j]), (words[j], words[i], counts[i])]
         if len(out) >= 4096:
             yield handed()
