@@ -9,6 +9,7 @@ from voxelweave.functions.geometry import RigidTransform, add, rotation_angle_co
 from voxelweave.functions.text import pad_left, pad_right, utf8_length
 from voxelweave.functions.timing import timing_stats
 from voxelweave.operators import cloud, components, neighbors, raster, registration, voxel
+from voxelweave.operators.point_index import BOX, LOW, PointIndex
 from voxelweave.plans.adapters import POINTS_SQL, RASTER_SQL, SHIFT, colour, moved, points, queries_of
 from voxelweave.plans.adapters import raster as plane
 from voxelweave.session import new_path
@@ -16,7 +17,7 @@ from voxelweave.sources import cloud_files, image_files, synthetic
 
 POSE = RigidTransform(rotation_axis_angle((0.5, -0.2, 0.6), 0.11), (0.21, -0.16, 0.09))
 LEAF, RADIUS, K, SIGMA = 1.0, 0.5, 5, 1.6
-LOW, HIGH, LEAST_AREA = 180, 210, 3
+DIM, BRIGHT, LEAST_AREA = 180, 210, 3
 KERNEL = [round(w * 1_000_000) for w in raster.gaussian_kernel(SIGMA)]  # whole numbers: sums are exact in any order
 
 
@@ -111,7 +112,7 @@ def _csv_roundtrip(spark, d: str) -> DataFrame:
 
 
 def _mask(spark, d: str) -> DataFrame:
-    return raster.threshold(plane(spark, d, True), LOW)
+    return raster.threshold(plane(spark, d, True), DIM)
 
 
 def _labels(spark, d: str) -> DataFrame:
@@ -173,14 +174,36 @@ def _uniform_facts(spark, d: str) -> DataFrame:
 
 
 def _index_boxes(spark, d: str) -> DataFrame:
-    """Each point is in one box of the index and within its bounds."""
-    p = points(spark, d).drop("user_id")
-    boxes = neighbors.boxes_of(p)
-    sides = spark.createDataFrame([(k, *map(float, low), *map(float, high)) for k, (low, high) in enumerate(zip(boxes.low, boxes.high, strict=True))], "leaf long, lx double, ly double, lz double, hx double, hy double, hz double")
-    inside = neighbors.boxed(p, spark.sparkContext.broadcast(boxes)).join(F.broadcast(sides), "leaf").select("point_id", *((F.col(k) >= F.col(f"l{k}")) & (F.col(k) < F.col(f"h{k}")) for k in "xyz")).toDF("point_id", *"xyz")
+    """Each point is in one box of the index and within the bounds of its top box."""
+    index = PointIndex.build(points(spark, d))
+    sides = spark.createDataFrame([(k, *map(float, low), *map(float, high)) for k, (low, high) in enumerate(zip(index.top.low, index.top.high, strict=True))], "top long, lx double, ly double, lz double, hx double, hy double, hz double")
+    boxed = index.read().withColumn("top", F.floor(F.col("leaf") / LOW).cast("long"))
+    inside = boxed.join(F.broadcast(sides), "top").select("point_id", *((F.col(k) >= F.col(f"l{k}")) & (F.col(k) < F.col(f"h{k}")) for k in "xyz")).toDF("point_id", *"xyz")
     return inside.select("point_id", (F.col("x") & F.col("y") & F.col("z")).alias("inside"))
 
 
+def _stored(spark, d: str) -> PointIndex:
+    """An index of all points, written under a path and opened again."""
+    path = _folder(spark)
+    PointIndex.build(points(spark, d), path)
+    return PointIndex.load(spark, path)
+
+
+def _index_report(spark, d: str) -> DataFrame:
+    """Facts of the stored index: its points, whether boxes are as full as they may be, and whether its files hold them."""
+    f = _stored(spark, d).facts()
+    return f.select("n_points", (F.col("fullest") <= 2 * BOX).alias("fullest_as_asked"), (F.col("n_boxes") >= F.col("n_points") / (2 * BOX)).alias("boxes_as_asked"), (F.col("index_bytes") > F.col("n_points")).alias("in_files"))
+
+
+def _icp_indexed(spark, d: str) -> DataFrame:
+    """Registration against a stored index of the target, by joins that move the source alone."""
+    p, away = moved(spark, d)
+    path = _folder(spark)
+    PointIndex.build(p, path)
+    result = registration.icp(away, PointIndex.load(spark, path), registration.IcpOptions(60, 1.0, broadcast_points=0))
+    return _r4(cloud.transform(away, result.transform))
+
+
 def _point_algebra(spark, d: str) -> DataFrame:
     p = points(spark, d)
     a, b = F.struct("x", "y", "z"), F.struct(F.col("z").alias("x"), F.col("x").alias("y"), F.col("y").alias("z"))
@@ -225,7 +248,10 @@ QUERIES = {
     "index_boxes": _index_boxes,
     "point_algebra": _point_algebra,
     "image_check": lambda s, d: _image(raster.image_check(colour(s, d))),
-    "index_report": lambda s, d: neighbors.index_report(points(s, d), LEAF),
+    "index_report": _index_report,
+    "indexed_knn": lambda s, d: neighbors.knn(queries_of(points(s, d).drop("user_id")), _stored(s, d), K, skip_same=True),
+    "indexed_radius": lambda s, d: neighbors.radius_search(queries_of(points(s, d).drop("user_id")), _stored(s, d), RADIUS, skip_same=True),
+    "icp_indexed": _icp_indexed,
     "correspondences": lambda s, d: _pairs(s, d).select("source_id", "target_id", "squared_distance"),
     "correspondence_rmse": lambda s, d: registration.correspondence_rmse(_pairs(s, d)).select(F.round("rmse", 6).alias("rmse"), "correspondences"),
     "cross_covariance": lambda s, d: _rounded_sums(registration.pair_sums(_pairs(s, d))),
@@ -235,13 +261,13 @@ QUERIES = {
     "image_to_float": lambda s, d: _image(raster.to_float(colour(s, d), 2)),
     "image_gray": lambda s, d: _image(raster.to_grayscale(colour(s, d))),
     "image_normalize": lambda s, d: _image(raster.normalize_to_image8(plane(s, d, False))),
-    "image_threshold": lambda s, d: _image(raster.threshold(plane(s, d, True), LOW)),
+    "image_threshold": lambda s, d: _image(raster.threshold(plane(s, d, True), DIM)),
     "image_to8": lambda s, d: _image(raster.to_image8(plane(s, d, False).withColumn("v", F.col("v") * F.lit(5.5) - F.lit(3.25)))),
     "gaussian_blur": lambda s, d: _image(raster.convolve_columns(raster.convolve_rows(plane(s, d, False), KERNEL), KERNEL)),
     "gaussian_blur_sigma": lambda s, d: _image(raster.gaussian_blur(plane(s, d, False), SIGMA).withColumn("v", F.round("v", 6) + F.lit(0.0))),
     "sobel": lambda s, d: _image(raster.sobel(plane(s, d, True))),
     "nms": lambda s, d: _image(raster.non_maximum_suppression(raster.sobel(plane(s, d, True)))),
-    "hysteresis": lambda s, d: _image(components.hysteresis_threshold(plane(s, d, True), LOW, HIGH)),
+    "hysteresis": lambda s, d: _image(components.hysteresis_threshold(plane(s, d, True), DIM, BRIGHT)),
     "components": lambda s, d: _image(_labels(s, d)),
     "components_graph": lambda s, d: _image(components.connected_components(_mask(s, d), 4, 1, one_task=0)),
     "component_stats": lambda s, d: _image(components.component_stats(_labels(s, d))),
@@ -328,7 +354,7 @@ FROM n a JOIN g b ON {_at('b', '-nx', '-ny')} JOIN g c ON {_at('c', 'nx', 'ny')}
 
 
 def _closure(near: str) -> str:
-    return f"""WITH RECURSIVE {RASTER_SQL}, fg AS (SELECT x, y, v, y * 100000 + x AS id FROM rough WHERE v >= {LOW}),
+    return f"""WITH RECURSIVE {RASTER_SQL}, fg AS (SELECT x, y, v, y * 100000 + x AS id FROM rough WHERE v >= {DIM}),
 e AS (SELECT a.id AS a, b.id AS b FROM fg a JOIN fg b ON {near}),
 reach AS (SELECT id, id AS root FROM fg UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id),
 comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
@@ -378,7 +404,10 @@ ORACLES = {
     "nearest": f"SELECT query_id, point_id, squared_distance FROM ({_best(1)})",
     "knn": _best(K),
     "brute_knn": _best(K),
-    "index_report": f"{_P}, c AS (SELECT floor(x) AS a, floor(y) AS b, floor(z) AS c, count(*) AS n FROM p GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS n_points, count(*) AS n_cells, max(n) AS fullest, CAST(sum(n) * 36 AS BIGINT) AS index_bytes FROM c",
+    "index_report": "SELECT count(*) AS n_points, true AS fullest_as_asked, true AS boxes_as_asked, true AS in_files FROM events",
+    "indexed_knn": _best(K),
+    "indexed_radius": _CLOSE,
+    "icp_indexed": f"{_P} SELECT point_id, {_ROUND4} FROM p",
     "correspondences": f"{_MATCHED} SELECT query_id AS source_id, point_id AS target_id, squared_distance FROM c",
     "correspondence_rmse": f"{_MATCHED} SELECT round(sqrt(sum(squared_distance) / count(*)), 6) AS rmse, count(*) AS correspondences FROM c",
     "cross_covariance": f"{_MATCHED} SELECT count(*) AS n, {_PAIR_SUMS} FROM c",
@@ -388,13 +417,13 @@ ORACLES = {
     "image_to_float": f"{_COLOUR} SELECT x, y, CAST(v AS DOUBLE) AS v FROM colour WHERE c = 2",
     "image_gray": f"{_COLOUR}, wide AS (SELECT x, y, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b FROM colour GROUP BY 1, 2) SELECT x, y, CAST(floor(r * {_double(0.299)} + g * {_double(0.587)} + b * {_double(0.114)} + {_double(0.5)}) AS INTEGER) AS v FROM wide",
     "image_normalize": f"{_R}, m AS (SELECT min(v) AS lo, max(v) AS hi FROM smooth) SELECT x, y, CAST(floor(CAST(v - lo AS DOUBLE) * 255.0 / (hi - lo) + 0.5) AS INTEGER) AS v FROM smooth, m",
-    "image_threshold": f"{_R} SELECT x, y, CAST(CASE WHEN v >= {LOW} THEN 255 ELSE 0 END AS INTEGER) AS v FROM rough",
+    "image_threshold": f"{_R} SELECT x, y, CAST(CASE WHEN v >= {DIM} THEN 255 ELSE 0 END AS INTEGER) AS v FROM rough",
     "image_to8": f"{_R} SELECT x, y, CAST(floor(least(255, greatest(0, v * {_double(5.5)} - {_double(3.25)} + {_double(0.5)}))) AS INTEGER) AS v FROM smooth",
     "gaussian_blur": _BLUR,
     "gaussian_blur_sigma": _BLUR_SIGMA,
     "sobel": f"{_SOBEL} SELECT x, y, gx, gy, magnitude FROM g",
     "nms": _NMS,
-    "hysteresis": f"{_closure(_EIGHT)}, strong AS (SELECT DISTINCT root FROM comp JOIN fg USING (id) WHERE v >= {HIGH}) SELECT g.x, g.y, CAST(CASE WHEN strong.root IS NULL THEN 0 ELSE 255 END AS INTEGER) AS v FROM grid g LEFT JOIN comp ON comp.id = g.y * 100000 + g.x LEFT JOIN strong ON strong.root = comp.root",
+    "hysteresis": f"{_closure(_EIGHT)}, strong AS (SELECT DISTINCT root FROM comp JOIN fg USING (id) WHERE v >= {BRIGHT}) SELECT g.x, g.y, CAST(CASE WHEN strong.root IS NULL THEN 0 ELSE 255 END AS INTEGER) AS v FROM grid g LEFT JOIN comp ON comp.id = g.y * 100000 + g.x LEFT JOIN strong ON strong.root = comp.root",
     "components": f"{_LAB} SELECT x, y, label FROM lab",
     "components_graph": f"{_labelled(_FOUR, 1)} SELECT x, y, label FROM lab",
     "component_stats": f"{_LAB} SELECT label, count(*) AS area, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y, CAST(sum(x) AS DOUBLE) / count(*) AS centroid_x, CAST(sum(y) AS DOUBLE) / count(*) AS centroid_y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM lab WHERE label > 0 GROUP BY label",
