@@ -96,3 +96,16 @@ def test_voxel_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r["n_points"] for r in spark.table("cells").collect()) == [1, 2]
+
+
+def test_positions_are_dense_in_order(spark):
+    from voxelweave.operators.positions import with_positions
+
+    rows = [(g, i % 50) for i in range(300) for g in ("a", None)] + [("b", 7)]
+    got = with_positions(spark.createDataFrame(rows, "g string, v int"), ["v"], "g").collect()
+    for g in ("a", None, "b"):
+        own = sorted((r["position"], r["v"]) for r in got if r["g"] == g)
+        assert [p for p, _ in own] == list(range(len(own))) and [v for _, v in own] == sorted(v for _, v in own)
+    flat = with_positions(spark.createDataFrame(rows, "g string, v int"), ["v"]).collect()
+    assert sorted(r["position"] for r in flat) == list(range(601))
+    assert with_positions(spark.createDataFrame([], "g string, v int"), ["v"]).count() == 0

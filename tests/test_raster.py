@@ -54,8 +54,8 @@ def test_hysteresis_chain(spark):
 def test_components(spark):
     three = np.zeros((20, 20))
     three[1:5, 1:5], three[1:5, 8:14], three[10:16, 10:16] = 1, 1, 1
-    for one_task in (components.ONE_TASK, 0):
-        labels = materialize(components.connected_components(frame(spark, three), one_task=one_task), "labels")
+    for tile in (components.TILE, 4):
+        labels = materialize(components.connected_components(frame(spark, three), tile=tile), "labels")
         stats = components.component_stats(labels).orderBy("label").collect()
         assert [r["label"] for r in stats] == [1, 2, 3] and [r["area"] for r in stats] == [16, 24, 36]
         assert (stats[0]["min_x"], stats[0]["max_x"], stats[0]["centroid_x"], stats[0]["width"]) == (1, 4, 2.5, 4)
@@ -67,6 +67,62 @@ def test_components(spark):
         components.connected_components(frame(spark, diagonal), 6)
 
 
+def _flood(image: np.ndarray, eight: bool) -> np.ndarray:
+    """Labels in raster order by flooding."""
+    out, label = np.zeros(image.shape, int), 0
+    for y, x in zip(*np.nonzero(image), strict=True):
+        if out[y, x]:
+            continue
+        label, stack = label + 1, [(y, x)]
+        while stack:
+            b, a = stack.pop()
+            if 0 <= b < image.shape[0] and 0 <= a < image.shape[1] and image[b, a] and not out[b, a]:
+                out[b, a] = label
+                stack += [(b + dy, a + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if eight or not (dx and dy)]
+    return out
+
+
+def test_components_over_many_tiles(spark):
+    """Spirals and noise that cross many seams, in several tiles and in one."""
+    rng = np.random.default_rng(5)
+    image = (rng.random((23, 29)) < 0.55).astype(int)
+    image[1::4, 1:-1] = 1
+    for eight, tile in ((True, 5), (False, 5), (False, 64)):
+        got = grid(components.connected_components(frame(spark, image), 8 if eight else 4, tile=tile), "label")
+        assert (got == _flood(image, eight)).all()
+
+
+@pytest.mark.parametrize("tile", [1024, 2])
+def test_repeated_pixels_and_null_images(spark, tile):
+    schema = "image_id string, x int, y int, v double"
+    rows = [(i, x, 0, 1.0) for i in ("a", None) for x in (0, 1, 2, 4, 5)] + [("a", 1, 0, 1.0), ("a", 3, 0, None), ("a", None, 0, 1.0), (None, 7, 0, 0.0)]
+    df = spark.createDataFrame(rows, schema)
+    got = components.connected_components(df, tile=tile).collect()
+    assert len(got) == len(rows)
+    want = {0: 1, 1: 1, 2: 1, 3: 0, 4: 2, 5: 2, 7: 0, None: 0}
+    assert all(r["label"] == want[r["x"]] for r in got)
+    on = components.hysteresis_threshold(df.withColumn("v", df["v"] * 10 + df["x"]), 10, 15, tile=tile).collect()
+    assert len(on) == len(rows) and {r["x"] for r in on if r["v"]} == {4, 5}
+    assert components.connected_components(df.where("false"), tile=tile).count() == 0
+
+
+def test_no_group_is_larger_than_a_tile(spark, monkeypatch):
+    label = components._label_a_tile
+
+    def watched(offsets):
+        run = label(offsets)
+
+        def counted(pixels):
+            assert len(pixels) <= 16
+            return run(pixels)
+
+        return counted
+
+    monkeypatch.setattr(components, "_label_a_tile", watched)
+    got = components.connected_components(frame(spark, np.ones((11, 13))), 4, tile=4)
+    assert got.where("label = 1").count() == 143
+
+
 def test_generated_scene_has_five_regions(spark):
     image = synthetic.make_test_image(spark, 160, 120, 2.0, 9)
     mask = materialize(raster.threshold(raster.gaussian_blur(image, 1.4), 110), "mask")

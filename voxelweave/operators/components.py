@@ -1,21 +1,27 @@
 """Connected components of binary images, hysteresis thresholds and label colours.
 
-Images up to `one_task` foreground pixels are labelled by union-find in one grouped task each; larger ones as a
-graph of neighbouring pixels by a distributed closure. Labels are dense from 1 in raster order of each surviving
-component's first pixel; 0 is background.
+Images are cut into tiles of TILE x TILE pixels. Union-find labels each tile in one task; pixels on either side of a seam
+link the components of their tiles, and a distributed closure over these links alone, far fewer than pixels, joins
+them. So an image of any size is labelled, and no group is larger than a tile. Labels are dense from 1 in raster order of
+each surviving component's first pixel, numbered by prefix sums; 0 is background.
+
+A repeated pixel counts once, as foreground if any of its rows is; a null image_id is an image of its own; pixels
+without x or y, or with a null value, are background and keep their row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelweave.operators.graph import closure
+from voxelweave.operators.positions import with_positions
 from voxelweave.operators.raster import RasterError
-from voxelweave.session import materialize
+from voxelweave.session import Scratch
 
-ONE_TASK = 4_000_000
+TILE = 1024
 
 
 def _offsets(connectivity: int) -> list[tuple[int, int]]:
@@ -26,7 +32,7 @@ def _offsets(connectivity: int) -> list[tuple[int, int]]:
     raise RasterError("connectivity is 4 or 8")
 
 
-def _label_in_task(offsets: list[tuple[int, int]]):
+def _label_a_tile(offsets: list[tuple[int, int]]):
     def run(pixels: pd.DataFrame) -> pd.DataFrame:
         pixels = pixels.drop_duplicates(["y", "x"]).sort_values(["y", "x"], kind="stable")
         x, y = pixels["x"].to_numpy(np.int64), pixels["y"].to_numpy(np.int64)
@@ -59,43 +65,37 @@ def _label_in_task(offsets: list[tuple[int, int]]):
     return run
 
 
-def _label_by_graph(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
-    """Roots by min-label propagation with pointer jumps; pixels are nodes, written to the shared folder each round."""
-    state = materialize(pixels.select("image_id", "x", "y", F.struct("y", "x").alias("root")), "labels")
-    both = offsets + [(-dx, -dy) for dx, dy in offsets]
-    while True:
-        sent = state.withColumn("d", F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in [*both, (0, 0)]))))
-        offers = sent.groupBy("image_id", (F.col("x") + F.col("d.dx")).cast("int").alias("x"), (F.col("y") + F.col("d.dy")).cast("int").alias("y")).agg(F.min("root").alias("best"))
-        new = state.join(offers, ["image_id", "x", "y"]).select("image_id", "x", "y", F.least("root", "best").alias("root"), (F.col("best") < F.col("root")).alias("moved"))
-        jump = new.select(F.col("image_id").alias("ji"), F.col("x").alias("jx"), F.col("y").alias("jy"), F.col("root").alias("far"))
-        new = new.join(jump, (F.col("image_id") == F.col("ji")) & (F.col("root.x") == F.col("jx")) & (F.col("root.y") == F.col("jy"))).select("image_id", "x", "y", F.least("root", "far").alias("root"), "moved")
-        state = materialize(new, "labels")
-        if state.where("moved").isEmpty():
-            return state.select("image_id", "x", "y", F.col("root.y").alias("root_y"), F.col("root.x").alias("root_x"))
-        state = state.drop("moved")
-
-
-def roots(mask: DataFrame, connectivity: int = 8, one_task: int = ONE_TASK) -> DataFrame:
-    """(image_id, x, y, root_y, root_x) of every foreground pixel (v <> 0); the root is the component's first pixel in raster order."""
-    offsets = _offsets(connectivity)
-    pixels = mask.where("v <> 0").select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
-    sizes = pixels.groupBy("image_id").agg(F.count("*").alias("n"))
-    large = [r["image_id"] for r in sizes.where(F.col("n") > one_task).select("image_id").collect()]  # few: each has over one_task pixels
-    kind = pixels.schema["image_id"].dataType.simpleString()
-    schema = f"image_id {kind}, x int, y int, root_y int, root_x int"
-    small = pixels.where(~F.col("image_id").isin(large)) if large else pixels
-    out = small.groupBy("image_id").applyInPandas(_label_in_task(offsets), schema)
-    return out.unionByName(_label_by_graph(pixels.where(F.col("image_id").isin(large)), offsets)) if large else out
-
-
-def connected_components(mask: DataFrame, connectivity: int = 8, min_area: int = 1, one_task: int = ONE_TASK) -> DataFrame:
+def _at(x: str = "x", y: str = "y"):
+    """A pixel's or component's place: a key that is never null, in raster order within an image."""
+    return F.struct("image_id", F.col(y).alias("y"), F.col(x).alias("x"))
+
+
+def roots(mask: DataFrame, connectivity: int = 8, tile: int = TILE) -> DataFrame:
+    """(image_id, x, y, root_y, root_x) of every foreground pixel (v <> 0), once; the root is the component's first pixel in raster order."""
+    offsets, scratch = _offsets(connectivity), Scratch(mask.sparkSession, "roots")
+    pixels = mask.where("v <> 0 and x is not null and y is not null").select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    in_tile = [F.floor(F.col(c) / tile).cast("int").alias(f"t{c}") for c in "xy"]
+    schema = f"image_id {pixels.schema['image_id'].dataType.simpleString()}, x int, y int, root_y int, root_x int"
+    local = scratch.keep(pixels.groupBy("image_id", *in_tile).applyInPandas(_label_a_tile(offsets), schema), "local")
+    away = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets))
+    border = local.where(" or ".join(f"pmod({c}, {tile}) in (0, {tile - 1})" for c in "xy"))
+    ends = border.withColumn("d", F.explode(away)).withColumn("nx", F.col("x") + F.col("d.dx")).withColumn("ny", F.col("y") + F.col("d.dy"))
+    crossing = " or ".join(f"floor({c} / {tile}) <> floor(n{c} / {tile})" for c in "xy")
+    links = ends.where(crossing).select(_at("nx", "ny").alias("at"), _at("root_x", "root_y").alias("a")).join(border.select(_at().alias("at"), _at("root_x", "root_y").alias("b")), "at")
+    joined = closure(links.select("a", "b"))
+    whole = local.withColumn("node", _at("root_x", "root_y")).join(joined, "node", "left")
+    return whole.select("image_id", "x", "y", F.coalesce("component.y", "root_y").alias("root_y"), F.coalesce("component.x", "root_x").alias("root_x"))
+
+
+def connected_components(mask: DataFrame, connectivity: int = 8, min_area: int = 1, tile: int = TILE) -> DataFrame:
     """(image_id, x, y, label) of all pixels of the mask; components smaller than min_area become background."""
-    found = materialize(roots(mask, connectivity, one_task), "roots")
-    first = ["image_id", "root_y", "root_x"]
-    kept = found.groupBy(*first).agg(F.count("*").alias("area")).where(F.col("area") >= min_area)
-    names = kept.select(*first, F.row_number().over(Window.partitionBy("image_id").orderBy("root_y", "root_x")).cast("long").alias("label"))
-    labelled = found.join(names, first).select("image_id", "x", "y", "label")
-    return mask.select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).join(labelled, ["image_id", "x", "y"], "left").select("image_id", "x", "y", F.coalesce("label", F.lit(0)).alias("label"))
+    found = Scratch(mask.sparkSession, "components").keep(roots(mask, connectivity, tile).withColumn("root", _at("root_x", "root_y")), "roots")
+    kept = found.groupBy("root").agg(F.count("*").alias("area")).where(F.col("area") >= min_area)
+    first = kept.select("root.*").withColumn("root", _at())
+    names = with_positions(first, ["y", "x"], "image_id").select("root", (F.col("position") + 1).alias("label"))
+    labelled = found.join(names, "root").select(_at().alias("at"), "label")
+    pixels = mask.select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    return pixels.withColumn("at", _at()).join(labelled, "at", "left").select("image_id", "x", "y", F.coalesce("label", F.lit(0)).cast("long").alias("label"))
 
 
 def component_stats(labels: DataFrame) -> DataFrame:
@@ -108,19 +108,18 @@ def component_stats(labels: DataFrame) -> DataFrame:
 
 
 def label_at(labels: DataFrame, image_id, x: int, y: int) -> DataFrame:
-    return labels.where((F.col("image_id") == image_id) & (F.col("x") == x) & (F.col("y") == y)).select("label")
+    return labels.where(F.col("image_id").eqNullSafe(image_id) & (F.col("x") == x) & (F.col("y") == y)).select("label")
 
 
-def hysteresis_threshold(plane: DataFrame, low: float, high: float) -> DataFrame:
+def hysteresis_threshold(plane: DataFrame, low: float, high: float, tile: int = TILE) -> DataFrame:
     """255 for pixels >= low that hang together (8-connected) with one >= high, else 0; bounds in either order."""
     low, high = min(low, high), max(low, high)
-    found = materialize(roots(plane.select("image_id", "x", "y", F.when(F.col("v") >= F.lit(low), 1).otherwise(0).alias("v")), 8), "roots")
-    first = ["image_id", "root_y", "root_x"]
-    at = ["image_id", "x", "y"]
-    pixels = plane.select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "v")
-    strong = found.join(pixels, at).where(F.col("v") >= F.lit(high)).select(*first).distinct()
-    on = found.join(strong, first, "left_semi").select(*at, F.lit(255).alias("on"))
-    return pixels.join(on, at, "left").select(*at, F.coalesce("on", F.lit(0)).alias("v"))
+    pixels = plane.select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "v").withColumn("at", _at())
+    found = roots(pixels.select("image_id", "x", "y", F.when(F.col("v") >= F.lit(low), 1).otherwise(0).alias("v")), 8, tile)
+    found = Scratch(plane.sparkSession, "hysteresis").keep(found.select(_at().alias("at"), _at("root_x", "root_y").alias("root")), "roots")
+    strong = found.join(pixels.where(F.col("v") >= F.lit(high)).select("at"), "at").select("root").distinct()
+    on = found.join(strong, "root", "left_semi").select("at", F.lit(255).alias("on"))
+    return pixels.join(on, "at", "left").select("image_id", "x", "y", F.coalesce("on", F.lit(0)).alias("v"))
 
 
 #: Fixed values of the label colours: multiplier, shift, and range of each channel.

@@ -269,7 +269,8 @@ QUERIES = {
     "nms": lambda s, d: _image(raster.non_maximum_suppression(raster.sobel(plane(s, d, True)))),
     "hysteresis": lambda s, d: _image(components.hysteresis_threshold(plane(s, d, True), DIM, BRIGHT)),
     "components": lambda s, d: _image(_labels(s, d)),
-    "components_graph": lambda s, d: _image(components.connected_components(_mask(s, d), 4, 1, one_task=0)),
+    "components_graph": lambda s, d: _image(components.connected_components(_mask(s, d), 4, 1, tile=8)),
+    "hysteresis_tiles": lambda s, d: _image(components.hysteresis_threshold(plane(s, d, True), DIM, BRIGHT, tile=8)),
     "component_stats": lambda s, d: _image(components.component_stats(_labels(s, d))),
     "label_at": lambda s, d: components.label_at(_labels(s, d), 0, 3, 4),
     "colorize_labels": lambda s, d: _image(components.colorize_labels(_labels(s, d))),
@@ -370,6 +371,7 @@ lab AS (SELECT g.x, g.y, coalesce(label, 0) AS label FROM grid g LEFT JOIN comp
 
 
 _LAB = _labelled(_EIGHT, LEAST_AREA)
+_HYSTERESIS = f"{_closure(_EIGHT)}, strong AS (SELECT DISTINCT root FROM comp JOIN fg USING (id) WHERE v >= {BRIGHT}) SELECT g.x, g.y, CAST(CASE WHEN strong.root IS NULL THEN 0 ELSE 255 END AS INTEGER) AS v FROM grid g LEFT JOIN comp ON comp.id = g.y * 100000 + g.x LEFT JOIN strong ON strong.root = comp.root"
 _INVERSE = _moved(POSE.inverse(), "moved")
 _BACK = SHIFT.inverse()
 _WAY_BACK = ", ".join([*(f"round({_double(_BACK.rotation[i][j])}, 6) + 0.0 AS r{i}{j}" for i in range(3) for j in range(3)), *(f"round({_double(_BACK.translation[i])}, 6) + 0.0 AS t{i}" for i in range(3))])
@@ -423,7 +425,8 @@ ORACLES = {
     "gaussian_blur_sigma": _BLUR_SIGMA,
     "sobel": f"{_SOBEL} SELECT x, y, gx, gy, magnitude FROM g",
     "nms": _NMS,
-    "hysteresis": f"{_closure(_EIGHT)}, strong AS (SELECT DISTINCT root FROM comp JOIN fg USING (id) WHERE v >= {BRIGHT}) SELECT g.x, g.y, CAST(CASE WHEN strong.root IS NULL THEN 0 ELSE 255 END AS INTEGER) AS v FROM grid g LEFT JOIN comp ON comp.id = g.y * 100000 + g.x LEFT JOIN strong ON strong.root = comp.root",
+    "hysteresis": _HYSTERESIS,
+    "hysteresis_tiles": _HYSTERESIS,
     "components": f"{_LAB} SELECT x, y, label FROM lab",
     "components_graph": f"{_labelled(_FOUR, 1)} SELECT x, y, label FROM lab",
     "component_stats": f"{_LAB} SELECT label, count(*) AS area, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y, CAST(sum(x) AS DOUBLE) / count(*) AS centroid_x, CAST(sum(y) AS DOUBLE) / count(*) AS centroid_y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM lab WHERE label > 0 GROUP BY label",
