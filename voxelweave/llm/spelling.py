@@ -45,7 +45,6 @@ FAULT = 199  # one run of a document in so many loses a code point
 GROUP = 500  # words of a key that one index takes
 HELD = 200_000  # words counted before they are handed on
 
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _runs = re.compile("[A-Za-zÀ-ÿ]+").findall
 
 
@@ -68,7 +67,7 @@ def _count(source: Iterator[pa.RecordBatch], fault: int, least: int) -> Iterator
     total: Counter[str] = Counter()
     for batch in batches(source):
         for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for run, n in Counter(_runs(text.translate(_UPPER))).items():
+            for run, n in Counter(_runs(text.encode().lower().decode())).items():  # of bytes only A-Z are lower-cased
                 if len(run) >= least:
                     word = with_fault(doc_id, run, fault)
                     if len(word) >= least:
