@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxelweave.sources import cloud_files, image_files, synthetic
 
@@ -38,6 +39,62 @@ def test_cloud_roundtrip(spark, tmp_path, extension):
     assert cloud_files.read_cloud(spark, str(tmp_path / f"empty{extension}")).count() == 0
 
 
+@pytest.mark.parametrize(("size", "n"), [("300b", 400), ("50b", 30)])
+def test_a_file_is_read_in_ranges(spark, tmp_path, size, n):
+    """Many tasks read one file, whose header may lie in several ranges; the rows are those of a parser of the whole file."""
+    rng = np.random.default_rng(3)
+    rows = [f"{i} 7 {a:.5f} {b:.5f}" for i, (a, b) in enumerate(rng.uniform(-5, 5, (n, 2)))]
+    for at, odd in ((5, ""), (9, "# no row"), (20, "nan 1 2 3"), (n - 10, "text 4 5 6")):
+        rows.insert(at, odd)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    texts = {
+        "a b.ply": PLY.split("30 7")[0].replace("vertex 2", f"vertex {n - 1}").replace("comment c", "comment c\n12 is no row yet") + "\n".join(rows) + "\n",
+        "small.ply": PLY,
+    }
+    for name, text in texts.items():
+        (folder / name).write_text(text)
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 10
+        got = cloud_files.read_ply(spark, str(folder)).collect()
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    for name, text in texts.items():
+        own = sorted((r["point_id"], r["x"], r["y"], r["z"]) for r in got if r["cloud_id"] == name)
+        assert [r[1:] for r in own] == [tuple(map(float, r)) for r in cloud_files.parse_ply(text)] and [r[0] for r in own] == list(range(len(own)))
+
+
+@pytest.mark.parametrize("text", ["", PLY.replace("vertex 2", "vertex 9"), PLY.replace("30 7 10 20", "30 7 10"), PLY.replace("end_header\n", ""), PCD])
+def test_files_that_are_no_clouds(spark, tmp_path, text):
+    (tmp_path / "x.ply").write_text(text)
+    with pytest.raises(cloud_files.CloudFileError):
+        cloud_files.read_cloud(spark, str(tmp_path / "x.ply"))
+
+
+def test_many_clouds_and_a_failing_task_leave_whole_files_or_none(spark, tmp_path):
+    rows = [(f"c{k}.pcd" if k % 2 else f"d {k}", i, float(i), float(k), 0.5) for k in range(6) for i in range(20 * k + 1)]
+    points = spark.createDataFrame(rows, "cloud_id string, point_id long, x double, y double, z double").repartition(7)
+    folder = str(tmp_path / "clouds")
+    cloud_files.write_clouds(points, folder)
+    assert sorted(p.name for p in (tmp_path / "clouds").iterdir() if p.suffix == ".ply") == ["c1.ply", "c3.ply", "c5.ply", "d 0.ply", "d 2.ply", "d 4.ply"]
+    back = {(r["cloud_id"][:-4], r["point_id"], r["x"], r["y"], r["z"]) for r in cloud_files.read_ply(spark, f"{folder}/*.ply").collect()}
+    assert back == {(c.removesuffix(".pcd"), *r) for c, *r in rows}
+    images = spark.createDataFrame([("good", 2, 1, 1, b"\x01\x02"), ("bad", 1, 1, 3, b"abc")], image_files.PACKED).repartition(2)
+    with pytest.raises(Exception, match="PGM holds one channel"):
+        image_files.write_pgm(images, str(tmp_path / "images"))
+    assert not [p for p in (tmp_path / "images").rglob("*") if p.is_file()] and not list((tmp_path / "images").glob(".job*"))
+    image_files.write_ppm(images, str(tmp_path / "images"))
+    assert sorted(p.name for p in (tmp_path / "images").iterdir()) == ["bad.ppm", "good.ppm"]
+    broken = points.withColumn("x", F.when(F.col("y") == 5, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("x")))
+    with pytest.raises(Exception, match="lost"):
+        cloud_files.write_clouds(broken, str(tmp_path / "broken"))
+    assert not [p for p in (tmp_path / "broken").rglob("*.ply")]
+
+
 def test_unknown_extension(spark):
     with pytest.raises(cloud_files.CloudFileError):
         cloud_files.read_cloud(spark, "a.xyz")

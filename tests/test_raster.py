@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxelweave.operators import components, raster
 from voxelweave.session import materialize
@@ -43,6 +44,36 @@ def test_blur_and_sobel(spark):
     assert np.abs(grid(flat, "gy"))[9:11].min() > 100 and np.abs(grid(flat, "gx")).max() == 0
 
 
+def test_tiles_and_chains_give_the_same(spark):
+    """Stencils on small tiles, in one tile, and three steps in one shuffle; images that start anywhere."""
+    rng = np.random.default_rng(8)
+    image = rng.integers(0, 255, (19, 23)).astype(float)
+    df = frame(spark, image).withColumn("x", F.col("x") - 7).withColumn("y", F.col("y") + 40)
+    key = lambda d: sorted(map(tuple, d.collect()))
+    kernel = raster.gaussian_kernel(1.2)
+    padded = np.pad(image, 4, mode="edge")
+    slow = sum(w * v * padded[4 + a : 23 + a, 4 + b : 27 + b] for a, w in zip(range(-4, 5), kernel, strict=True) for b, v in zip(range(-4, 5), kernel, strict=True))
+    got = {(r["x"] + 7, r["y"] - 40): r["v"] for r in raster.gaussian_blur(df, 1.2, tile=5).collect()}
+    assert np.allclose([[got[x, y] for x in range(23)] for y in range(19)], slow)
+    steps = raster.non_maximum_suppression(raster.sobel(raster.gaussian_blur(df, 1.2)))
+    assert key(steps) == key(raster.ridges(df, kernel, tile=6)) == key(raster.ridges(df, kernel))
+    whole = df.withColumn("v", F.col("v").cast("int"))
+    assert raster.convolve(whole, [1, 2, 1], [1, 2, 1]).schema["v"].dataType.typeName() == "long"
+    plan = raster.ridges(df, kernel)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_images_with_odd_rows(spark):
+    rows = [(i, x, y, 1) for i in ("a", None) for x in range(3) for y in range(2)]
+    make = lambda r: spark.createDataFrame(r, "image_id string, x int, y int, v int")
+    got = raster.convolve(make([*rows, ("a", 1, 1, 5), ("a", None, 1, 5)]), [1, 1, 1]).collect()
+    assert sorted(map(str, got)) == sorted(map(str, raster.convolve(make(rows), [1, 1, 1]).collect())) and {r["v"] for r in got} == {3}
+    assert raster.sobel(make([])).count() == 0
+    for wrong in (rows[1:], [*rows[1:], ("a", 0, 0, None)]):
+        with pytest.raises(Exception, match="missing pixels|null samples"):
+            raster.sobel(make(wrong)).collect()
+
+
 def test_hysteresis_chain(spark):
     weak = np.zeros((3, 9))
     weak[1] = [90, 30, 30, 30, 30, 0, 0, 0, 30]

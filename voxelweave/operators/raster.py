@@ -1,17 +1,25 @@
 """Raster operators on the long form (image_id, x, y, v); colour images have c as well.
 
-Stencils are windows along rows and then columns, with the border replicated: lag and lead beyond the edge fall
-back to the edge pixel. A pass costs one shuffle on (image_id, y) or (image_id, x), whatever the kernel's length.
+Stencils work on tiles of TILE x TILE pixels with a halo: a pixel goes to its own tile and, within the halo's width of a
+seam, to the neighbour's. That is the only shuffle, whatever the kernel's length and however many steps follow each
+other (`ridges`); within a tile numpy works on arrays, with the image's border replicated. An image may have any size.
+
+Of a repeated pixel the smallest value counts, and it comes out once; pixels without x or y go; a null in an image of
+doubles makes null what it reaches. Missing pixels, and nulls in an image of whole numbers, are errors.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+TILE = 512
+
 
 class RasterError(ValueError):
     """An argument outside an operator's domain."""
@@ -69,67 +77,131 @@ def gaussian_kernel(sigma: float) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def _taps(column: str, along: str, across: str, reach: int) -> list[Column]:
-    """column at -reach .. reach along an axis, the border replicated."""
-    order = Window.partitionBy("image_id", across).orderBy(along)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, last = F.first(column).over(whole), F.last(column).over(whole)
-    before = [F.coalesce(F.lag(column, k).over(order), first) for k in range(reach, 0, -1)]
-    after = [F.coalesce(F.lead(column, k).over(order), last) for k in range(1, reach + 1)]
-    return [*before, F.col(column), *after]
+# --- tiles -------------------------------------------------------------------------------------------------
 
 
-def _convolve(plane: DataFrame, kernel: Sequence[float], along: str, across: str) -> DataFrame:
-    if len(kernel) % 2 == 0:
-        raise RasterError("a kernel has an odd length")
-    taps = plane.select("*", *(t.alias(f"__{k}") for k, t in enumerate(_taps("v", along, across, len(kernel) // 2))))
-    total = None
-    for k, w in enumerate(kernel):
-        term = F.col(f"__{k}") * F.lit(w)
-        total = term if total is None else total + term
-    return taps.select("image_id", "x", "y", total.alias("v"))
+def _dense(pixels: pa.Table, columns: list[str], whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Rows of the pixels in raster order, each once; their places; and a dense array a column."""
+    x, y = (pixels[k].to_numpy() for k in "xy")
+    values = {c: pixels[c].to_numpy() for c in columns}
+    if whole and any(pixels[c].null_count for c in columns):
+        raise RasterError("an image of whole numbers has null samples")
+    order = np.lexsort((values[columns[0]], x, y))
+    x, y = x[order], y[order]
+    once = np.r_[True, (np.diff(x) != 0) | (np.diff(y) != 0)]
+    rows, x, y = order[once], x[once], y[once]
+    shape = int(y[-1] - y[0]) + 1, int(x.max() - x.min()) + 1
+    if len(rows) != shape[0] * shape[1]:
+        raise RasterError("an image has missing pixels")
+    return rows, x, y, {c: v[rows].reshape(shape) for c, v in values.items()}
 
 
-def convolve_rows(plane: DataFrame, kernel: Sequence[float]) -> DataFrame:
-    """Correlation along x. Whole-number kernels on whole-number images stay whole numbers."""
-    return _convolve(plane, kernel, "x", "y")
+def _stencil(plane: DataFrame, columns: list[str], halo: tuple[int, int], run: Callable, out: dict[str, str], tile: int) -> DataFrame:
+    """run(arrays by column) -> arrays by name of `out`, over each tile with its halo (along x, along y)."""
+    whole = all(plane.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for c in columns)
+    kinds = {c: "long" if whole else "double" for c in columns}
+    at = {k: F.explode(F.sequence(F.floor((F.col(k) - h) / tile).cast("int"), F.floor((F.col(k) + h) / tile).cast("int"))) for k, h in zip("xy", halo, strict=True)}
+    pixels = plane.select("image_id", *(F.col(k).cast("int").alias(k) for k in "xy"), *(F.col(c).cast(k).alias(c) for c, k in kinds.items()))
+    types = {"long": pa.int64(), "double": pa.float64()}
+    out = {n: ("long" if whole else "double") if t == "same" else t for n, t in out.items()}
 
+    def in_tile(key: tuple, pixels: pa.Table) -> pa.Table:
+        rows, x, y, arrays = _dense(pixels, columns, whole)
+        own = (x // tile == key[1].as_py()) & (y // tile == key[2].as_py())
+        made = run(arrays)
+        results = {n: pa.array(made[n].ravel()[own], types[t], from_pandas=True) for n, t in out.items()}
+        return pa.table({"image_id": pixels["image_id"].take(pa.array(rows[own])), "x": pa.array(x[own], pa.int32()), "y": pa.array(y[own], pa.int32())} | results)
 
-def convolve_columns(plane: DataFrame, kernel: Sequence[float]) -> DataFrame:
-    return _convolve(plane, kernel, "y", "x")
+    schema = f"image_id {plane.schema['image_id'].dataType.simpleString()}, x int, y int, {', '.join(f'{n} {t}' for n, t in out.items())}"
+    tiles = pixels.withColumn("tile_x", at["x"]).withColumn("tile_y", at["y"])
+    return tiles.groupBy("image_id", "tile_x", "tile_y").applyInArrow(in_tile, schema)
 
 
-def gaussian_blur(plane: DataFrame, sigma: float) -> DataFrame:
-    kernel = gaussian_kernel(sigma)
-    return convolve_columns(convolve_rows(plane, kernel), kernel)
+def _shifted(v: np.ndarray, reach: int, axis: int) -> list[np.ndarray]:
+    """v at -reach .. reach along an axis, the border replicated."""
+    wide = np.pad(v, [(reach, reach) if a == axis else (0, 0) for a in range(2)], mode="edge")
+    n = v.shape[axis]
+    return [wide[k : k + n] if axis == 0 else wide[:, k : k + n] for k in range(2 * reach + 1)]
 
 
-def sobel(plane: DataFrame) -> DataFrame:
-    """gx, gy and magnitude from 3x3 neighbourhoods: a row pass for differences and sums, a column pass over both."""
-    left, mid, right = _taps("v", "x", "y", 1)
-    rows = plane.select("image_id", "x", "y", (right - left).alias("d"), (left + mid * 2 + right).alias("s"))
-    taps = rows.select("image_id", "x", "y", *(t.alias(f"d{k}") for k, t in enumerate(_taps("d", "y", "x", 1))), *(t.alias(f"s{k}") for k, t in enumerate(_taps("s", "y", "x", 1))))
-    gx, gy = F.col("d0") + F.col("d1") * 2 + F.col("d2"), F.col("s2") - F.col("s0")
-    out = taps.select("image_id", "x", "y", gx.alias("gx"), gy.alias("gy"))
-    return out.withColumn("magnitude", F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double")))
+def _correlated(v: np.ndarray, kernel: Sequence[float], axis: int) -> np.ndarray:
+    total = None
+    for w, tap in zip(kernel, _shifted(v, len(kernel) // 2, axis), strict=True):
+        total = tap * w if total is None else total + tap * w
+    return total
+
+
+def _gradient(v: np.ndarray) -> dict[str, np.ndarray]:
+    left, mid, right = _shifted(v, 1, 1)
+    d, s = _shifted(right - left, 1, 0), _shifted(left + mid * 2 + right, 1, 0)
+    gx, gy = d[0] + d[1] * 2 + d[2], s[2] - s[0]
+    return {"gx": gx, "gy": gy, "magnitude": np.sqrt((gx * gx + gy * gy).astype(float))}
 
 
 #: Fixed value: the tangent of 67.5 degrees, where one of four directions ends.
 STEEP = 2.414214
 
 
-def non_maximum_suppression(gradient: DataFrame) -> DataFrame:
+def _ridge(gx: np.ndarray, gy: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """m where it is above the neighbour before and not below the one after, along the gradient's direction."""
+    near = [_shifted(r, 1, 1) for r in _shifted(m, 1, 0)]  # rows above, own and below; left, own and right
+    ax, ay = np.abs(gx).astype(float), np.abs(gy).astype(float)
+    which = [ax >= STEEP * ay, ay >= STEEP * ax, (gx > 0) == (gy > 0)]
+    before = np.select(which, [near[1][0], near[0][1], near[0][0]], near[2][0])
+    after = np.select(which, [near[1][2], near[2][1], near[2][2]], near[0][2])
+    return np.where((m > 0) & (m > before) & (m >= after), m, 0.0)
+
+
+# --- stencils ----------------------------------------------------------------------------------------------
+
+
+def convolve(plane: DataFrame, rows: Sequence[float] = (1,), columns: Sequence[float] = (1,), tile: int = TILE) -> DataFrame:
+    """Correlation along x with `rows`, then along y with `columns`. Whole-number kernels on whole-number images stay whole numbers."""
+    if len(rows) % 2 == 0 or len(columns) % 2 == 0:
+        raise RasterError("a kernel has an odd length")
+    rows, columns = list(rows), list(columns)
+    if not all(isinstance(w, int) for w in [*rows, *columns]):
+        plane = plane.withColumn("v", F.col("v").cast("double"))
+    return _stencil(plane, ["v"], (len(rows) // 2, len(columns) // 2), lambda a: {"v": _correlated(_correlated(a["v"], rows, 1), columns, 0)}, {"v": "same"}, tile)
+
+
+def convolve_rows(plane: DataFrame, kernel: Sequence[float], tile: int = TILE) -> DataFrame:
+    return convolve(plane, kernel, tile=tile)
+
+
+def convolve_columns(plane: DataFrame, kernel: Sequence[float], tile: int = TILE) -> DataFrame:
+    return convolve(plane, columns=kernel, tile=tile)
+
+
+def gaussian_blur(plane: DataFrame, sigma: float, tile: int = TILE) -> DataFrame:
+    kernel = gaussian_kernel(sigma)
+    return convolve(plane, kernel, kernel, tile)
+
+
+def sobel(plane: DataFrame, tile: int = TILE) -> DataFrame:
+    """gx, gy and magnitude from 3x3 neighbourhoods: a row pass for differences and sums, a column pass over both."""
+    return _stencil(plane, ["v"], (1, 1), lambda a: _gradient(a["v"]), {"gx": "same", "gy": "same", "magnitude": "double"}, tile)
+
+
+def non_maximum_suppression(gradient: DataFrame, tile: int = TILE) -> DataFrame:
     """The magnitude where it is a ridge: above the neighbour before and not below the one after, along the gradient's direction."""
-    rows = gradient.select("*", *(t.alias(n) for n, t in zip(("l", "m", "r"), _taps("magnitude", "x", "y", 1), strict=True)))
-    packed = rows.withColumn("row", F.struct("l", "m", "r"))
-    up, _, down = _taps("row", "y", "x", 1)
-    near = packed.withColumn("up", up).withColumn("down", down)
-    ax, ay = F.abs("gx").cast("double"), F.abs("gy").cast("double")
-    flat, tall, same = ax >= F.lit(STEEP) * ay, ay >= F.lit(STEEP) * ax, (F.col("gx") > 0) == (F.col("gy") > 0)
-    before = F.when(flat, F.col("l")).when(tall, F.col("up.m")).when(same, F.col("up.l")).otherwise(F.col("down.l"))
-    after = F.when(flat, F.col("r")).when(tall, F.col("down.m")).when(same, F.col("down.r")).otherwise(F.col("up.r"))
-    m = F.col("magnitude")
-    return near.select("image_id", "x", "y", F.when((m > 0) & (m > before) & (m >= after), m).otherwise(0.0).alias("v"))
+    return _stencil(gradient, ["magnitude", "gx", "gy"], (1, 1), lambda a: {"v": _ridge(a["gx"], a["gy"], a["magnitude"])}, {"v": "double"}, tile)
+
+
+def ridges(plane: DataFrame, kernel: Sequence[float], tile: int = TILE) -> DataFrame:
+    """Correlation with a kernel along x and y, gradient and non-maximum suppression in one shuffle, with a halo as wide as all need: what these give one after another."""
+    kernel = list(kernel)
+    if len(kernel) % 2 == 0:
+        raise RasterError("a kernel has an odd length")
+    if not all(isinstance(w, int) for w in kernel):
+        plane = plane.withColumn("v", F.col("v").cast("double"))
+
+    def run(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        g = _gradient(_correlated(_correlated(arrays["v"], kernel, 1), kernel, 0))
+        return {"v": _ridge(g["gx"], g["gy"], g["magnitude"])}
+
+    wide = len(kernel) // 2 + 2
+    return _stencil(plane, ["v"], (wide, wide), run, {"v": "double"}, tile)
 
 
 def threshold(plane: DataFrame, at: float, keep_above: bool = True) -> DataFrame:

@@ -18,6 +18,7 @@ from voxelweave.sources import cloud_files, image_files, synthetic
 POSE = RigidTransform(rotation_axis_angle((0.5, -0.2, 0.6), 0.11), (0.21, -0.16, 0.09))
 LEAF, RADIUS, K, SIGMA = 1.0, 0.5, 5, 1.6
 DIM, BRIGHT, LEAST_AREA = 180, 210, 3
+BINOMIAL = [1, 4, 6, 4, 1]
 KERNEL = [round(w * 1_000_000) for w in raster.gaussian_kernel(SIGMA)]  # whole numbers: sums are exact in any order
 
 
@@ -263,10 +264,12 @@ QUERIES = {
     "image_normalize": lambda s, d: _image(raster.normalize_to_image8(plane(s, d, False))),
     "image_threshold": lambda s, d: _image(raster.threshold(plane(s, d, True), DIM)),
     "image_to8": lambda s, d: _image(raster.to_image8(plane(s, d, False).withColumn("v", F.col("v") * F.lit(5.5) - F.lit(3.25)))),
-    "gaussian_blur": lambda s, d: _image(raster.convolve_columns(raster.convolve_rows(plane(s, d, False), KERNEL), KERNEL)),
+    "gaussian_blur": lambda s, d: _image(raster.convolve(plane(s, d, False), KERNEL, KERNEL)),
     "gaussian_blur_sigma": lambda s, d: _image(raster.gaussian_blur(plane(s, d, False), SIGMA).withColumn("v", F.round("v", 6) + F.lit(0.0))),
     "sobel": lambda s, d: _image(raster.sobel(plane(s, d, True))),
     "nms": lambda s, d: _image(raster.non_maximum_suppression(raster.sobel(plane(s, d, True)))),
+    "stencils_on_tiles": lambda s, d: _image(raster.non_maximum_suppression(raster.sobel(plane(s, d, True), tile=8), tile=8)),
+    "ridges": lambda s, d: _image(raster.ridges(plane(s, d, True), BINOMIAL, tile=16)),
     "hysteresis": lambda s, d: _image(components.hysteresis_threshold(plane(s, d, True), DIM, BRIGHT)),
     "components": lambda s, d: _image(_labels(s, d)),
     "components_graph": lambda s, d: _image(components.connected_components(_mask(s, d), 4, 1, tile=8)),
@@ -354,6 +357,13 @@ SELECT a.x, a.y, CASE WHEN a.magnitude > 0 AND a.magnitude > b.magnitude AND a.m
 FROM n a JOIN g b ON {_at('b', '-nx', '-ny')} JOIN g c ON {_at('c', 'nx', 'ny')}"""
 
 
+_BINOMIAL = ", ".join(f"({k - 2}, {w})" for k, w in enumerate(BINOMIAL))
+#: The same over an image that is blurred first.
+_RIDGES = _NMS.replace(", w(dx, dy, wx, wy)", f""", k(o, w) AS (VALUES {_BINOMIAL}),
+h AS (SELECT a.x, a.y, CAST(sum(b.v * w) AS BIGINT) AS v FROM grid a, k JOIN rough b ON {_at('b', 'o', '0')} GROUP BY 1, 2),
+blurred AS (SELECT a.x, a.y, CAST(sum(b.v * w) AS BIGINT) AS v FROM grid a, k JOIN h b ON {_at('b', '0', 'o')} GROUP BY 1, 2), w(dx, dy, wx, wy)""").replace("JOIN rough b ON " + _at("b", "dx", "dy"), "JOIN blurred b ON " + _at("b", "dx", "dy"))
+
+
 def _closure(near: str) -> str:
     return f"""WITH RECURSIVE {RASTER_SQL}, fg AS (SELECT x, y, v, y * 100000 + x AS id FROM rough WHERE v >= {DIM}),
 e AS (SELECT a.id AS a, b.id AS b FROM fg a JOIN fg b ON {near}),
@@ -425,6 +435,8 @@ ORACLES = {
     "gaussian_blur_sigma": _BLUR_SIGMA,
     "sobel": f"{_SOBEL} SELECT x, y, gx, gy, magnitude FROM g",
     "nms": _NMS,
+    "stencils_on_tiles": _NMS,
+    "ridges": _RIDGES,
     "hysteresis": _HYSTERESIS,
     "hysteresis_tiles": _HYSTERESIS,
     "components": f"{_LAB} SELECT x, y, label FROM lab",

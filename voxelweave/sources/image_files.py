@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelweave.sources.stores import write_bytes
+from voxelweave.sources.stores import write_named_files
 
 PACKED = "image_id string, width int, height int, channels int, data binary"
 
@@ -101,10 +101,14 @@ def format_ppm(width: int, height: int, channels: int, data: bytes) -> bytes:
 
 
 def _write(images: DataFrame, folder: str, extension: str, form) -> None:
-    """One image is one file, so one row comes at a time."""
-    for r in images.toLocalIterator():
-        name = os.path.splitext(os.path.basename(r["image_id"]))[0]
-        write_bytes(images.sparkSession, f"{folder}/{name}{extension}", form(r["width"], r["height"], r["channels"], bytes(r["data"])))
+    """One image is one file; tasks write them and the driver commits."""
+
+    def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in source:
+            files = [(f"{os.path.splitext(os.path.basename(r.image_id))[0]}{extension}", form(r.width, r.height, r.channels, bytes(r.data))) for r in rows.itertuples()]
+            yield pd.DataFrame(files, columns=["name", "content"])
+
+    write_named_files(images.mapInPandas(run, "name string, content binary"), folder)
 
 
 def write_pgm(images: DataFrame, folder: str) -> None:
