@@ -109,3 +109,42 @@ def test_positions_are_dense_in_order(spark):
     flat = with_positions(spark.createDataFrame(rows, "g string, v int"), ["v"]).collect()
     assert sorted(r["position"] for r in flat) == list(range(601))
     assert with_positions(spark.createDataFrame([], "g string, v int"), ["v"]).count() == 0
+
+
+def test_union_and_positions_of_any_ids(spark):
+    from voxelweave.operators import cloud
+
+    a = spark.createDataFrame([(40, 1.0, 0.0, 0.0), (7, 2.0, 0.0, 0.0), (None, 3.0, 0.0, 0.0)], "point_id long, x double, y double, z double")
+    b = spark.createDataFrame([(7, 4.0, 0.0, 0.0), (7, 5.0, 0.0, 0.0)], a.schema)
+    got = sorted((r["point_id"], r["x"]) for r in cloud.union([a, b, a.where("false")]).collect())
+    assert [i for i, _ in got] == [0, 1, 2, 3, 4] and [x for _, x in got[:3]] == [3.0, 2.0, 1.0] and {x for _, x in got[3:]} == {4.0, 5.0}
+    assert cloud.point_at(a, 2).first()["x"] == 1.0 and cloud.point_at(a, 3).count() == 0
+    assert sorted(r["x"] for r in cloud.with_point(a, 1, 9.0, 9.0, 9.0).collect()) == [1.0, 3.0, 9.0]
+
+
+def test_poses_of_many_groups(spark):
+    """Each group's pose as found alone; degenerate and small groups, null keys and coordinates."""
+    from voxelweave.functions.geometry import RigidTransform, rotation_axis_angle
+    from voxelweave.operators import registration
+
+    rng = np.random.default_rng(4)
+    rows, poses = [], {}
+    for g, n, spread in (("a", 40, (1, 1, 1)), (None, 9, (1, 1, 1)), ("flat", 12, (1, 1, 0)), ("line", 8, (1, 0, 0)), ("dot", 5, (0, 0, 0)), ("two", 2, (1, 1, 1)), ("far", 30, (1, 1, 1))):
+        poses[g] = RigidTransform(rotation_axis_angle(rng.normal(size=3), 0.7), rng.normal(size=3))
+        s = rng.normal(size=(n, 3)) * spread + (1e6 if g == "far" else 0)
+        rows += [(g, *map(float, p), *map(float, q)) for p, q in zip(s, poses[g].apply(s), strict=True)]
+    rows += [("a", None, 0.0, 0.0, 0.0, 0.0, 0.0), ("a", float("nan"), 0.0, 0.0, 0.0, 0.0, 0.0)]
+    pairs = spark.createDataFrame(rows, "g string, sx double, sy double, sz double, tx double, ty double, tz double")
+    found = {r["g"]: r for r in registration.estimate_rigid_transforms(pairs, "g").collect()}
+    assert set(found) == set(poses) and found["a"]["n"] == 40
+    for g, r in found.items():
+        rotation = np.array([[r[f"r{i}{j}"] for j in range(3)] for i in range(3)])
+        shift = np.array([r[f"t{i}"] for i in range(3)])
+        if g == "two":
+            assert np.allclose(rotation, np.eye(3)) and np.allclose(shift, 0)
+            continue
+        assert np.allclose(rotation @ rotation.T, np.eye(3)) and np.isclose(np.linalg.det(rotation), 1)
+        own = np.array([x[1:] for x in rows if x[0] == g and x[1] is not None and x[1] == x[1]])
+        assert np.allclose(own[:, :3] @ rotation.T + shift, own[:, 3:], atol=1e-3 if g == "far" else 1e-9)
+    moved = registration.transform_groups(pairs.selectExpr("g", "sx as x", "sy as y", "sz as z"), registration.estimate_rigid_transforms(pairs, "g"), "g")
+    assert moved.count() == len(rows)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.functions.geometry import RigidTransform
+from voxelweave.operators.positions import with_positions
 
 FIXED = 1_000_000  # steps a unit of the fixed-point sums
 
@@ -49,11 +50,28 @@ def transform(points: DataFrame, pose: RigidTransform) -> DataFrame:
     return points.select(*(moved.get(c, F.col(c)) if c in moved else F.col(c) for c in points.columns))
 
 
+def numbered(points: DataFrame, by: str | None = None) -> DataFrame:
+    """The cloud with point_id from 0 in the order of its ids, without gaps; with `by` within each cloud."""
+    return with_positions(points.withColumnRenamed("point_id", "__id"), ["__id"], by, "point_id").select(points.columns)
+
+
+def point_at(points: DataFrame, position: int) -> DataFrame:
+    """The point at a position (from 0) in the order of ids; no row beyond the end."""
+    return with_positions(points, ["point_id"], None, "__position").where(F.col("__position") == position).drop("__position")
+
+
+def with_point(points: DataFrame, position: int, x: float, y: float, z: float) -> DataFrame:
+    """The cloud with other coordinates at a position."""
+    new = dict(zip("xyz", (x, y, z), strict=True))
+    here = F.col("__position") == position
+    placed = with_positions(points, ["point_id"], None, "__position")
+    return placed.select(*(F.when(here, F.lit(new[c])).otherwise(F.col(c)).cast(points.schema[c].dataType).alias(c) if c in new else F.col(c) for c in points.columns))
+
+
 def union(clouds: Sequence[DataFrame]) -> DataFrame:
-    """Clouds one after another with ids counted on: each cloud's point_id is offset by the sizes before it."""
-    out, offset = None, F.lit(0).cast("long")
-    for cloud in clouds:
-        moved = cloud.withColumn("point_id", F.col("point_id") + offset)
-        out = moved if out is None else out.unionByName(moved)
-        offset = offset + F.lit(cloud.count())
-    return out
+    """Clouds one after another, with point_id from 0 in the order of clouds and their ids, without gaps; null ids come first in theirs."""
+    out = None
+    for k, cloud in enumerate(clouds):
+        own = cloud.withColumn("__cloud", F.lit(k))
+        out = own if out is None else out.unionByName(own)
+    return with_positions(out.withColumnRenamed("point_id", "__id"), ["__cloud", "__id"], None, "point_id").select(clouds[0].columns)

@@ -120,13 +120,49 @@ def _labels(spark, d: str) -> DataFrame:
     return components.connected_components(_mask(spark, d), 8, LEAST_AREA)
 
 
+GROUPS = 7
+
+
+def _kabsch_groups(spark, d: str) -> DataFrame:
+    """Seven clouds, each moved by a pose of its own, and moved again by the poses that are found, all in one job."""
+    p = points(spark, d).withColumn("cloud", F.col("user_id") % GROUPS).drop("user_id")
+    t = cloud.transform(p, POSE).withColumn("x", F.col("x") + F.col("cloud") * F.lit(0.5))
+    pairs = p.select("point_id", "cloud", *(F.col(k).alias(f"s{k}") for k in "xyz")).join(t.select("point_id", *(F.col(k).alias(f"t{k}") for k in "xyz")), "point_id")
+    return _r4(registration.transform_groups(p, registration.estimate_rigid_transforms(pairs, "cloud"), "cloud"))
+
+
+def _clouds_roundtrip(spark, d: str) -> DataFrame:
+    """A file for each of several clouds, written by as many tasks and read back from their folder."""
+    folder = _folder(spark)
+    cloud_files.write_clouds(points(spark, d).withColumn("cloud_id", (F.col("user_id") % GROUPS).cast("string")), folder)
+    return cloud_files.read_ply(spark, folder).select("cloud_id", "point_id", *(F.col(k).cast("double").alias(k) for k in "xyz"))
+
+
+def _numbered(spark, d: str) -> DataFrame:
+    """Points of every third user, numbered without gaps, and one of them replaced."""
+    some = points(spark, d).where("user_id % 3 = 0").drop("user_id")
+    return cloud.with_point(cloud.numbered(some), 5, 1.0, 2.0, 3.0)
+
+
+def _scene_size(spark, d: str) -> synthetic.SceneOptions:
+    """A scene of as many points as there are events: 3, 2 and 2 parts of 7."""
+    n = spark.read.parquet(f"{d}/events.parquet").count() // 7
+    return synthetic.SceneOptions(3 * n, 2 * n, 2 * n)
+
+
+def _image_size(spark, d: str) -> tuple[int, int]:
+    """Sides of an image of about as many pixels as there are events."""
+    k = int((spark.read.parquet(f"{d}/events.parquet").count() // 200) ** 0.5)
+    return 20 * k, 10 * k
+
+
 def _scene_union(spark, d: str) -> DataFrame:
     return cloud.union(moved(spark, d))
 
 
 def _scene_facts(spark, d: str) -> DataFrame:
     """Of the default scene as many points as asked for, each on its shape's surface and within its bounds."""
-    o = synthetic.SceneOptions(3000, 2000, 1500)
+    o = _scene_size(spark, d)
     p = synthetic.make_scene(spark, o).select("point_id", *(F.col(k).cast("double").alias(k) for k in "xyz"))
     shape = F.when(F.col("point_id") < o.plane_points, "plane").when(F.col("point_id") < o.plane_points + o.sphere_points, "sphere").otherwise("box")
     off = [F.col(k) - c for k, c in zip("xyz", (1.6, -1.0, 0.8), strict=True)]
@@ -161,7 +197,7 @@ def _noise_facts(spark, d: str) -> DataFrame:
 
 def _image_facts(spark, d: str) -> DataFrame:
     """The test image without noise: pixels of each object by its grey."""
-    image = synthetic.make_test_image(spark, 200, 100, 0.0)
+    image = synthetic.make_test_image(spark, *_image_size(spark, d), 0.0)
     return image.where("v > 60").groupBy(F.col("v").alias("grey")).agg(F.count("*").alias("pixels"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
 
 
@@ -235,7 +271,7 @@ QUERIES = {
     "cloud_storage": lambda s, d: cloud.storage_bytes(points(s, d)),
     "cloud_transform": lambda s, d: cloud.transform(points(s, d).drop("user_id"), POSE),
     "cloud_inverse_roundtrip": lambda s, d: _r6(cloud.transform(cloud.transform(points(s, d), POSE), POSE.inverse()), "point_id"),
-    "rotation_angle": lambda s, d: s.range(1).select(F.round(rotation_angle_col(F.lit(float(POSE.rotation.trace()))), 9).alias("angle")),
+    "rotation_angle": lambda s, d: points(s, d).select("point_id", F.round(rotation_angle_col(F.cos(F.col("user_id") % 300 / 100.0) * 2 + 1), 6).alias("angle")),
     "voxel_downsample": lambda s, d: voxel.voxel_downsample(points(s, d), LEAF),
     "voxel_shape": lambda s, d: voxel.voxel_grid_shape(points(s, d), LEAF),
     "voxel_stats": lambda s, d: voxel.voxel_stats(points(s, d), LEAF),
@@ -257,6 +293,9 @@ QUERIES = {
     "correspondence_rmse": lambda s, d: registration.correspondence_rmse(_pairs(s, d)).select(F.round("rmse", 6).alias("rmse"), "correspondences"),
     "cross_covariance": lambda s, d: _rounded_sums(registration.pair_sums(_pairs(s, d))),
     "kabsch": _kabsch,
+    "kabsch_groups": _kabsch_groups,
+    "numbered_points": _numbered,
+    "clouds_roundtrip": _clouds_roundtrip,
     "icp": icp_query,
     "icp_report": _icp_report,
     "image_to_float": lambda s, d: _image(raster.to_float(colour(s, d), 2)),
@@ -280,13 +319,13 @@ QUERIES = {
     "scene_union": _scene_union,
     "random_subset": lambda s, d: synthetic.random_subset(points(s, d), 0.75).drop("user_id"),
     "gaussian_noise": lambda s, d: synthetic.add_gaussian_noise(points(s, d).drop("user_id"), 0.01),
-    "synthetic_scene": lambda s, d: synthetic.make_scene(s, synthetic.SceneOptions(3000, 2000, 1500)),
+    "synthetic_scene": lambda s, d: synthetic.make_scene(s, _scene_size(s, d)),
     "scene_facts": _scene_facts,
     "subset_facts": _subset_facts,
     "noise_facts": _noise_facts,
     "image_facts": _image_facts,
     "uniform_facts": _uniform_facts,
-    "synthetic_image": lambda s, d: synthetic.make_test_image(s, 160, 120, 2.0, 9),
+    "synthetic_image": lambda s, d: synthetic.make_test_image(s, *_image_size(s, d), 2.0, 9),
     "pad_text": _pad,
     "timing_stats": _timing,
     "ply_roundtrip": _cloud_roundtrip(".ply"),
@@ -392,11 +431,17 @@ _FILED = f"{_P} SELECT CAST(row_number() OVER (ORDER BY point_id) - 1 AS BIGINT)
 _COLOUR = f"""{_R}, colour AS (SELECT s.x, s.y, unnest([0, 1, 2]) AS c, unnest([s.v * 3 % 256, r.v, (s.v + r.v) % 256]) AS v FROM smooth s JOIN rough r ON s.x = r.x AND s.y = r.y)"""
 _PAIR_SUMS = ", ".join([f"round(coalesce(sum({e}), 0), 3) + 0.0 AS {n}" for n, e in [("d2", "squared_distance"), *((f"s{a}", f"s{a}") for a in "xyz"), *((f"t{a}", f"t{a}") for a in "xyz"), *((f"s{a}t{b}", f"s{a} * t{b}") for a in "xyz" for b in "xyz")]])
 
+
+def _side(part: float, side: str) -> str:
+    """A share of an image's side in whole pixels."""
+    return f"floor({_double(part)} * {side})"
+
+
 _INSIDE = " UNION ALL ".join(
-    [f"SELECT CAST({g} AS INTEGER) AS grey, x, y FROM xy WHERE x >= {int(a * 200)} AND x < {int(c * 200)} AND y >= {int(b * 100)} AND y < {int(e * 100)}" for a, b, c, e, g in synthetic.RECTANGLES]
-    + [f"SELECT CAST({g} AS INTEGER) AS grey, x, y FROM xy WHERE (x - {_double(cx * 200)}) * (x - {_double(cx * 200)}) + (y - {_double(cy * 100)}) * (y - {_double(cy * 100)}) <= {_double((r * 100) ** 2)}" for cx, cy, r, g in synthetic.DISCS]
+    [f"SELECT CAST({g} AS INTEGER) AS grey, x, y FROM xy WHERE x >= {_side(a, 'w')} AND x < {_side(c, 'w')} AND y >= {_side(b, 'h')} AND y < {_side(e, 'h')}" for a, b, c, e, g in synthetic.RECTANGLES]
+    + [f"SELECT CAST({g} AS INTEGER) AS grey, x, y FROM xy WHERE (x - {_double(cx)} * w) * (x - {_double(cx)} * w) + (y - {_double(cy)} * h) * (y - {_double(cy)} * h) <= ({_double(r)} * least(w, h)) * ({_double(r)} * least(w, h))" for cx, cy, r, g in synthetic.DISCS]
 )
-_IMAGE_FACTS = f"WITH xy AS (SELECT CAST(a.i AS INTEGER) AS x, CAST(b.i AS INTEGER) AS y FROM range(200) a(i), range(100) b(i)), o AS ({_INSIDE}) SELECT grey, count(*) AS pixels, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM o GROUP BY 1"
+_IMAGE_FACTS = f"WITH k AS (SELECT CAST(floor(sqrt(count(*) // 200)) AS BIGINT) AS k FROM events), xy AS (SELECT CAST(a.i AS INTEGER) AS x, CAST(b.i AS INTEGER) AS y, 20 * k AS w, 10 * k AS h FROM k, range(20 * k) a(i), range(10 * k) b(i)), o AS ({_INSIDE}) SELECT grey, count(*) AS pixels, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM o GROUP BY 1"
 
 ORACLES = {
     "cloud_bounds": f"{_P} SELECT min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z FROM p",
@@ -405,7 +450,7 @@ ORACLES = {
     "cloud_storage": "SELECT count(*) * 12 AS storage_bytes FROM events",
     "cloud_transform": f"{_P} {_moved(POSE, 'p')}",
     "cloud_inverse_roundtrip": f"{_P}, moved AS ({_moved(POSE, 'p')}), back AS ({_INVERSE}) SELECT point_id, {_ROUND} FROM back",
-    "rotation_angle": f"SELECT round(acos(greatest(-1.0, least(1.0, ({_double(POSE.rotation.trace())} - 1) / 2))), 9) AS angle",
+    "rotation_angle": "SELECT event_id AS point_id, round(user_id % 300 / 100.0, 6) AS angle FROM events",
     "voxel_downsample": f"{_cells(LEAF)} {_DOWN}",
     "voxel_shape": f"{_BOUNDS} SELECT {', '.join(f'CAST(floor((max_{k} - min_{k}) / {_double(LEAF)}) AS BIGINT) + 1 AS n{k}' for k in 'xyz')} FROM b",
     "voxel_stats": f"{_cells(LEAF)}, o AS (SELECT count(*) AS n FROM v), u AS (SELECT count(DISTINCT voxel_key) AS m FROM v) SELECT n AS input_points, m AS output_points, {_double(LEAF)} AS leaf_size, CAST(m AS DOUBLE) / n AS reduction_ratio FROM o, u",
@@ -424,6 +469,9 @@ ORACLES = {
     "correspondence_rmse": f"{_MATCHED} SELECT round(sqrt(sum(squared_distance) / count(*)), 6) AS rmse, count(*) AS correspondences FROM c",
     "cross_covariance": f"{_MATCHED} SELECT count(*) AS n, {_PAIR_SUMS} FROM c",
     "kabsch": f"{_P}, m AS ({_moved(POSE, 'p')}) SELECT point_id, {_ROUND4} FROM m",
+    "kabsch_groups": f"{_P}, m AS ({_moved(POSE, 'p')}), g AS (SELECT m.point_id, m.x + p.user_id % {GROUPS} * 0.5 AS x, m.y, m.z FROM m JOIN p USING (point_id)) SELECT point_id, {_ROUND4} FROM g",
+    "numbered_points": f"{_P}, n AS (SELECT row_number() OVER (ORDER BY point_id) - 1 AS point_id, x, y, z FROM p WHERE user_id % 3 = 0) SELECT point_id, CASE WHEN point_id = 5 THEN 1.0 ELSE x END AS x, CASE WHEN point_id = 5 THEN 2.0 ELSE y END AS y, CASE WHEN point_id = 5 THEN 3.0 ELSE z END AS z FROM n",
+    "clouds_roundtrip": f"{_P} SELECT user_id % {GROUPS} || '.ply' AS cloud_id, row_number() OVER (PARTITION BY user_id % {GROUPS} ORDER BY point_id) - 1 AS point_id, {', '.join(f'CAST(CAST({k} AS FLOAT) AS DOUBLE) AS {k}' for k in 'xyz')} FROM p",
     "icp": f"{_P} SELECT point_id, {_ROUND4} FROM p",
     "icp_report": f"SELECT {_WAY_BACK}, true AS converged, count(*) AS correspondences, true AS exact FROM events",
     "image_to_float": f"{_COLOUR} SELECT x, y, CAST(v AS DOUBLE) AS v FROM colour WHERE c = 2",
@@ -444,8 +492,8 @@ ORACLES = {
     "component_stats": f"{_LAB} SELECT label, count(*) AS area, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y, CAST(sum(x) AS DOUBLE) / count(*) AS centroid_x, CAST(sum(y) AS DOUBLE) / count(*) AS centroid_y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM lab WHERE label > 0 GROUP BY label",
     "label_at": f"{_LAB} SELECT label FROM lab WHERE x = 3 AND y = 4",
     "colorize_labels": f"{_LAB}, h AS (SELECT x, y, label, {_HASH} AS h FROM lab) SELECT x, y, {', '.join(f'CAST(CASE WHEN label = 0 THEN 0 ELSE 60 + ((h >> {8 * k}) & 255) * 195 // 255 END AS INTEGER) AS {n}' for k, n in enumerate('rgb'))} FROM h",
-    "scene_union": f"{_P}, o AS (SELECT count(*) AS n FROM p), m AS ({_moved(SHIFT, 'p')}) SELECT point_id, x, y, z FROM p UNION ALL SELECT point_id + n, x, y, z FROM m, o",
-    "scene_facts": "SELECT * FROM (VALUES ('plane', CAST(3000 AS BIGINT), CAST(3000 AS BIGINT), CAST(1 AS BIGINT), true), ('sphere', 2000, 2000, 1, true), ('box', 1500, 1500, 3, true)) v(shape, n, on_surface, thirds, centred)",
+    "scene_union": f"{_P}, o AS (SELECT count(*) AS n FROM p), m AS ({_moved(SHIFT, 'p')}), i AS (SELECT point_id, row_number() OVER (ORDER BY point_id) - 1 AS i FROM p) SELECT i AS point_id, x, y, z FROM p JOIN i USING (point_id) UNION ALL SELECT i + n, x, y, z FROM m JOIN i USING (point_id), o",
+    "scene_facts": "WITH k AS (SELECT count(*) // 7 AS k FROM events) SELECT shape, k * part AS n, k * part AS on_surface, thirds, true AS centred FROM k, (VALUES ('plane', CAST(3 AS BIGINT), CAST(1 AS BIGINT)), ('sphere', 2, 1), ('box', 2, 3)) v(shape, part, thirds)",
     "subset_facts": "SELECT count(*) AS n, true AS distinct, true AS near_share FROM events",
     "noise_facts": "SELECT count(*) AS n, true AS x_as_asked, true AS y_as_asked, true AS z_as_asked FROM events",
     "image_facts": _IMAGE_FACTS,

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelweave.operators.cloud import union
 from voxelweave.operators.raster import to_image8
 
 SEED = 7_350_911
@@ -70,9 +69,11 @@ class SceneOptions:
 
 
 def make_scene(spark: SparkSession, options: SceneOptions = SceneOptions()) -> DataFrame:  # noqa: B008
-    """Plane, sphere and box, in this order."""
+    """Plane, sphere and box, in this order: ids of each begin where those before it end."""
     o = options
-    return union([make_plane(spark, o.plane_points, seed=o.seed), make_sphere(spark, o.sphere_points, seed=o.seed + 1), make_box(spark, o.box_points, seed=o.seed + 2)])
+    sphere, box = make_sphere(spark, o.sphere_points, seed=o.seed + 1), make_box(spark, o.box_points, seed=o.seed + 2)
+    after = lambda cloud, n: cloud.withColumn("point_id", F.col("point_id") + n)
+    return make_plane(spark, o.plane_points, seed=o.seed).unionByName(after(sphere, o.plane_points)).unionByName(after(box, o.plane_points + o.sphere_points))
 
 
 def add_gaussian_noise(points: DataFrame, sigma: float, seed: int = SEED) -> DataFrame:
