@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from voxelweave.llm import ann, chat
@@ -148,3 +149,26 @@ def test_two_trees_of_one_conversation_stay_apart(spark, tmp_path):
     got = {(r["conv_id"], r["leaf"]): r["turns_sha256"] for r in chat.conversation_digest(spark, str(tmp_path / "o")).collect()}
     sha = lambda *turns: hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
     assert got == {(5, 2): sha(("user", "a"), ("assistant", "b")), (5, 12): sha(("user", "c"), ("assistant", "d")), (5, 13): sha(("user", "c"), ("", ""))}
+
+
+def test_extreme_components(spark):
+    """Squares that overflow or vanish in double precision: cosines are right, and nobody is lost."""
+    from voxelweave.llm import ann
+
+    vectors = {0: (1e200, 1e200), 1: (1e-200, 2e-200), 2: (1.0, 1.0), 3: (2.0, 1.0), 4: (5e-324, 0.0)}
+    x = np.array(list(vectors.values()))
+    angle = np.arctan2(x[:, 1], x[:, 0])
+    assert np.allclose(ann.cosine(x[:, None], x[None]), np.cos(angle[:, None] - angle[None]), atol=1e-12)
+    assert np.allclose(np.linalg.norm(ann._units(x), axis=1), 1)
+    plain = np.random.default_rng(1).normal(size=(50, 16))
+    other = np.random.default_rng(2).normal(size=(50, 16))
+    old = (plain * other).sum(-1) / (np.sqrt((plain * plain).sum(-1)) * np.sqrt((other * other).sum(-1)))
+    assert (ann.cosine(plain, other) == old).all()
+
+
+@pytest.mark.parametrize("circle", [[(5, 5)], [(5, 6), (6, 5)], [(5, 6), (6, 7), (7, 5), (8, 5)]])
+def test_replies_in_a_circle_are_an_error(spark, circle):
+    rows = [(1, None, 1.0), (2, 1, 1.0), (3, 2, 1.0)] + [(a, b, 1.0) for a, b in circle]
+    with pytest.raises(ValueError, match="circle"):
+        chat.best_paths(spark.createDataFrame(rows, "node long, parent long, score double"))
+    assert chat.best_paths(spark.createDataFrame([(k, k - 1, 1.0) for k in range(1, 18)], "node long, parent long, score double")).count() == 17

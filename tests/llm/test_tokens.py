@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -111,6 +111,20 @@ def test_plan_is_whole_and_near_the_bound():
         packing.plan({3000: 1})
 
 
+def test_plans_are_as_good_as_best_fit_and_made_by_configurations():
+    """Lengths as texts have them: no more sequences than best fit alone, and those with several large documents come from configurations."""
+    rng = np.random.default_rng(6)
+    for n in (3000, 20_000):
+        h = dict(Counter(np.clip(rng.lognormal(6, 1, n).astype(int), 1, 2048).tolist()))
+        alone = packing.plan(h, cases=(1.0,))  # nothing is large
+        assert _check_plan(h) <= sum(t for _, t in alone) + 1
+        bins, big = defaultdict(Counter), sorted(((k, c) for k, c in h.items() if 2048 / 3 < k < 2048), reverse=True)
+        left = packing._substitute(bins, big, 64, 2048)
+        made = sum(t for by in bins.values() for p, t in by.items() if len(p) > 1)
+        several = sum(t for p, t in packing._grouped_plan(h, 2048, 64, 1 / 3) if sum(k > 2048 / 3 for k in p) > 1)
+        assert made >= 0.9 * several > 0 and sum(c for _, c in left) <= 64
+
+
 def test_small_plans_against_best_possible():
     """Exhaustive search over small cases: at most one sequence more than the optimum."""
 

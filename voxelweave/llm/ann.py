@@ -54,7 +54,7 @@ class Tree:
     def fit(vectors: np.ndarray, branch: int = 8, leaf: int = 64, depth: int = 4, rounds: int = 12, seed: int = 7) -> Tree:
         """Nodes split while they hold more than `leaf` sample vectors and are less than `depth` deep."""
         rng = np.random.default_rng(seed)
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        unit = _units(vectors)
         centres, first, last = [unit.mean(0) if len(unit) else np.zeros(vectors.shape[1])], [0], [0]
         queue = [(0, np.arange(len(unit)), 0)]
         while queue:
@@ -119,8 +119,14 @@ def _clean(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return x[good], np.array(rows, np.int64)[good]
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors by a power of two, so that squares of their largest component neither overflow nor vanish; cosines keep every bit."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(-1, keepdims=True))[1])
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in the same order of operations for every pair, whatever else is compared with it."""
+    a, b = _scaled(a), _scaled(b)
     return (a * b).sum(-1) / (np.sqrt((a * a).sum(-1)) * np.sqrt((b * b).sum(-1)))
 
 
@@ -131,6 +137,7 @@ _FOUND = T.StructType([*_HIT.fields, T.StructField("leaf", T.LongType()), T.Stru
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
+    vectors = _scaled(vectors)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 

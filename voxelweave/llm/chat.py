@@ -84,7 +84,9 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
         going = state.where("up is not null")
         if going.isEmpty():
             break
-        if len(jumps) > 62:
+        if not jumps:
+            longest = base.count()
+        if 1 << len(jumps) >= longest:  # steps of twice the length each round: a path that isn't at its root by now has none
             raise ValueError("replies go in a circle")
         jumps.append(going.select("node", "up"))
         above = going

@@ -16,8 +16,9 @@ connected components of these links.
    earlier bucket are compared exactly, likeliest first, and components that link are merged at once, so that no
    pair within a component is compared and no pair is emitted but a link. This holds for buckets of any size.
 
-A pair of similarity 0.8 shares a bucket with a probability of over 0.9999, and one of 0.85 over 0.999999; no cap
-drops candidates. Tables written on the way are deleted as soon as later ones hold what they said.
+A pair of similarity 0.8 shares a bucket with a probability of over 0.9999, and one of 0.85 over 0.999999. Candidates
+whose signatures agree on too few coordinates (LIKELY) aren't compared: a pair of similarity 0.8 is lost so once in
+about 115 000. There is no other cap. Tables written on the way are deleted as soon as later ones hold what they said.
 
 Defined results: null and empty texts are one class of copies; shorter texts than five words have one element; a
 text of any length is taken whole; rows with equal ids or texts are rows of their own in the result; an empty table
@@ -45,7 +46,7 @@ from voxelweave.session import Scratch
 
 K, BANDS, ROWS = 128, 25, 5
 WORDS, SIMILAR = 5, 0.8
-LIKELY = 0.64  # a pair of similarity 0.8 agrees on fewer coordinates once in about a million pairs
+LIKELY = 0.64  # a pair of similarity 0.8 agrees on fewer of 128 coordinates once in about 115 000 pairs
 BLOCK = 1000  # members of one side of a block, about
 
 _SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType(), False))])

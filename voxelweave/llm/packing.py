@@ -8,14 +8,14 @@ histogram:
 1. large lengths are split into groups of equal cardinality, each rounded up to its group's longest member;
 2. few-size configurations (multisets of rounded lengths that fit) are optimised by column generation: a linear
    programme over the configurations, whose duals price new ones by a knapsack, rounded down to whole numbers;
-3. real documents take the rounded places, which leaves each place at least as much room as planned;
-4. small documents go to the fullest sequence that still holds them (best fit), longest first; what the
-   configurations left over of the large ones is placed in the same way, before the small ones.
+3. actual documents are substituted: a place takes the longest document left that still leaves the configuration's other
+   places their rounded lengths, so what rounding gave away in one place is used by the next;
+4. small documents go to the fullest sequence that still holds them (best fit), longest first; the few large ones
+   that whole-number configurations left over are placed in the same way, before the small ones.
 
-Rounding leaves gaps in sequences that are too narrow for most small documents. So configurations may be held to
-less than the capacity (lengths above that get a sequence each), which makes of many narrow gaps some that small
-documents fill. What counts as large and how much is held back is a short list of cases (`CASES`): a plan is made
-for each and the one with fewest sequences is taken. In every case configurations hold several large documents.
+What counts as large is a short list of cases (`CASES`): a plan is made for each and the one with fewest sequences is
+taken. All large documents but those few are placed by configurations, and with them nearly all sequences that hold
+several of them.
 
 The plan is a short list of (pattern, times). Its places for each length are numbered, and a document takes the
 place with its own number among the documents of that length. These numbers come from counts per partition and
@@ -28,6 +28,7 @@ texts are packed as rows of their own; extra columns are not read.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import partial
@@ -44,8 +45,8 @@ from voxelweave.llm.tokens import encoder, read_tokenizer
 from voxelweave.session import materialize
 
 CAPACITY = 2048
-#: Shares of the capacity: above which a length is large, and how much configurations leave free.
-CASES = ((0.25, 0.0), (1 / 3, 0.0), (1 / 3, 0.125), (0.4, 0.0), (0.4, 0.125), (0.4, 0.1875))
+#: Shares of the capacity above which a length is large.
+CASES = (0.25, 1 / 3, 0.4)
 _PIECE = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("nth", T.LongType())]
 )
@@ -130,58 +131,62 @@ def _configurations(sizes: list[int], demand: list[int], capacity: int, rounds:
     return result
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 32, cases: tuple[tuple[float, float], ...] = CASES) -> list[tuple[Pattern, int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 64, cases: tuple[float, ...] = CASES) -> list[tuple[Pattern, int]]:
     """(pattern, times) pairs that hold exactly the lengths of the histogram; a pattern's lengths sum to capacity at most.
 
     Of the plans for the cases the one with fewest sequences.
     """
-    return min((_plan(histogram, capacity, groups, *case) for case in cases), key=lambda p: sum(times for _, times in p))
-
-
-def _plan(histogram: dict[int, int], capacity: int, groups: int, large: float, free: float) -> list[tuple[Pattern, int]]:
     if any(length < 1 or length > capacity for length in histogram):
         raise ValueError("lengths must be between 1 and the capacity")
-    usable = capacity - int(capacity * free)  # by configurations
+    plans = [_grouped_plan(histogram, capacity, groups, large) for large in cases]
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
+def _grouped_plan(histogram: dict[int, int], capacity: int, groups: int, large: float) -> list[tuple[Pattern, int]]:
     done = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
     rest = sorted(((k, c) for k, c in histogram.items() if k < capacity and c), reverse=True)
-    big, small = [x for x in rest if capacity * large < x[0] <= usable], [x for x in rest if x[0] <= capacity * large]
+    big, small = [x for x in rest if x[0] > capacity * large], [x for x in rest if x[0] <= capacity * large]
     bins: dict[int, dict[Pattern, int]] = defaultdict(Counter)  # room -> pattern -> times
-    for length, c in rest:
-        if length > usable:
-            bins[capacity - length][(length,)] += c
-    if big:
-        grouped = _groups(big, groups)
-        by_size: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for size, members in grouped:
-            by_size[size] += members
-        sizes = sorted(by_size, reverse=True)
-        stock = {z: [list(x) for x in by_size[z]] for z in sizes}
-        for counts, times in _configurations(sizes, [sum(c for _, c in by_size[z]) for z in sizes], usable):
-            slots = [z for z, n in zip(sizes, counts, strict=True) for _ in range(n)]
-            while times:  # real lengths for the rounded places, as many patterns at once as the stock has of the same lengths
-                take: list[int] = []
-                drawn: Counter[tuple[int, int]] = Counter()
-                for z in slots:
-                    k = next(k for k, (_, c) in enumerate(stock[z]) if c > drawn[z, k])
-                    drawn[z, k] += 1
-                    take.append(stock[z][k][0])
-                run = min(times, *(stock[z][k][1] // n for (z, k), n in drawn.items()))
-                for (z, k), n in drawn.items():
-                    stock[z][k][1] -= n * run
-                for z in sizes:
-                    stock[z] = [x for x in stock[z] if x[1]]
-                bins[capacity - sum(take)][tuple(take)] += run
-                times -= run
-        left: Counter[int] = Counter()
-        for z in sizes:
-            for length, c in stock[z]:
-                left[length] += c
-        small = sorted(left.items(), reverse=True) + small
-    for length, count in small:
+    left = _substitute(bins, big, groups, capacity) if big else []
+    for length, count in left + small:
         _best_fit(bins, length, count, capacity)
     return done + [(p, t) for by in bins.values() for p, t in by.items()]
 
 
+def _substitute(bins: dict[int, dict[Pattern, int]], big: list[tuple[int, int]], groups: int, capacity: int) -> list[tuple[int, int]]:
+    """Fills bins with large lengths by configurations of rounded ones; returns what these leave over, longest first."""
+    rounded: Counter[int] = Counter()
+    for size, members in _groups(big, groups):
+        rounded[size] += sum(c for _, c in members)
+    sizes = sorted(rounded, reverse=True)
+    stock = dict(big)
+    lengths = sorted(stock)
+    for counts, times in _configurations(sizes, [rounded[z] for z in sizes], capacity):
+        slots = [z for z, n in zip(sizes, counts, strict=True) for _ in range(n)]
+        while times:  # as many sequences of the same actual lengths at once as the stock has
+            take: list[int] = []
+            drawn: Counter[int] = Counter()
+            spare = capacity - sum(slots)
+            for z in slots:
+                k = bisect_right(lengths, z + spare) - 1
+                while k >= 0 and stock[lengths[k]] <= drawn[lengths[k]]:
+                    k -= 1
+                if k >= 0:
+                    drawn[lengths[k]] += 1
+                    take.append(lengths[k])
+                spare += z - (lengths[k] if k >= 0 else 0)
+            if not take:
+                break
+            run = min(times, *(stock[length] // n for length, n in drawn.items()))
+            for length, n in drawn.items():
+                stock[length] -= n * run
+                if not stock[length]:
+                    lengths.remove(length)
+            bins[capacity - sum(take)][tuple(take)] += run
+            times -= run
+    return [(length, stock[length]) for length in reversed(lengths)]
+
+
 def _best_fit(bins: dict[int, dict[Pattern, int]], length: int, count: int, capacity: int) -> None:
     rooms = [r for r in bins if r >= length and bins[r]]
     heapq.heapify(rooms)
@@ -258,7 +263,7 @@ def _seat(source: Iterator[pa.RecordBatch], places) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=_PACKED.names)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, words: bool = False, groups: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, words: bool = False, groups: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     context = docs.sparkSession.sparkContext
     tokenizer = context.broadcast(read_tokenizer(tokenizer_path))

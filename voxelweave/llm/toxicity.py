@@ -2,7 +2,8 @@
 
 Confirmed toxic documents are the positives, documents without regard to any label the unlabelled ones. A
 document is the set of its lower-case words and of the words' character 4- and 5-grams, ends marked. Features
-that positives hold clearly more often than the class-prior-corrected rest are kept; a logistic model over them
+that positives hold clearly more often than the class-prior-corrected rest are kept, of those that three positives or
+more hold the `keep` (3000) that tell most; a logistic model over them
 minimises the non-negative risk
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
