@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -75,15 +76,15 @@ def test_blocks_do_not_change_the_scores(docs_of, monkeypatch):
     assert len(one) == len(many) == 43 and all(abs(one[k] - many[k]) < 1e-4 for k in one)
 
 
-def _slow_model(texts):
+def _grams(text):
+    """The 5-gram that ends at each character."""
+    s = [int(x) for x in quality_rules.symbols_of("\n" * 4 + text)]
+    return [tuple(s[k - 4 : k + 1]) for k in range(4, len(s))]
+
+
+def _slow_model(fives):
     """Interpolated modified Kneser-Ney of orders 5 to 3, from the definition: raw counts at order 5, continuation counts below."""
-    symbols = lambda t: [int(x) for x in quality_rules.symbols_of("\n" * 4 + t)]
-    counts = {5: {}}
-    for t in texts:
-        s = symbols(t)
-        for k in range(4, len(s)):
-            g = tuple(s[k - 4 : k + 1])
-            counts[5][g] = counts[5].get(g, 0) + 1
+    counts = {5: dict(Counter(fives))}
     for order in (4, 3):
         counts[order] = {}
         for g in counts[order + 1]:
@@ -117,27 +118,82 @@ def test_open_model_against_a_slow_one():
     grams, _ = quality_rules.open_grams(texts)
     keys, counts = np.unique(grams, return_counts=True)
     assert {1, 2, 3} <= set(counts.tolist())  # so that each of the three discounts is used
-    model, slow = quality_rules.OpenModel(keys, counts), _slow_model(texts)
+    model, slow = quality_rules.OpenModel(keys, counts), _slow_model([g for t in texts for g in _grams(t)])
     wanted = np.unique(np.concatenate([keys[::7], quality_rules.open_grams([prose(LATIN[:12], 6, 99) + "zq日ж"])[0]]))
     unpack = lambda g: tuple((int(g) >> (12 * k)) & 4095 for k in range(4, -1, -1))
     assert np.allclose(model.prob(wanted), [slow(unpack(g)) for g in wanted], rtol=1e-9)
 
 
+def _slow_bands(good, width):
+    """(low, high) of each (language, size) of documents (language, size, score) that pass the base rules."""
+    middle = lambda v: float(np.percentile(v, 50))
+    shrink = lambda own, n, wider: (own * n + wider * quality_rules.SHRINK) / (n + quality_rules.SHRINK)
+    m1 = {g: middle([v for lang, _, v in good if lang == g]) for g in {lang for lang, _, _ in good}}
+    m0, d0 = middle([v for _, _, v in good]), middle([abs(v - m1[lang]) for lang, _, v in good])
+    out = {}
+    for lang, size in {x[:2] for x in good}:
+        one, two = [x[2] for x in good if x[0] == lang], [x[2] for x in good if x[:2] == (lang, size)]
+        d1, m2 = middle([abs(v - m1[lang]) for v in one]), middle(two)
+        d2 = middle([abs(v - m2) for v in two])
+        centre, spread = shrink(m2, len(two), shrink(m1[lang], len(one), m0)), shrink(d2, len(two), shrink(d1, len(one), d0))
+        out[lang, size] = centre - width * 1.4826 * spread - 0.001, centre + width * 1.4826 * spread + 0.001
+    return out
+
+
 def test_bands_against_slow_ones(spark):
     rng = random.Random(3)
     rows = [(lang, size, rng.random() < 0.1, round(rng.gauss(3, 0.4) + (lang == "b"), 3)) for lang, n in (("a", 90), ("b", 25), (None, 4)) for size in (6, 7) for _ in range(n)]
     scored = spark.createDataFrame(rows, "lang string, size int, base_failed boolean, log_perplexity double")
-    good = [r for r in rows if not r[2]]
-    middle = lambda v: float(np.percentile(v, 50))
-    shrink = lambda own, n, wider: (own * n + wider * quality_rules.SHRINK) / (n + quality_rules.SHRINK)
-    m1 = {g: middle([r[3] for r in good if r[0] == g]) for g in ("a", "b", None)}
-    m0, d0 = middle([r[3] for r in good]), middle([abs(r[3] - m1[r[0]]) for r in good])
+    want = _slow_bands([(lang, size, v) for lang, size, failed, v in rows if not failed], 4.0)
     got = quality_rules.bands_of(scored, 4.0).collect()
-    assert len(got) == len({r[:2] for r in good})
+    assert len(got) == len(want)
     for r in got:
-        lang, size = r["band_lang"], r["band_size"]
-        one, two = [x[3] for x in good if x[0] == lang], [x[3] for x in good if x[:2] == (lang, size)]
-        d1, m2 = middle([abs(v - m1[lang]) for v in one]), middle(two)
-        d2 = middle([abs(v - m2) for v in two])
-        centre, spread = shrink(m2, len(two), shrink(m1[lang], len(one), m0)), shrink(d2, len(two), shrink(d1, len(one), d0))
-        assert abs(r["low"] - (centre - 4 * 1.4826 * spread - 0.001)) < 1e-9 and abs(r["high"] - (centre + 4 * 1.4826 * spread + 0.001)) < 1e-9
+        assert np.allclose((r["low"], r["high"]), want[r["band_lang"], r["band_size"]], atol=1e-9)
+
+
+def test_scores_and_verdicts_of_documents_against_slow_ones(docs_of, spark):
+    """log_perplexity and kept, through folds, shards, thousandths and words, from the definitions."""
+    rng = random.Random(5)
+    letters = "".join(sorted(set("".join(LATIN))))
+    junk = [" ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(30)) for _ in range(3)]
+    texts = [(prose(LATIN[:40], 30 + k % 9, k), "en", "s") for k in range(30)] + [(prose(GREEK[:30], 30, 50 + k), "el" if k < 8 else None, "s") for k in range(12)] + [(j, "en", "s") for j in junk]
+    texts += [(texts[3][0], "en", "s"), ("few words", "en", "s"), ("日本 " * 25, "ja", "s"), (" ".join(["word"] * 40), "en", "s")]
+    docs = docs_of(texts)
+    fold = {r[0]: r[1] for r in docs.selectExpr("doc_id", "pmod(xxhash64(text), 2)").collect()}
+    key = lambda g: sum(x << (12 * (4 - k)) for k, x in enumerate(g))
+    by: dict = defaultdict(list)  # of a fold and shard, by language
+    shard = {}
+    for k, (t, lang, _) in enumerate(texts):
+        for g in _grams(t):
+            if g not in shard:
+                shard[g] = int(quality_rules.shard_of(np.array([key(g)]), 16)[0])
+            by[fold[k], shard[g], lang].append(g)
+    langs = {lang for _, lang, _ in texts}
+    pooled, own, memo = {}, {}, {}
+    for f in (0, 1):
+        for s in range(16):
+            pooled[f, s] = _slow_model([g for lang in langs for g in by[f, s, lang]])
+            for lang in langs:
+                own[f, s, lang] = Counter(by[f, s, lang]), Counter(g[:4] for g in by[f, s, lang])
+    scores, good = {}, []
+    for k, (t, lang, _) in enumerate(texts):
+        cost = 0.0
+        for g in _grams(t):
+            at = 1 - fold[k], shard[g]
+            if (at, g) not in memo:
+                memo[at, g] = pooled[at](g)
+            counts, contexts = own[*at, lang]
+            p = (counts[g] + quality_rules.PRIOR * memo[at, g]) / (contexts[g[:4]] + quality_rules.PRIOR)
+            cost -= round(max(np.log(p), -32) * 1000) / 1000
+        scores[k] = cost / max(1, quality_rules.words_of(t))
+        if not quality_rules.base_counts(t)[5]:
+            good.append((lang, len(t).bit_length(), round(scores[k], 3)))
+    bands = _slow_bands(good, quality_rules.WIDTH)
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert len(got) == len(texts)
+    for k, (t, lang, _) in enumerate(texts):
+        assert abs(got[k]["log_perplexity"] - scores[k]) < 1e-3 * len(t) / 100 + 1e-6  # a thousandth that rounds the other way
+        low, high = bands.get((lang, len(t).bit_length()), (0, 0))
+        if abs(scores[k] - low) > 0.01 and abs(scores[k] - high) > 0.01:
+            assert got[k]["kept"] == (not got[k]["base_failed"] and low <= scores[k] <= high)
+    assert sum(got[k]["kept"] for k in range(42)) >= 40 and not any(got[k]["kept"] for k in (42, 43, 44))
