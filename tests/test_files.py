@@ -95,6 +95,14 @@ def test_many_clouds_and_a_failing_task_leave_whole_files_or_none(spark, tmp_pat
     assert not [p for p in (tmp_path / "broken").rglob("*.ply")]
 
 
+def test_relative_paths(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    points = synthetic.uniform_cloud(spark, 5)
+    cloud_files.write_cloud(points, str(tmp_path / "a.ply"))
+    image_files.write_pgm(image_files.pack(synthetic.make_test_image(spark, 4, 3)), "images")
+    assert [p.name for p in (tmp_path / "images").iterdir()] == ["scene.pgm"] and cloud_files.read_ply(spark, str(tmp_path / "a.ply")).count() == 5
+
+
 def test_unknown_extension(spark):
     with pytest.raises(cloud_files.CloudFileError):
         cloud_files.read_cloud(spark, "a.xyz")

@@ -253,7 +253,7 @@ def write_clouds(points: DataFrame, folder: str, extension: str = ".ply") -> Non
 
 def _write_one(points: DataFrame, path: str, header: str) -> None:
     name = F.lit(os.path.basename(path))
-    _write(points.withColumn("name", name), points.agg(F.count("*").alias("n")).select(name.alias("name"), "n"), os.path.dirname(path), header)
+    _write(points.withColumn("name", name), points.agg(F.count("*").alias("n")).select(name.alias("name"), "n"), os.path.dirname(path) or ".", header)
 
 
 def write_ply(points: DataFrame, path: str) -> None:

@@ -109,5 +109,6 @@ def write_named_files(files: DataFrame, folder: str) -> None:
     """A file for each row (name, content); of rows with equal names one stays."""
     spark = files.sparkSession
     ship(spark)
+    folder = folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder)
     spark.dataSource.register(NamedFiles)
     files.select(F.col("name").cast("string"), F.col("content").cast("binary")).write.format("named_files").mode("append").option("path", folder).save()
