@@ -82,11 +82,18 @@ def _grams(text):
     return [tuple(s[k - 4 : k + 1]) for k in range(4, len(s))]
 
 
-def _slow_model(fives):
-    """Interpolated modified Kneser-Ney of orders 5 to 3, from the definition: raw counts at order 5, continuation counts below."""
+def _slow_model(fives, everything=None):
+    """Interpolated modified Kneser-Ney of orders 5 to 1, from the definition: raw counts at order 5, continuation counts below.
+
+    Orders 2 and 1 are those of `everything`, where these n-grams are a part of it.
+    """
     counts = {5: dict(Counter(fives))}
-    for order in (4, 3):
+    for order in (4, 3, 2, 1):
         counts[order] = {}
+        if order == 2 and everything is not None:
+            triples = {g[-3:] for g in everything}
+            counts[2] = dict(Counter(g[1:] for g in triples))
+            continue
         for g in counts[order + 1]:
             counts[order][g[1:]] = counts[order].get(g[1:], 0) + 1
 
@@ -100,7 +107,7 @@ def _slow_model(fives):
     d = {o: discounts(c) for o, c in counts.items()}
 
     def prob(g, order):
-        if order < 3:
+        if order < 1:
             return 1 / 4096
         tail = g[-order:]
         follow = {h: c for h, c in counts[order].items() if h[:-1] == tail[:-1]}
@@ -172,7 +179,7 @@ def test_scores_and_verdicts_of_documents_against_slow_ones(docs_of, spark):
     pooled, own, memo = {}, {}, {}
     for f in (0, 1):
         for s in range(16):
-            pooled[f, s] = _slow_model([g for lang in langs for g in by[f, s, lang]])
+            pooled[f, s] = _slow_model([g for lang in langs for g in by[f, s, lang]], [g for k, (t, _, _) in enumerate(texts) if fold[k] == f for g in _grams(t)])
             for lang in langs:
                 own[f, s, lang] = Counter(by[f, s, lang]), Counter(g[:4] for g in by[f, s, lang])
     scores, good = {}, []

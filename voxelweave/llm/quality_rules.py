@@ -3,7 +3,7 @@
 Base rules count words, symbols, repeated lines and words in repeated 8-word windows. The language model is an
 interpolated modified Kneser-Ney model of order 5 over code points (case and accents count), so it is open to any
 word and script and grows with the corpus; nothing is dropped for being rare. Code points from 4096 up share 4096
-hashed values. Each language has its own counts, shrunk toward the model of all text by PRIOR pseudo-counts an
+hashed values. The lowest level is an equal share of all 4096. Each language has its own counts, shrunk toward the model of all text by PRIOR pseudo-counts an
 n-gram's context, whatever its share. Documents are split into two folds by the hash of their text and each fold
 is scored by the counts of the other, so no document (nor its exact copies) is likely by what it alone holds.
 
@@ -14,6 +14,10 @@ PART blocks: each part adds up its counts as sorted arrays, rounds of MERGED par
 and every part fits the shard's model (discounts are each shard's own) and answers its blocks. So what a task reads grows with the number of
 different n-grams of a shard, not with the corpus. Nothing of the model is broadcast or brought to the driver.
 
+Bigrams and unigrams belong to no one shard: how many symbols stand before a bigram is a sum over shards. So shards give
+their sums by context symbol (at most 4096), the two lowest levels of a fold are fitted on these (at most 4096 x 4096
+numbers, whatever the corpus), and each shard gets back the probabilities of just the bigrams that it holds.
+
 log_perplexity is a word's: minus the log probability of the whole text by its words with a letter or digit (one
 for each started LONG characters), so that marks between words count as cost and not as length. A language's band,
 for each power of two in text length, is its median plus and minus `width` robust spreads (median absolute
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +44,7 @@ from voxelweave.llm.common import quoted, table, texts_of, trim
 from voxelweave.session import materialize
 
 WINDOW, LEAST_WORDS, REPEATED_PERCENT = 8, 20, 30
-BITS, LONGEST, SHORTEST = 12, 5, 3  # bits a symbol of the model, its orders
+BITS, LONGEST, SHORTEST = 12, 5, 3  # bits a symbol of the model, its longest order and the shortest that a shard counts alone
 BLOCK, CHUNK, LONG, SHRINK = 8_000_000, 500_000, 20, 20
 STEPS = 1000  # of a log probability in a nat, as shards answer
 PART, MERGED = 512, 32  # blocks of a fold that a shard's task answers at once, parts that are added up at once
@@ -92,6 +97,9 @@ def base_counts(text: str) -> tuple[int, int, int, int, int, bool]:
 # --- the model ---------------------------------------------------------------------------------------------
 
 
+_SYMBOL, _PAIR, _TRIPLE = ((1 << BITS * k) - 1 for k in (1, 2, 3))  # the last symbols of an n-gram
+
+
 def _hash(order: int, code: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         z = code.astype(np.uint64) + np.uint64(order << 40)
@@ -154,11 +162,14 @@ def _contexts(grams: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class OpenModel:
-    """Interpolated modified Kneser-Ney of orders 5 to 3 over sorted packed n-grams, above equal shares of all symbols."""
+    """Interpolated modified Kneser-Ney of orders 5 to 1 over sorted packed n-grams, above equal shares of all symbols.
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        self.levels = []
-        for order in range(LONGEST, SHORTEST - 1, -1):
+    With `low`, the sorted bigrams that may be asked for and their probabilities, only orders 5 to 3 are fitted.
+    """
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None):
+        self.levels, self.low = [], low
+        for order in range(LONGEST, SHORTEST - 1 if low else 0, -1):
             off = _discounts(counts)[np.minimum(counts, 3)]
             contexts, total = _contexts(grams, counts)
             self.levels.append((order, grams, counts - off, contexts, total, _contexts(grams, off)[1] / np.maximum(total, 1)))
@@ -166,6 +177,9 @@ class OpenModel:
 
     def prob(self, wanted: np.ndarray) -> np.ndarray:
         p = np.full(len(wanted), 1 / (1 << BITS))
+        if self.low:
+            at, given = _find(self.low[0], wanted & _PAIR)
+            p = np.where(given, self.low[1][at], p) if given.any() else p
         for order, keys, kept, contexts, total, gamma in reversed(self.levels):
             gram = wanted & ((1 << BITS * order) - 1)
             at, known = _find(contexts, gram >> BITS)
@@ -175,6 +189,23 @@ class OpenModel:
         return p
 
 
+def low_levels(context: np.ndarray, symbol: np.ndarray, counts: np.ndarray, contexts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """Orders 2 and 1 from all bigrams and the numbers of symbols before them: for each of `contexts` the symbols of the model, their probabilities and that of any other symbol."""
+    off = _discounts(counts)[np.minimum(counts, 3)]
+    seen, place, before = np.unique(symbol, return_inverse=True, return_counts=True)
+    less = _discounts(before)[np.minimum(before, 3)]
+    total = max(int(before.sum()), 1)
+    rest = (less.sum() / total if len(seen) else 1.0) / (1 << BITS)
+    single = (before - less) / total + rest
+    order = np.argsort(context, kind="stable")
+    for x, y in zip(*(np.searchsorted(context[order], contexts, side) for side in ("left", "right")), strict=True):
+        mine = order[x:y]
+        all_, gamma = max(int(counts[mine].sum()), 1), float(off[mine].sum() / counts[mine].sum()) if y > x else 1.0
+        p = gamma * single
+        p[place[mine]] += (counts[mine] - off[mine]) / all_
+        yield seen, p, gamma * rest
+
+
 def shrunk(pooled: np.ndarray, grams: np.ndarray, counts: np.ndarray, wanted: np.ndarray, prior: float = PRIOR) -> np.ndarray:
     """A language's probabilities: its own counts, with `prior` more a context shared out as in the pooled model."""
     at, seen = _find(grams, wanted)
@@ -193,6 +224,9 @@ def words_of(text: str) -> int:
 
 _ASKED = "block int, fold int, lang string, shard int, part int, n int, grams binary, counts binary"
 _SUMS = "fold int, lang string, shard int, part int, n int, grams binary, counts binary"
+_PAIRS = "fold int, shard int, context int, symbols array<int>, counts array<long>"
+_TOTALS = "fold int, context int, symbols array<int>, counts array<long>"
+_LOW = "fold int, context int, symbols array<int>, probs array<double>, other double"
 _ANSWERED = "block int, lang string, shard int, logs binary"
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -236,7 +270,7 @@ def _unpacked(raw: bytes, n: int, size: int = 8) -> np.ndarray:
 
 
 def _rows(schema: str, rows: list[tuple]) -> pa.Table:
-    kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
     fields = [f.split() for f in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
     return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
@@ -287,12 +321,74 @@ def _merge(rows: pa.Table) -> pa.Table:
     return _rows(_SUMS, out)
 
 
+def _pairs(rows: pa.Table) -> pa.Table:
+    """A shard's bigrams, by their first symbol, each with the number of symbols before it: no other shard has these three symbols."""
+    own, out = _Counts(rows), []
+    for fold in (0, 1):
+        mine = [k for some in own.of(fold).values() for k in some]
+        if mine:
+            triples = np.unique(np.concatenate([own.grams[k] for k in mine]) & _TRIPLE)
+            pairs, counts = np.unique(triples & _PAIR, return_counts=True)
+            edges = np.flatnonzero(np.diff(pairs >> BITS)) + 1
+            for some, n in zip(np.split(pairs, edges), np.split(counts, edges), strict=True):
+                out.append((fold, rows["shard"][0].as_py(), int(some[0] >> BITS), some & _SYMBOL, n))
+    trim()
+    return _rows(_PAIRS, out)
+
+
+def _flat(rows: pa.Table, name: str) -> np.ndarray:
+    return rows[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def _pair_totals(rows: pa.Table) -> pa.Table:
+    """The counts of all shards added up for one context: a row for each fold, empty where the fold lacks the context."""
+    out = []
+    for fold in (0, 1):
+        some = rows.filter(pa.compute.equal(rows["fold"], fold))
+        symbols, counts = _summed(_flat(some, "symbols").astype(np.int64), _flat(some, "counts")) if some.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        out.append((fold, rows["context"][0].as_py(), symbols, counts))
+    return _rows(_TOTALS, out)
+
+
+def _fit_low(rows: pa.Table) -> pa.Table:
+    """The two lowest levels of a fold, a row a context; at most 4096 of these, of 4096 symbols each."""
+    contexts = rows["context"].to_numpy()
+    order = np.argsort(contexts)
+    context = np.repeat(contexts, pa.compute.list_value_length(rows["counts"]).to_numpy())
+    fitted = low_levels(context, _flat(rows, "symbols").astype(np.int64), _flat(rows, "counts"), contexts[order])
+    return _rows(_LOW, [(rows["fold"][0].as_py(), int(c), *low) for c, low in zip(contexts[order], fitted, strict=True)])
+
+
+def _give_low(pairs: pa.Table, low: pa.Table) -> pa.Table:
+    """To each shard that holds bigrams of this context their probabilities in the other fold's model, as doubles in place of counts."""
+    models = {r["fold"]: (np.array(r["symbols"], np.int64), np.array(r["probs"]), r["other"]) for r in low.to_pylist()}
+    out = []
+    for r in pairs.to_pylist():
+        symbols, probs, other = models[1 - r["fold"]]
+        wanted = np.array(r["symbols"], np.int64)
+        at, seen = _find(symbols, wanted)
+        p = np.where(seen, probs[at], other) if len(probs) else np.full(len(wanted), other)
+        grams = (r["context"] << BITS) + wanted
+        out.append((1 - r["fold"], None, r["shard"], 0, len(grams), _packed(np.diff(grams, prepend=0)), _packed(p.view(np.int64))))
+    return _rows(_SUMS, out)
+
+
+def _low_of(rows: pa.Table, fold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted bigrams of a shard and their probabilities by the model of `fold`."""
+    own = _Counts(rows)
+    mine = [k for k, f in enumerate(own.fold) if f == fold]
+    grams = np.concatenate([own.grams[k] for k in mine])
+    order = np.argsort(grams)
+    return grams[order], np.concatenate([own.counts[k] for k in mine]).view(np.float64)[order]
+
+
 def _answer(asked: pa.Table, sums: pa.Table, prior: float) -> pa.Table:
     """Log probabilities of the n-grams that each block asked for, by the counts of the other fold."""
+    low, sums = sums.filter(sums["low"]), sums.filter(pa.compute.invert(sums["low"]))
     own, models, logs = _Counts(asked), _Counts(sums), [b""] * asked.num_rows
     for fold in (0, 1):
         others, wanting = models.of(1 - fold), own.of(fold)
-        pooled = OpenModel(*models.total([k for rows in others.values() for k in rows])) if wanting else None
+        pooled = OpenModel(*models.total([k for rows in others.values() for k in rows]), _low_of(low, 1 - fold)) if wanting else None
         for lang, rows in wanting.items():
             wanted = np.unique(np.concatenate([own.grams[k] for k in rows]))
             log = np.log(shrunk(pooled.prob(wanted), *models.total(others.get(lang, [])), wanted, prior))
@@ -351,11 +447,15 @@ def _scored(docs: DataFrame, row: list[str], text: str, lang: str, with_text: bo
 
     asked = rows.groupBy("block").applyInArrow(ask, _ASKED)  # with the columns of the cogroup below, so that both read one shuffle of the texts
     parts = left = -(-half // size)
-    sums = asked.groupBy("shard", "part").applyInArrow(_merge, _SUMS)
+    last = asked.groupBy("shard", "part")
     while left > 1:  # as many rounds as it takes to add up all parts, a bounded number at a time
-        sums = sums.withColumn("part", F.floor(F.col("part") / MERGED).cast("int")).groupBy("shard", "part").applyInArrow(_merge, _SUMS)
+        last = last.applyInArrow(_merge, _SUMS).withColumn("part", F.floor(F.col("part") / MERGED).cast("int")).groupBy("shard", "part")
         left = -(-left // MERGED)
-    models = sums.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    sums, pairs = last.applyInArrow(_merge, _SUMS), last.applyInArrow(_pairs, _PAIRS)  # both read one shuffle
+    low = pairs.groupBy("context").applyInArrow(_pair_totals, _TOTALS).groupBy("fold").applyInArrow(_fit_low, _LOW)
+    given = pairs.groupBy("context").cogroup(low.groupBy("context")).applyInArrow(_give_low, _SUMS)
+    models = sums.withColumn("low", F.lit(False)).unionByName(given.withColumn("low", F.lit(True)))
+    models = models.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     answered = asked.groupBy("shard", "part").cogroup(models.groupBy("shard", "part")).applyInArrow(answer, _ANSWERED)
     names = ["row", "lang", *(["text"] if with_text else [])]
     fields = [rows.schema[n] for n in names] + [T.StructField(n, T.LongType()) for n in _COUNTS]
