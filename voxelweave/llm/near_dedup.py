@@ -11,8 +11,9 @@ connected components of these links.
    is compared with all others of the bucket: one candidate pair a member. The similarity of candidates whose
    signatures allow it is computed exactly on the full sets, and components of the links are taken.
 4. Buckets that still hold several components are looked at again. Members outside the bucket's largest component
-   meet all members in blocks of bounded size, so a bucket of n members, m of them outside, is copied m n / BLOCK
-   times at most, and just once while m is below BLOCK. Of a block, pairs of different components that share no
+   meet all members in blocks of bounded size (BLOCK members and BYTES of text a side, or one longer text), so a
+   bucket of n members, m of them outside, is copied m n / BLOCK times at most, and just once while m is below BLOCK (where
+   texts are long, BYTES of text stand for BLOCK members). Of a block, pairs of different components that share no
    earlier bucket are compared exactly, likeliest first, and components that link are merged at once, so that no
    pair within a component is compared and no pair is emitted but a link. This holds for buckets of any size.
 
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +49,9 @@ from voxelweave.session import Scratch
 K, BANDS, ROWS = 128, 25, 5
 WORDS, SIMILAR = 5, 0.8
 LIKELY = 0.64  # a pair of similarity 0.8 agrees on fewer of 128 coordinates once in about 115 000 pairs
-BLOCK = 1000  # members of one side of a block, about
+BLOCK, BYTES = 1000, 32_000_000  # members of one side of a block and bytes of their texts, about
 
-_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType(), False))])
+_SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("signature", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType(), False)), T.StructField("bytes", T.LongType())])
 
 
 def shingles(raw: bytes, weighted: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +104,7 @@ def _sign(weighted: bool):
                 out.append(known[key])
             sizes = np.cumsum([0, *(len(b) for _, b in out)]).astype(np.int32)
             flat = np.concatenate([b for _, b in out]) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in out], pa.binary()), pa.ListArray.from_arrays(sizes, pa.array(flat))], names=_SIGNED.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in out], pa.binary()), pa.ListArray.from_arrays(sizes, pa.array(flat)), pa.compute.binary_length(batch.column(2)).cast(pa.int64())], names=_SIGNED.names)
 
     return run
 
@@ -220,10 +222,11 @@ def _links_in_block(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _blocks(labelled: DataFrame, signed: DataFrame, scratch: Scratch) -> DataFrame:
     """The members (bucket, band, node, component) of buckets with several components, in blocks (bucket, i, j)."""
-    sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    shape = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    chunks = lambda n: F.ceil(n / BLOCK).cast("int")
-    shape = shape.select("bucket", F.col("main.component").alias("main"), chunks(F.col("all")).alias("js"), chunks(F.col("all") - F.col("main.n")).alias("is"))
+    sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    shape = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component", "b")).alias("main"), F.sum("n").alias("all"), F.sum("b").alias("whole"), F.count("*").alias("parts")).where("parts > 1")
+    chunks = lambda n, b: F.ceil(F.greatest(n / BLOCK, b / BYTES)).cast("int")
+    outside = chunks(F.col("all") - F.col("main.n"), F.col("whole") - F.col("main.b"))
+    shape = shape.select("bucket", F.col("main.component").alias("main"), chunks(F.col("all"), F.col("whole")).alias("js"), outside.alias("is"))
     shape = scratch.keep(shape, "shape")
     rows = labelled.join(shape, "bucket").withColumn("outside", F.col("component") != F.col("main")).join(signed, "node")
     place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
@@ -239,10 +242,10 @@ def _classes(docs: DataFrame, doc_id: str, text: str, weighted: bool) -> tuple[D
     scratch = Scratch(spark, "near")
     keyed = _keyed(docs, doc_id, text)
     signed = scratch.keep(keyed.mapInArrow(_sign(weighted), _SIGNED), "signed")
-    distinct = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    distinct = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes"))
     nodes = scratch.keep(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    met = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    met = nodes.select("node", "bytes", F.posexplode("bands").alias("band", "bucket"))
     # written before they are joined: a join of two plain shuffles is one whose hot buckets Spark splits
     shared = scratch.keep(met.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     members = scratch.keep(met.join(shared, "bucket"), "members")
