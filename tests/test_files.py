@@ -138,3 +138,15 @@ def test_synthetic_shapes(spark):
     plane = synthetic.make_plane(spark, 1000)
     assert 600 < synthetic.random_subset(plane, 0.7).count() < 800 and synthetic.random_subset(plane, 5).count() == 1000
     assert synthetic.add_gaussian_noise(plane, 0) is plane
+
+
+def test_the_task_that_writes_a_file_sorts_few_rows(spark, tmp_path, monkeypatch):
+    """Lines come to it in chunks of one row each, whose order is that of the ids, negative, repeated and null ones too."""
+    monkeypatch.setattr(cloud_files, "CHUNK", 50)
+    seen, write = [], cloud_files.write_text_files
+    monkeypatch.setattr(cloud_files, "write_text_files", lambda lines, *a: seen.append(lines.count()) or write(lines, *a))
+    points = spark.range(3000).selectExpr("if(id % 100 = 0, null, (id * 7) % 3000 div 2 - 700) as point_id", "cast(if(id % 100 = 0, -900, (id * 7) % 3000 div 2 - 700) as double) as x", "0D y", "0D z")
+    cloud_files.write_ply(points, str(tmp_path / "a.ply"))
+    assert seen[0] <= 1 + 3000 / 50 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = cloud_files.parse_ply((tmp_path / "a.ply").read_text())[:, 0].tolist()
+    assert len(x) == 3000 and x == sorted(x)

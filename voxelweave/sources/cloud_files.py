@@ -5,7 +5,8 @@ own rows, and prefix sums of the ranges' counts give every row its place in the
 header, which has to end in the first HEADER bytes, is read from the lines at a file's beginning. Rows are parsed once,
 into a table in the shared folder; columns other than x, y and z go.
 
-A file is written by one task, in order of point_id, as it is one stream; several clouds are several tasks' work.
+A file is written by one task, in order of point_id, as it is one stream; several clouds are several tasks' work. Rows are
+sorted and joined to chunks of up to CHUNK lines by many tasks before, so the one that writes sorts a row a chunk.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from urllib.parse import unquote
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from voxelweave.session import Scratch
 from voxelweave.sources.stores import write_text_files
 
 HEADER = 1 << 16  # bytes of a file by which its header has ended
+CHUNK = 20_000  # lines of a file in one row on its way
 
 
 class CloudFileError(ValueError):
@@ -223,11 +226,24 @@ def read_cloud(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, _HEADERS[extension])
 
 
-def _lines(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, point_id, x, y, z) to (name, point_id, value)."""
+def _chunks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (name, point_id, x, y, z) to (name, point_id, chunk, value): lines of up to CHUNK rows of a name, and the first one's id."""
+    part, key, lines, chunk = TaskContext.get().partitionId() << 32, None, [], 0
+
+    def full() -> pa.RecordBatch:
+        columns = zip((*key, part + chunk, "\n".join(lines)), (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in columns], names=["name", "point_id", "chunk", "value"])
+
     for batch in source:
-        rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([" ".join(f"{v:.9g}" for v in r) for r in rows], pa.string())], names=["name", "point_id", "value"])
+        for name, point, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if lines and (name != key[0] or len(lines) >= CHUNK):
+                yield full()
+                lines, chunk = [], chunk + 1
+            if not lines:
+                key = (name, point)
+            lines.append(" ".join(f"{v:.9g}" for v in place))
+    if lines:
+        yield full()
 
 
 #: Headers as SQL strings with %d for the number of points.
@@ -238,9 +254,11 @@ _PCD = "# one point a line\nVERSION 0.7\nFIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nC
 def _write(points: DataFrame, counts: DataFrame, folder: str, header: str) -> None:
     """points (name, point_id, x, y, z) and counts (name, n) to a file a name, in order of point_id."""
     rows = points.select("name", F.col("point_id").cast("long").alias("point_id"), *(F.col(c).cast("float").alias(c) for c in "xyz"))
-    body = rows.mapInArrow(_lines, "name string, point_id long, value string").withColumn("body", F.lit(True))
-    heads = counts.select("name", F.lit(None).cast("long").alias("point_id"), F.format_string(header, "n").alias("value"), F.lit(False).alias("body"))
-    write_text_files(heads.unionByName(body), folder, ["body", "point_id"])
+    width = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(width, "name", "point_id").sortWithinPartitions("name", "point_id")
+    body = ordered.mapInArrow(_chunks, "name string, point_id long, chunk long, value string").withColumn("body", F.lit(True))
+    heads = counts.select("name", F.lit(None).cast("long").alias("point_id"), F.lit(None).cast("long").alias("chunk"), F.format_string(header, "n").alias("value"), F.lit(False).alias("body"))
+    write_text_files(heads.unionByName(body), folder, ["body", "point_id", "chunk"])
 
 
 def write_clouds(points: DataFrame, folder: str, extension: str = ".ply") -> None:
